@@ -47,9 +47,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomflow.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op5_token_counts, op8_simhash)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op5_token_counts, op8_simhash, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
