@@ -40,6 +40,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomflow.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomflow.llm.simhash import near_duplicates
 
@@ -55,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op5_token_counts, op8_simhash, op10_decontamination)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op5_token_counts, op7_lm_scoring, op8_simhash, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
