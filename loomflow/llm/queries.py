@@ -34,12 +34,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomflow.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomflow.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomflow.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomflow.llm.lm_scoring import score
 
@@ -61,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op5_token_counts, op7_lm_scoring, op8_simhash, op10_decontamination)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op4_language_id, op5_token_counts, op6_toxicity, op7_lm_scoring, op8_simhash, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
