@@ -65,6 +65,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomflow.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomflow.llm.decontamination import decontaminate
 
@@ -73,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op4_language_id, op5_token_counts, op6_toxicity, op7_lm_scoring, op8_simhash, op10_decontamination)
+    for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op4_language_id, op5_token_counts, op6_toxicity, op7_lm_scoring, op8_simhash, op9_secret_scan, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
