@@ -131,8 +131,8 @@ def estimate(docs: DataFrame, text_col: str, rules: dict[str, Callable], sample:
     return sorted(rules, key=lambda name: (-rate.get(name, 0.0), name))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, Callable] | None = None, features: bool = True) -> DataFrame:
-    """The columns of `docs` with `kept`, and with the features and base_failed if `features`.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, Callable] | None = None, features: bool = True, kept_col: str = "kept") -> DataFrame:
+    """The columns of `docs` with `kept_col`, and with the features and base_failed if `features`.
 
     Null and empty texts have no words and fail few_words. A document is kept if no rule
     rejects it. An empty table gives an empty result. Columns of `docs` that clash with
@@ -140,7 +140,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """
     rules = RULES if rules is None else rules
     order = estimate(docs, text_col, rules)
-    added = [*FEATURES, "base_failed"] * features + ["kept"]
+    added = [*FEATURES, "base_failed"] * features + [kept_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,14 +162,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
                     at = np.flatnonzero(left)
                     left[at[rules[name](Texts(_subset(c, left)))]] = False
                 kept[c.rows] = left
-            cols = {**{f: pa.array(v) for f, v in out.items()}, "base_failed": pa.array(base), "kept": pa.array(kept)}
+            cols = {**{f: pa.array(v) for f, v in out.items()}, "base_failed": pa.array(base), kept_col: pa.array(kept)}
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(cols[x] for x in added)], schema=_schema(b.schema, added))
 
     def _schema(old: pa.Schema, names: list[str]) -> pa.Schema:
-        return pa.schema([*list(old)[:-1], *(pa.field(x, pa.bool_() if x in ("base_failed", "kept") else pa.int64()) for x in names)])
+        return pa.schema([*list(old)[:-1], *(pa.field(x, pa.bool_() if x in ("base_failed", kept_col) else pa.int64()) for x in names)])
 
     own = docs.drop(*added)
     schema = own.schema
     for x in added:
-        schema = schema.add(x, "boolean" if x in ("base_failed", "kept") else "long")
+        schema = schema.add(x, "boolean" if x in ("base_failed", kept_col) else "long")
     return own.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)

@@ -215,12 +215,11 @@ def _flags(c: A.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
-    """(id_col, n_assign, n_access, n_hex, base_sha256, spans) of each whole text; with `redact`, redacted too.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_assign, n_access, n_hex, base_sha256, spans) of each whole text.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null and
-    empty texts have none. `redacted` is the text with each span replaced by [secret]
-    (null stays null). An empty table gives an empty result. Other columns are ignored.
+    empty texts have none. An empty table gives an empty result. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     field = trained(own)
@@ -229,22 +228,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = {k: [] for k in KINDS[:3]}
-            digest, spans, texts = [], [], []
-            for text, base, all_spans in scanned(b.column(1), shared.value):
+            digest, spans = [], []
+            for _, base, all_spans in scanned(b.column(1), shared.value):
                 for k in counts:
                     counts[k].append(sum(x[2] == k for x in base))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(all_spans))
-                if redact:
-                    texts.append(redacted(text, all_spans))
-            cols = [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digest, pa.string()), pa.array(spans, pa.string())] + [pa.array(texts, pa.string())] * redact
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["redacted"] * redact)
+            cols = [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = own.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact
+    schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with each span of `text_col`, overlapping ones as one, replaced by [secret]; null stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs.select(F.col(text_col).alias("text"))))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [redacted(text, spans) for text, _, spans in scanned(b.column(at), shared.value)]
+            yield b.set_column(at, b.schema.field(at).name, pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(own: DataFrame) -> Field:
     """The field, from SAMPLE texts at most: those that look like they hold a secret, in a fixed order."""
     looks = own.where(F.col("text").isNotNull() & (F.length("text") < 20_000) & F.col("text").rlike(r"[A-Za-z0-9+/_-]{12,}") & F.col("text").rlike("[0-9]{2}"))

@@ -199,11 +199,11 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY, payload: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY, payload: bool = True, text_out: bool = True) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of each whole text, with begin and end ids.
 
-    Null counts as empty: begin and end only. With `payload`, ids (array of int) and
-    decoded (string) follow. One document of every `check_every` in an Arrow batch, the
+    Null counts as empty: begin and end only. With `payload`, ids (array of int)
+    and, with `text_out`, decoded (string) follow. One document of every `check_every` in an Arrow batch, the
     first always, is held against the library. Other columns are ignored.
     """
 
@@ -221,14 +221,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 text_hash.append(hashlib.sha256(back.encode()).hexdigest())
                 if payload:
                     ids.append(memoryview(got).cast("I").tolist())
-                    texts.append(back)
+                    if text_out:
+                        texts.append(back)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if payload:
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                cols += [pa.array(ids, pa.list_(pa.int32()))] + [pa.array(texts, pa.string())] * text_out
+                names += ["ids"] + ["decoded"] * text_out
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * payload
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" + ", decoded string" * text_out) * payload
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -196,3 +196,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+#: Bands of a text that are compared at most, and shingles in a band at most (on average half as many and up).
+BANDS, BAND_SHINGLES = 32, 8
+
+
+def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document) of each distinct shingle, in order of both, and a hash of each document's words."""
+    s, e, first = A.word_bounds(~A.SPACE[c.buf], c.offsets)
+    words = np.diff(first)
+    text, ws, we = A.spaced(A.LOWER[c.buf], s, e)
+    whole = np.zeros(len(c), dtype=np.uint64)
+    some = np.flatnonzero(words)
+    if len(some):
+        whole[some] = A.xxh64(text, ws[first[:-1][some]], we[first[1:][some] - 1])
+    per = np.where(words == 0, 0, np.maximum(words - shingle + 1, 1))
+    doc = np.repeat(np.arange(len(c)), per)
+    lead = np.arange(len(doc)) - (np.cumsum(per) - per)[doc] + first[:-1][doc]
+    last = np.minimum(lead + shingle, first[1:][doc]) - 1
+    h = A.xxh64(text, ws[lead], we[last]) if len(doc) else np.zeros(0, np.uint64)
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new], whole
+
+
+def _bands(h: np.ndarray) -> list[int]:
+    """Fingerprints of bands of a text's shingles, dealt by hash, as many as halve and double with the text's length."""
+    want = max(1.0, len(h) / BAND_SHINGLES)
+    powers = {int(np.ceil(np.log2(want * x))) for x in (0.85, 1.2)} | ({0, 1, 2} if len(h) <= 3 * BAND_SHINGLES else set())
+    out = []
+    for p in sorted(powers):
+        band = A.mix(h) % np.uint64(1 << p)
+        for k in range(min(1 << p, BANDS)):
+            own = h[band == np.uint64(k)]
+            if len(own):
+                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(own)
+                fp = np.packbits(bits, bitorder="little").view("<u8")[0]
+                out.append(int(A.mix(np.array([fp ^ np.uint64((p << 32) + (k << 8) + min(len(own), 255))], dtype=np.uint64)).view(np.int64)[0]))
+    return out
+
+
+def _features(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, bands = [], []
+            for c in A.chunks(b.column(2)):
+                h, doc, whole = _shingle_hashes(c, shingle)
+                at = np.searchsorted(doc, np.arange(len(c) + 1))
+                node.append(whole)
+                bands += [_bands(h[i:j]) if j > i else [] for i, j in zip(at[:-1], at[1:])]
+            whole = np.concatenate(node).view(np.int64) if node else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row_key", "node", "bands"])
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for c in A.chunks(b.column(1)):
+                h, doc, _ = _shingle_hashes(c, shingle)
+                at = np.searchsorted(doc, np.arange(len(c) + 1))
+                sets += [h[i:j].view(np.int64) for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, row_key, component): classes of texts whose sets of `shingle` words are alike by `similarity` or more.
+
+    The whole-text radius of near_duplicates is too narrow for that similarity, so SimHash
+    fingerprints of bands of shingles propose links, each of a text to two members of its
+    band, and the sets of shingles decide on them exactly. Texts of equal words are one
+    node. component is the class's smallest node; row_key identifies the row's id and text.
+    Null and empty texts are one class. Other columns are ignored.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    rows = written(own.mapInArrow(_features(shingle), f"id {kind}, row_key long, node long, bands array<long>"), "bands")
+    nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.min_by("node", F.xxhash64("node", "band")).alias("b"), F.max("node").alias("top")).where("a != top").drop("top")
+    pairs = banded.join(heads, "band").select(F.explode(F.array("a", "b")).alias("u"), F.col("node").alias("v")).where("u != v")
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = nodes.select("node", "row_key").join(used, "node", "left_semi")
+    texts = own.select("row_key", "text").join(keys, "row_key").dropDuplicates(["node"]).select("node", "text")
+    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node long, shingles array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+    label = components(links)
+    return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))
