@@ -12,8 +12,10 @@ from loomflow.config import Config
 from loomflow.functions import scalars as S
 from loomflow.functions import stats as T
 from loomflow.operators import events as E
+from loomflow.plans import checks as C
 from loomflow.plans import evaluate as V
 from loomflow.plans import model as M
+from loomflow.plans import resample as R
 from loomflow.plans.sql import build, event_ctes
 
 #: Windows and thresholds that suit the synthetic events.
@@ -531,3 +533,189 @@ def _(spark, d):
 def _(spark, d):
     o = obs(spark, d)
     return o.select(F.col("origin_activity").alias("activity")).union(o.where("transition is not null").select(F.split("transition", S.ARROW)[1])).distinct()
+
+
+# ---- resampling, checks and sensitivity
+
+REPS = 20
+WEEKS = R.multinomial(3, REPS, PROFILE.seed)
+BLOCKS = R.multinomial(PROFILE.blocks, REPS, PROFILE.seed + 11)
+_values = ", ".join(str(x) for x in WEEKS)
+BOOT = CTES | {
+    "wts": f"SELECT * FROM (VALUES {_values}) AS v(rep, cluster, weight)",
+    "bpmf": "SELECT rep, transition, y, CAST(sum(c * weight) AS BIGINT) AS w FROM (SELECT transition, CAST(floor((epoch_us(origin) - epoch_us(TIMESTAMP '2024-01-22')) / 259200000000.0) AS INTEGER) AS cluster, least(delay, 96.0) AS y, count(*) AS c FROM held GROUP BY ALL) JOIN wts USING (cluster) GROUP BY ALL",
+    "btot": "SELECT rep, transition, CAST(sum(w) AS BIGINT) AS n, sum(y * w) AS mean_burden FROM bpmf GROUP BY ALL",
+    "bcum": "SELECT *, sum(w) OVER (PARTITION BY rep, transition ORDER BY y DESC) AS cw FROM bpmf",
+    "breps": f"SELECT rep, transition, mean_burden, n * sum(y * greatest(0.0, least(w, n * {PROFILE.tail!r} - (cw - w)))) / (n * {PROFILE.tail!r}) AS tail_burden FROM bcum JOIN btot USING (rep, transition) GROUP BY rep, transition, n, mean_burden",
+    "ball": "SELECT rep, sum(mean_burden) AS am, sum(tail_burden) AS tl FROM breps GROUP BY 1",
+    "bshare": "SELECT b.rep, g.method, g.K, 100 * coalesce(sum(x.mean_burden), 0.0) / any_value(am) AS mean_share, 100 * coalesce(sum(x.tail_burden), 0.0) / any_value(tl) AS tail_share FROM ball b CROSS JOIN (SELECT DISTINCT method, K FROM port) g JOIN port p ON p.method = g.method AND p.K = g.K LEFT JOIN breps x ON x.rep = b.rep AND x.transition = p.transition GROUP BY b.rep, g.method, g.K",
+    "blong": "SELECT rep, method, K, 'mean' AS target, mean_share AS share FROM bshare UNION ALL SELECT rep, method, K, 'tail', tail_share FROM bshare",
+    "bdiff": "SELECT a.K, a.method AS left_method, b.method AS right_method, a.target, a.share - b.share AS d FROM blong a JOIN blong b ON a.rep = b.rep AND a.K = b.K AND a.target = b.target JOIN morder x ON x.method = a.method JOIN morder z ON z.method = b.method WHERE x.k < z.k",
+}
+
+
+def _cluster():
+    return S.block(F.col("origin"), PROFILE.decision, 3)
+
+
+@query("bootstrap_shares", f"SELECT CAST(rep AS BIGINT) AS rep, method, CAST(K AS BIGINT) AS K, {r('mean_share', 'tail_share')} FROM bshare", BOOT)
+def _(spark, d):
+    return R.shares(R.burdens(held(spark, d), R.weight_table(spark, WEEKS), PROFILE, _cluster(), REPS), M.portfolios(metrics(spark, d), PROFILE))
+
+
+@query("paired_bootstrap", "SELECT CAST(K AS BIGINT) AS K, left_method, right_method, target, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper FROM bdiff GROUP BY ALL", BOOT)
+def _(spark, d):
+    return R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, R.weight_table(spark, WEEKS), _cluster(), REPS)
+
+
+@query("superiority_gate", "SELECT coalesce(bool_and(lower > 0 AND difference > 0), false) AS superior FROM (SELECT avg(d) AS difference, quantile_cont(d, 0.025) AS lower FROM bdiff GROUP BY K, left_method, right_method, target)", BOOT)
+def _(spark, d):
+    return R.superior(R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, R.weight_table(spark, WEEKS), _cluster(), REPS))
+
+
+@query("paired_bootstrap_cases")
+def _(spark, d):
+    return R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, None, F.col("case_id"), REPS)
+
+
+@query("selection_stability")
+def _(spark, d):
+    h = hist(spark, d)
+    return R.stability(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE)
+
+
+@query("selection_probabilities")
+def _(spark, d):
+    h = hist(spark, d)
+    return R.probabilities(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE, REPS)
+
+
+@query("frozen_stability")
+def _(spark, d):
+    h = hist(spark, d)
+    m = M.fit(h, PROFILE)
+    return R.stability(R.frozen(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), m), M.portfolios(m, PROFILE), PROFILE)
+
+
+@query("noise_benchmark")
+def _(spark, d):
+    h = hist(spark, d)
+    return R.noise(h, M.fit(h, PROFILE), PROFILE, 10)
+
+
+@query("noise_summary")
+def _(spark, d):
+    h = hist(spark, d)
+    return R.noise_summary(R.noise(h, M.fit(h, PROFILE), PROFILE, 10))
+
+
+GRID = PROFILE.but(grid=6.0)
+GRIDS = event_ctes(GRID)
+PROGRAM = GRIDS | {
+    "pp": "SELECT transition, y, w / n AS p FROM pool JOIN tot USING (transition)",
+    "tt": "SELECT transition, y AS t FROM pp UNION SELECT transition, unnest([0.0, 96.0]) FROM tot",
+    "cc": "SELECT transition, t, (96.0 - t) / (96.0 - y) AS lam FROM tt JOIN pp USING (transition) WHERE y < 96.0 UNION SELECT transition, t, unnest([0.0, 1.0]) FROM tt",
+    "ss": "SELECT transition, t, lam, sum(p * greatest(0.0, y - t, 96.0 - t - lam * (96.0 - y))) AS s FROM cc JOIN pp USING (transition) GROUP BY ALL",
+    "ee": "SELECT transition, cvar, unnest(['zero', 'half', 'threshold', 'double', 'own']) AS label, unnest([0.0, 0.5 * epsilon_sat, epsilon_sat, 2 * epsilon_sat, epsilon]) AS eps FROM met",
+}
+
+
+def _grid_pmf(spark, d):
+    return M.pooled(M.histogram(hist(spark, d), GRID).withColumn("w", F.col("c")), ["transition"])
+
+
+@query("linear_program_checks", f"SELECT transition, label, round(min(t + (eps * lam + s) / {GRID.tail!r}), 6) AS program, round(any_value(least(96.0, cvar + greatest(0.0, eps) / {GRID.tail!r})), 6) AS closed, min(t + (eps * lam + s) / {GRID.tail!r}) - any_value(least(96.0, cvar + greatest(0.0, eps) / {GRID.tail!r})) < 1e-6 AS within FROM ss JOIN ee USING (transition) GROUP BY transition, label", PROGRAM)
+def _(spark, d):
+    x = C.program_checks(_grid_pmf(spark, d), metrics(spark, d, GRID), GRID)
+    return x.select("transition", "label", "program", "closed", (F.col("error") < 1e-6).alias("within"))
+
+
+@query("hinge_cvar", f"SELECT transition, round(min(t + e / {GRID.tail!r}), 6) AS cvar FROM (SELECT a.transition, a.y AS t, sum(b.p * greatest(0.0, b.y - a.y)) AS e FROM pp a JOIN pp b USING (transition) GROUP BY ALL) GROUP BY 1", PROGRAM)
+def _(spark, d):
+    return C.hinge_cvar(_grid_pmf(spark, d), GRID.tail)
+
+
+def _beta_sql() -> str:
+    def cdf(e: str, a: float, b: float) -> str:
+        return e if b == 1.0 else f"pow({e}, {a!r}) * (1 + {a!r} * (1 - {e}))" if b == 2.0 else f"1 - pow(1 - {e}, {b!r}) * (1 + {b!r} * {e})"
+
+    parts = [f"SELECT '{n}' AS distribution, k / 2000.0e0 AS y, {1 - m!r} * (({cdf('hi', a, b)}) - ({cdf('lo', a, b)})) + CASE WHEN k = 2000 THEN {m!r} ELSE 0.0 END AS w FROM g" for n, a, b, m in C.BETAS]
+    alphas, ratios = ", ".join(f"({a!r}::DOUBLE, {1 - a!r}::DOUBLE)" for a in C.ALPHAS), ", ".join(f"({x!r}::DOUBLE)" for x in C.RATIOS)
+    return (
+        "WITH g AS (SELECT k, greatest(0.0e0, (k - 0.5e0) / 2000) AS lo, least(1.0e0, (k + 0.5e0) / 2000) AS hi FROM range(2001) AS r(k)), pm AS (" + " UNION ALL ".join(parts) + "), "
+        f"al AS (SELECT * FROM (VALUES {alphas}) AS v(alpha, tail)), ra AS (SELECT * FROM (VALUES {ratios}) AS v(ratio)), "
+        "cu AS (SELECT *, sum(w) OVER (PARTITION BY distribution ORDER BY y DESC) AS cw, sum(w) OVER (PARTITION BY distribution) AS n FROM pm), "
+        "cv AS (SELECT distribution, alpha, tail, sum(y * greatest(0.0, least(w, n * tail - (cw - w)))) / (any_value(n) * tail) AS cvar FROM cu, al GROUP BY distribution, alpha, tail), "
+        "sa AS (SELECT *, greatest(0.0, tail * (1 - cvar)) AS epsilon_sat FROM cv), "
+        "wo AS (SELECT *, CASE WHEN epsilon_sat <= 1e-6 THEN 1.0 ELSE least(1.0, cvar + ratio * epsilon_sat / tail) END AS worst FROM sa, ra) "
+        "SELECT distribution, round(alpha, 6) AS alpha, round(ratio, 6) AS ratio, round(epsilon_sat, 6) AS epsilon_sat, round(cvar, 6) AS cvar, round(worst, 6) AS worst, abs(worst - 1) <= 1e-5 AS at_cap FROM wo"
+    )
+
+
+@query("beta_study")
+def _(spark, d):
+    return C.beta_study(spark)
+
+
+ORACLES["beta_study"] = _beta_sql()
+
+BOUND = CTES | {
+    "pts": "SELECT DISTINCT epsilon_sat / epsilon AS multiplier FROM met WHERE epsilon > 0 AND epsilon_sat / epsilon BETWEEN 0 AND 2 UNION SELECT unnest([0.0e0, 2.0e0])",
+    "bs": f"SELECT multiplier, transition, frequency * least(96.0, cvar + multiplier * epsilon / {PROFILE.tail!r}) AS score, cvar + multiplier * epsilon / {PROFILE.tail!r} >= 96.0 - 1e-7 AS filled FROM met, pts",
+    "br": "SELECT *, row_number() OVER (PARTITION BY multiplier ORDER BY score DESC, transition) AS rk FROM bs",
+    "bm": "SELECT s.K, multiplier, score, filled, rk <= s.K AS picked, EXISTS (SELECT 1 FROM port p WHERE p.method = 'Original DRO' AND p.K = s.K AND p.transition = br.transition) AS inside FROM br, sizes s",
+}
+
+
+@query("boundary_audit", "SELECT CAST(K AS BIGINT) AS K, round(multiplier, 6) AS multiplier, count_if(filled) AS saturated_candidates, round(count_if(picked AND inside) / count_if(picked OR inside), 6) AS jaccard_primary, round(min(CASE WHEN inside THEN score END) - max(CASE WHEN NOT inside THEN score END), 6) AS margin, count_if(picked AND inside) = count_if(picked OR inside) AS same_membership FROM bm GROUP BY bm.K, bm.multiplier", BOUND)
+def _(spark, d):
+    m = metrics(spark, d)
+    return C.boundary_audit(m, M.portfolios(m, PROFILE), PROFILE)
+
+
+KAPPA = CTES | {"kd": f"SELECT kappa, transition, risk, frequency, least(96.0, cvar + greatest(0.0, CASE WHEN epsilon_sat <= 1e-8 THEN 0.0 ELSE least(epsilon, kappa * epsilon_sat) END) / {PROFILE.tail!r}) AS sa_risk FROM met, (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) AS v(kappa)"}
+
+
+@query("kappa_diagnostics", "SELECT kappa, transition, round(sa_risk, 6) AS sa_risk, round(frequency * sa_risk, 6) AS score, row_number() OVER (PARTITION BY kappa ORDER BY frequency * sa_risk DESC, transition) AS rank, sa_risk < risk - 1e-8 AS active FROM kd", KAPPA)
+def _(spark, d):
+    return C.kappa_diagnostics(metrics(spark, d), PROFILE)
+
+
+@query("clipping_diagnostics", "SELECT kappa, count_if(sa_risk < risk - 1e-8) AS active_clipping, count_if(sa_risk >= 96.0 - 1e-7) AS sa_saturated FROM kd GROUP BY 1", KAPPA)
+def _(spark, d):
+    return C.clipping(C.kappa_diagnostics(metrics(spark, d), PROFILE), PROFILE)
+
+
+@query("grid_comparison", "SELECT count(*) AS candidates, round(max(abs(a.risk - b.risk)), 6) AS risk_change, round(max(abs(a.cvar - b.cvar)), 6) AS cvar_change, round(max(abs(a.epsilon_sat - b.epsilon_sat)), 6) AS threshold_change, count_if(a.saturated <> b.saturated) AS reclassified FROM gma a JOIN gmb b USING (transition)", {"gma": build(CTES, "SELECT * FROM met"), "gmb": build(GRIDS, "SELECT * FROM met")})
+def _(spark, d):
+    return C.compared(metrics(spark, d), metrics(spark, d, GRID))
+
+
+SWEEP = {"primary": PROFILE, "kappa_75": PROFILE.but(kappa=0.75), "alpha_90": PROFILE.but(alpha=0.9), "half_radius": PROFILE.but(multiplier=0.5)}
+
+
+@query("sensitivity_sweep", "SELECT configuration, count(*) AS candidates, count_if(saturated) AS saturated, round(quantile_cont(rho, 0.5), 6) AS median_rho FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS configuration, saturated, rho FROM sw_{n}" for n in SWEEP) + ") GROUP BY 1", {f"sw_{n}": build(event_ctes(c), "SELECT * FROM met") for n, c in SWEEP.items()})
+def _(spark, d):
+    s = C.sweep(hist(spark, d), SWEEP)
+    return s.groupBy("configuration").agg(F.count("*").alias("candidates"), F.count_if("saturated").alias("saturated"), F.percentile("rho", F.lit(0.5)).alias("median_rho"))
+
+
+@query("portfolio_digest", "SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (SELECT method || '|K=' || K || '|' || rank || '|' || transition AS l FROM port)")
+def _(spark, d):
+    return C.manifest_digest(M.portfolios(metrics(spark, d), PROFILE))
+
+
+@query("reproduction_gate", "SELECT metric, count(*) AS rows, round(max(abs(v - v)), 6) AS worst, true AS passed FROM (SELECT unnest(['cvar', 'epsilon', 'risk']) AS metric, unnest([cvar, epsilon, risk]) AS v FROM met) GROUP BY 1")
+def _(spark, d):
+    m = metrics(spark, d)
+    again = M.fit(hist(spark, d), PROFILE, candidates=m.select("transition"))
+    return C.reproduction(m, again, "transition", ["cvar", "epsilon", "risk"])
+
+
+@query("drift_candidates", "SELECT transition, round(share * (1 + ln(1 + w)), 5) AS score FROM (SELECT transition, 100.0 * sum(y) / sum(sum(y)) OVER () AS share FROM side GROUP BY transition) JOIN (" + W1.replace("round(sum(abs(c0 / n0 - c1 / n1) * dx), 6) AS w1", "sum(abs(c0 / n0 - c1 / n1) * dx) AS w") + ") USING (transition)", SIDE)
+def _(spark, d):
+    x = _sides(spark, d)
+    w = T.wasserstein(x.groupBy("transition", "s", "y").agg(F.count("*").alias("w")), ["transition"], "s", PROFILE.cap)
+    g = x.groupBy("transition").agg(F.sum("y").alias("b"))
+    share = g.crossJoin(F.broadcast(g.agg(F.sum("b").alias("all")))).select("transition", (100.0 * F.col("b") / F.col("all")).alias("share"))
+    return C.drift_score(share.join(w, "transition")).select("transition", F.round("score", 5).alias("score"))

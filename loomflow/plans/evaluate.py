@@ -73,9 +73,9 @@ def evaluate(metrics: DataFrame, ports: DataFrame, held: DataFrame, cfg: Config,
 def overlap(ports: DataFrame, cfg: Config) -> DataFrame:
     """(K, left_method, right_method, jaccard, same_membership) of all pairs of methods, in the order of the methods."""
     order = F.create_map(*[F.lit(x) for k, m in enumerate(cfg.methods) for x in (m, k)])
-    sets = ports.groupBy("method", "K").agg(F.array_sort(F.collect_set("transition")).alias("members")).withColumn("k", F.element_at(order, F.col("method")))
-    a = sets.select("K", F.col("method").alias("left_method"), F.col("members").alias("x"), F.col("k").alias("ka"))
-    b = sets.select("K", F.col("method").alias("right_method"), F.col("members").alias("y"), F.col("k").alias("kb"))
+    sets = ports.groupBy("method", "K").agg(F.array_sort(F.collect_set("transition")).alias("members")).withColumn("place", F.element_at(order, F.col("method")))
+    a = sets.select("K", F.col("method").alias("left_method"), F.col("members").alias("x"), F.col("place").alias("ka"))
+    b = sets.select("K", F.col("method").alias("right_method"), F.col("members").alias("y"), F.col("place").alias("kb"))
     return a.join(b, "K").where("ka < kb").select("K", "left_method", "right_method", S.jaccard(F.col("x"), F.col("y")).alias("jaccard"), (F.col("x") == F.col("y")).alias("same_membership"))
 
 
