@@ -26,7 +26,7 @@ from loomflow.llm.postings import NO_ID, pack, unpack
 
 LENGTH, FIRST = 13, 7
 #: Windows that a task gathers before it sends them, windows of a bucket and bytes of text of a shard.
-GATHER, BUCKET_WINDOWS, SHARD_BYTES = 1 << 21, 1 << 21, 6 << 20
+GATHER, BUCKET_WINDOWS, SHARD_BYTES = 1 << 20, 1 << 20, 6 << 20
 
 SENT = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
 SENT_DDL = "dest int, kind int, docs binary, hashes binary"
