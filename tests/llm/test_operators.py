@@ -323,6 +323,17 @@ def test_toxicity_restores_disguised_words():
     assert [decoder.decode(w) for w in ("1d10t", "$tup1d", "m0r0n", "idiooooot", "s.t.u.p.i.d", "stupid")] == ["idiot", "stupid", "moron", "idiot", "stupid", "stupid"]
 
 
+def test_toxicity_counts_every_disguise():
+    words = Counter({"idiot": 30, "stupid": 30, "moron": 30, "asshole": 30, "дурак": 30, "the": 200, "a": 200, "you": 200, "are": 90, "i": 90, "river": 40, "table": 40, "house": 40})
+    scorer = toxicity.Scorer(toxicity.Decoder(toxicity.Letters(words)), {w: 3.0 for w in ("idiot", "stupid", "moron", "asshole", "дурак")}, [0.0] * 5)
+    one = ["s t u p i d", "$tup1d", "1d10t", "idiooooot", "s.t.u.p.i.d", "you are a s t u p i d house", "a s t u p i d", "i d i o t", "$ t u p 1 d", "stu p i d", "@$$h0l3", "455h0l3", "the:m0r0n",
+           "m" + "o" * 400 + "ron", "дур" + "а" * 40 + "к", "д у р а к", "the river " + "b c " * 40 + "s t u p i d", "(stup1d!)", "stupid"]
+    two = ["s t u p i d m o r o n", "stupid m0r0n", "m o r o n " + "x " * 31 + "i d i o t"]
+    none = ["the river house", "a b c d", "455", "tab1e h0use", "", "| | | |", "1 2 3 4"]
+    chunk = next(toxicity.A.chunks(toxicity.pa.array(one + two + none), 1 << 62))
+    assert scorer.hits(chunk)[0].tolist() == [1] * len(one) + [2] * len(two) + [0] * len(none)
+
+
 def test_toxicity_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(k, int(k == 12)) for k in range(13)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
