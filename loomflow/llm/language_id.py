@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network.
 
 Filters of several widths over embedded bytes, max pooling over a window of fixed
-length, and softmax; trained in numpy on a bounded sample of labelled texts. A text
+length, and softmax; trained in numpy on windows drawn over the whole of all labelled texts. A text
 is all of its windows, none left out; its languages' probabilities are the windows'
 mean, weighted by the bytes in them.
 """
@@ -20,8 +20,8 @@ from loomflow.llm.tables import fold
 
 #: Bytes of a window; embedding size; filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-#: Labelled texts of each language in the sample, characters of each, and languages at most.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 800, 512, 200
+#: Windows of each language and of all in the sample, about; and of each language however many there are.
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST = 3_200, 640_000, 16
 UNKNOWN = "und"
 
 
@@ -116,21 +116,23 @@ def windows(c: A.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame) -> Network:
-    """A network from (id, text, lang), on a sample of SAMPLE texts or so of each of the most frequent LANGUAGES."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    labels = sorted(r[0] for r in counts)
+    """A network of all languages from (id, text, lang), on SAMPLE windows or so of each, drawn by hash from all windows of its texts."""
+    size = F.octet_length("text")
+    counts = labelled.groupBy("lang").agg(F.sum(F.ceil(size / WINDOW)).alias("n")).collect()
+    labels = sorted(r["lang"] for r in counts)
     if not labels:
         return Network([UNKNOWN])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, SAMPLE / r[1]))])
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    rows = chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text"), "lang").limit(2 * SAMPLE * len(labels)).collect()
+    most = max(SAMPLE_LEAST, min(SAMPLE, SAMPLE_ALL // len(labels)))
+    share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, most / max(r["n"], 1)) * 1_000_000) for r in counts], "lang string, share double")
+    at = F.filter(F.sequence(F.lit(0), F.ceil(size / WINDOW).cast("int") - 1), lambda k: F.pmod(F.xxhash64("id", k), F.lit(1_000_000)) < F.col("share"))
+    cut = F.transform(at, lambda k: F.substring(F.col("text").cast("binary"), k * WINDOW + 1, F.lit(WINDOW)))
+    drawn = labelled.where(size > 0).join(F.broadcast(share), "lang").select("lang", F.explode(cut).alias("window"))
+    rows = drawn.orderBy(F.xxhash64("window"), "window", "lang").limit(2 * most * len(labels)).collect()
     net = Network(labels)
-    chunk = next(A.chunks(pa.array([r["text"] or "" for r in rows], pa.string()), 1 << 62))
-    x, doc, n = windows(chunk)
-    y = np.array([labels.index(r["lang"]) for r in rows], dtype=np.int64)[doc]
-    keep = n >= 16
-    if keep.any():
-        net.train(x[keep], y[keep])
+    if rows:
+        place = {x: k for k, x in enumerate(labels)}
+        x = np.frombuffer(b"".join(bytes(r["window"]).ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)
+        net.train(x, np.array([place[r["lang"]] for r in rows], dtype=np.int64))
     return net
 
 

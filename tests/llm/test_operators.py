@@ -302,6 +302,22 @@ def test_language_held_out_accuracy(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_learns_behind_the_head_of_a_text(spark):
+    rng = np.random.default_rng(4)
+    head = "the same licence line at the head of each file " * 14
+    words = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(90))
+    rows = [(k, head + words("abcdefg" if k % 2 else "tuvwxyz"), "one" if k % 2 else "two") for k in range(400)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(got) > 50 and all(r["lang_pred"] == ("one" if r["doc_id"] % 2 else "two") for r in got)
+
+
+def test_language_keeps_rare_and_short(spark):
+    net = language_id.fit(spark.createDataFrame([(k, "tiny", f"l{k % 230}") for k in range(250)], "id long, text string, lang string"))
+    assert len(net.labels) == 230
+    short = spark.createDataFrame([(k, "abc" if k % 2 else "xyz", "one" if k % 2 else "two") for k in range(90)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == ("one" if r["doc_id"] % 2 else "two") for r in language_id.identify(short).collect())
+
+
 def test_language_edges(docs, nothing):
     got = by_id(language_id.identify(docs))
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (4, 5, 6, 11)) and got[0]["lang_pred"] == "en"
