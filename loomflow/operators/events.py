@@ -91,6 +91,20 @@ def variants(case_table: DataFrame, most: int = 5000) -> DataFrame:
     )
 
 
+def variants_for(case_table: DataFrame, percent: int = 80) -> DataFrame:
+    """(n): how many variants, from the most frequent on, hold `percent` of all cases, counted over all variants.
+
+    Variants of one frequency are one row, so the running sum is over the far fewer frequencies.
+    """
+    freq = case_table.groupBy("variant").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("m"))
+    total = freq.agg(F.sum(F.col("n") * F.col("m")).alias("total"))
+    w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    before = freq.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("m")).over(w), F.lit(0))).crossJoin(F.broadcast(total))
+    below = F.expr(f"({percent} * total - 100 * before - 1) div (100 * n)")
+    short = F.when(100 * F.col("before") < percent * F.col("total"), F.least("m", below)).otherwise(0)
+    return before.agg((F.coalesce(F.sum(short), F.lit(0)) + 1).alias("n"))
+
+
 def classified(log: DataFrame, first_year: int, lo: int, hi: int) -> DataFrame:
     """(case_id, reason, n): whole-case exclusion with the first reason that applies."""
     per = log.groupBy("case_id").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))

@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("variants_for_80_pct", "SELECT count_if(c < 80) + 1 AS n FROM (SELECT 100.0 * sum(n) OVER (ORDER BY n DESC, variant ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS c FROM (SELECT variant, count(*) AS n FROM (SELECT case_id, string_agg(activity, ' -> ' ORDER BY ord) AS variant FROM tlog GROUP BY 1) GROUP BY 1))", TALKS)
 def _(spark, d):
-    return E.variants(E.cases(talks(spark, d))).agg((F.count_if(F.col("cum_share") < 80) + 1).alias("n"))
+    return E.variants_for(E.cases(talks(spark, d)), 80)
 
 
 @query("directly_follows_graph", "SELECT a, b, count(*) AS n FROM (SELECT activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY ord) AS b FROM tlog) WHERE b IS NOT NULL GROUP BY ALL", TALKS)

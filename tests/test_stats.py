@@ -101,3 +101,10 @@ def test_scalars(spark):
     assert [tuple(r) for r in rows] == [(2.0, "human", True, 2.5), (3.0, "batch", False, 3.0), (0.0, "none", True, 0.0)]
     assert CFG.blocks == 13 and common_followup_end(datetime(2018, 10, 1), datetime(2019, 1, 18), 120) == datetime(2018, 9, 20)
     assert CFG.digest() != CFG.but(kappa=0.5).digest()
+
+
+@pytest.mark.parametrize("counts", [[1] * 7000, [9, 9, 4, 4, 4, 1, 1], [5], [8, 2], [3, 2, 2, 1, 1, 1]])
+def test_variants_for_80_percent_counts_all_variants(spark, counts):
+    table = spark.createDataFrame([(f"v{k}",) for k, n in enumerate(counts) for _ in range(n)], "variant string")
+    share = np.cumsum(sorted(counts, reverse=True)) * 100.0 / sum(counts)
+    assert E.variants_for(table).first()["n"] == int((share < 80).sum()) + 1
