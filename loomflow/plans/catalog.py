@@ -438,8 +438,15 @@ def _(spark, d):
 
 @query("portfolios", "SELECT method, CAST(K AS BIGINT) AS K, rank, transition FROM port")
 def _(spark, d):
-    small = PROFILE.but(min_obs=10, min_block=2) if d.rstrip("/").endswith("sf0.001") else PROFILE
-    return M.portfolios(metrics(spark, d, small), small)
+    return M.portfolios(metrics(spark, d), PROFILE)
+
+
+SMALL = PROFILE.but(min_obs=10, min_block=2)
+
+
+@query("portfolios_small", "SELECT method, CAST(K AS BIGINT) AS K, rank, transition FROM port", event_ctes(SMALL))
+def _(spark, d):
+    return M.portfolios(metrics(spark, d, SMALL), SMALL)
 
 
 @query("top_transitions", "SELECT transition, count(*) AS n FROM hist GROUP BY 1 ORDER BY n DESC, transition LIMIT 10")

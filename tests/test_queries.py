@@ -32,6 +32,12 @@ def test_query_matches_sql(spark, duck, name):
     assert got[1] == want[1]
 
 
+def test_portfolios_do_not_depend_on_the_name_of_the_folder(spark, tmp_path):
+    other = tmp_path / "sf0.001"
+    other.symlink_to("/root/testdata/sf0.01")
+    assert rows(catalog.QUERIES["portfolios"](spark, str(other)).toPandas()) == rows(catalog.QUERIES["portfolios"](spark, FOLDER).toPandas())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
