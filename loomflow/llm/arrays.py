@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text in a chunk; temporaries are some 40 times this.
 CHUNK_BYTES = 1 << 21
@@ -24,8 +25,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _RNG = np.random.default_rng(0x5EED)
-_BYTE_VALUE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 2)
 #: Odd multipliers, one for each place in a window.
 _PLACE = _RNG.integers(1, 2**63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,25 +99,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES)
-        inverse = np.uint64(pow(int(_BASE) | 1, -1, 2**64))
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)])) for b in (_BASE | np.uint64(1), inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run's bytes."""
-    power, inverse = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * power[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each run's bytes, by which runs are told apart: XXH64, of a seed of its own."""
+    return xxh64(buf, starts, ends, 0x5EED)
 
 
 def window_hash(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
@@ -187,6 +170,10 @@ def xxh64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
     return _avalanche(_rotl(h, 27) * _P1 + _P4)
 
 
+#: Bytes from which a slice is hashed by itself, not beside the others.
+ALONE = 512
+
+
 def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
     """XXH64 of each slice of the buffer."""
     padded = np.concatenate([buf, np.zeros(32, dtype=np.uint8)])
@@ -194,8 +181,10 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
     at4 = np.ndarray((len(buf) + 28,), dtype="<u4", buffer=padded.data, strides=(1,))
     n = ends - starts
     h = np.full(len(starts), (seed + int(_P5)) % 2**64, dtype=np.uint64)
-    pos = starts.copy()
-    long = np.flatnonzero(n >= 32)
+    pos, left = starts.copy(), n.copy()
+    alone = np.flatnonzero(n >= ALONE)
+    left[alone] = 0
+    long = np.flatnonzero(left >= 32)
     if len(long):
         p, stripes = pos[long].copy(), n[long] // 32
         acc = [np.full(len(long), (seed + x) % 2**64, dtype=np.uint64) for x in (int(_P1) + int(_P2), int(_P2), 0, -int(_P1))]
@@ -208,13 +197,14 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
         for i in range(4):
             hl = (hl ^ _round(np.zeros(len(long), np.uint64), acc[i])) * _P1 + _P4
         h[long], pos[long] = hl, p
+        left[long] = ends[long] - p
     h += n.astype(np.uint64)
-    left = ends - pos
+    zero = np.zeros(1, np.uint64)
     while True:
         m = np.flatnonzero(left >= 8)
         if not len(m):
             break
-        h[m] = _rotl(h[m] ^ _round(np.zeros(len(m), np.uint64), at8[pos[m]]), 27) * _P1 + _P4
+        h[m] = _rotl(h[m] ^ _round(zero, at8[pos[m]]), 27) * _P1 + _P4
         pos[m] += 8
         left[m] -= 8
     m = np.flatnonzero(left >= 4)
@@ -226,4 +216,7 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
         h[m] = _rotl(h[m] ^ padded[pos[m]].astype(np.uint64) * _P5, 11) * _P1
         pos[m] += 1
         left[m] -= 1
-    return _avalanche(h)
+    h = _avalanche(h)
+    for k in alone:
+        h[k] = xxhash.xxh64_intdigest(padded[starts[k] : ends[k]].data, seed)
+    return h

@@ -2,7 +2,8 @@
 
 Each rule's cost and the share it rejects are measured on a sample, inside tasks; the
 rules then run in the order of rejections per cost, each on the documents that all
-before it kept. The verdict (no rule rejects) does not depend on the order.
+before it kept, with the features that are known of them by then. The verdict (no rule
+rejects) does not depend on the order.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomflow.llm import arrays as A
 
@@ -26,13 +28,24 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
+#: Bytes of letters, of any script.
+_LETTERED = _LETTER.copy()
+_LETTERED[0x80:] = True
+_POINT = np.zeros(256, dtype=bool)
+_POINT[list(b".,;:!?")] = True
 
 
 class Texts:
     """A chunk whose features are worked out when first asked for."""
 
-    def __init__(self, c: A.Chunk):
-        self.c, self._got = c, {}
+    def __init__(self, c: A.Chunk, got: dict[str, np.ndarray] | None = None):
+        self.c, self._got = c, got or {}
+
+    def subset(self, keep: np.ndarray) -> Texts:
+        """Some of the documents, with what is known of each."""
+        size = np.diff(self.c.offsets)
+        c = A.Chunk(self.c.rows[keep], self.c.buf[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
+        return Texts(c, {k: v[keep] for k, v in self._got.items() if isinstance(v, np.ndarray)})
 
     def __getattr__(self, name: str):
         got = self.__dict__["_got"]
@@ -61,6 +74,15 @@ class Texts:
     def find_n_upper(self):
         return self.per_doc(_UPPER[self.c.buf])
 
+    def find_n_points(self):
+        return self.per_doc(_POINT[self.c.buf])
+
+    def find_n_lettered(self):
+        """Words with a letter."""
+        s, e, first = self.words
+        seen = np.concatenate([[0], np.cumsum(_LETTERED[self.c.buf])])
+        return np.diff(np.concatenate([[0], np.cumsum(seen[e] > seen[s])])[first])
+
     def find_lines(self):
         """(n_lines, n_dup_lines) of each document: lines with a word, and those of them equal to an earlier line."""
         c = self.c
@@ -74,6 +96,9 @@ class Texts:
         same[1:] = (h[o][1:] == h[o][:-1]) & (doc[o][1:] == doc[o][:-1])
         return np.bincount(doc, minlength=len(c)), np.bincount(doc[o][same], minlength=len(c))
 
+    def find_n_lines(self):
+        return self.lines[0]
+
     def find_n_dup_lines(self):
         return self.lines[1]
 
@@ -100,19 +125,16 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "repeated_words": lambda t: 100 * t.n_repeat_words > 20 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > 3 * t.n_words,
     "word_length": lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words),
-    "repeated_lines": lambda t: (t.n_dup_lines > 3) & (2 * t.n_dup_lines > t.lines[0]),
-    "shouting": lambda t: (t.n_letters > 20) & (2 * t.n_upper > t.n_letters),
+    "unlettered": lambda t: 5 * t.n_lettered < 4 * t.n_words,
+    "punctuation": lambda t: t.n_points > t.n_words,
+    "repeated_lines": lambda t: (t.n_dup_lines > 3) & (2 * t.n_dup_lines > t.n_lines),
+    "shouting": lambda t: (t.n_letters > 20) & (10 * t.n_upper > 3 * t.n_letters),
 }
 #: The rules whose rejection is the contract's base_failed.
 BASE = ("few_words", "repeated_words")
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _subset(c: A.Chunk, keep: np.ndarray) -> A.Chunk:
-    size = np.diff(c.offsets)
-    return A.Chunk(c.rows[keep], c.buf[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
-
-
 def estimate(docs: DataFrame, text_col: str, rules: dict[str, Callable], sample: int = SAMPLE) -> list[str]:
     """The rules by rejections per second on a sample of about `sample` documents, most first."""
 
@@ -135,41 +157,39 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """The columns of `docs` with `kept_col`, and with the features and base_failed if `features`.
 
     Null and empty texts have no words and fail few_words. A document is kept if no rule
-    rejects it. An empty table gives an empty result. Columns of `docs` that clash with
-    an added one are replaced.
+    rejects it; repeated rows get the same verdict each. An empty table gives an empty
+    result. Columns of `docs` that clash with an added one are replaced.
     """
     rules = RULES if rules is None else rules
     order = estimate(docs, text_col, rules)
+    if features:  # these are known of every document by then
+        order = sorted(order, key=lambda name: name not in BASE)
     added = [*FEATURES, "base_failed"] * features + [kept_col]
+    own = docs.drop(*(x for x in added if x != text_col))
+    at = own.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             kept, out = np.zeros(n, dtype=bool), {f: np.zeros(n, dtype=np.int64) for f in FEATURES}
             base = np.zeros(n, dtype=bool)
-            for c in A.chunks(b.column(b.num_columns - 1)):
-                whole = Texts(c)
+            for c in A.chunks(b.column(at), A.CHUNK_BYTES // 2):
+                now = Texts(c)
                 if features:
                     for f in FEATURES:
-                        out[f][c.rows] = getattr(whole, f)
-                    base[c.rows] = np.any([rules[x](whole) for x in BASE if x in rules], axis=0)
-                left = ~base[c.rows]
+                        out[f][c.rows] = getattr(now, f)
+                    base[c.rows] = np.any([rules[x](now) for x in BASE if x in rules] or [np.zeros(len(c), dtype=bool)], axis=0)
                 for name in order:
-                    if not left.any():
+                    keep = ~rules[name](now)
+                    if not keep.all():
+                        now = now.subset(keep)
+                    if not len(now.c):
                         break
-                    if features and name in BASE:
-                        continue
-                    at = np.flatnonzero(left)
-                    left[at[rules[name](Texts(_subset(c, left)))]] = False
-                kept[c.rows] = left
+                kept[now.c.rows] = True
             cols = {**{f: pa.array(v) for f, v in out.items()}, "base_failed": pa.array(base), kept_col: pa.array(kept)}
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(cols[x] for x in added)], schema=_schema(b.schema, added))
-
-    def _schema(old: pa.Schema, names: list[str]) -> pa.Schema:
-        return pa.schema([*list(old)[:-1], *(pa.field(x, pa.bool_() if x in ("base_failed", kept_col) else pa.int64()) for x in names)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(cols[x] for x in added)], names=[*b.schema.names, *added])
 
-    own = docs.drop(*added)
-    schema = own.schema
+    schema = StructType(list(own.schema))
     for x in added:
         schema = schema.add(x, "boolean" if x in ("base_failed", kept_col) else "long")
-    return own.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)

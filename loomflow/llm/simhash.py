@@ -1,11 +1,12 @@
 """SimHash fingerprints, and their exact pairs within a Hamming radius by vantage-point trees.
 
-A tree of vantage points, built on a bounded sample, deals all distinct fingerprints
-into shards: inside a node's distance, or outside. A fingerprint outside but within
-the radius of the boundary is also a query of the inner shard, so that each pair
-within the radius meets in one shard at least (triangle bound). Within a shard the
-same tree goes on down to small leaves. Shards return spanning edges only, so a
-dense group costs no more edges than it has members.
+A tree of vantage points deals all distinct fingerprints into shards: inside a node's
+distance, or outside. A fingerprint outside but within the radius of the boundary is
+also a query of the inner shard, so that each pair within the radius meets in one shard
+at least (triangle bound). A node splits until the rows that its share of the sample
+stands for, copies included, are under a shard's bound, so the tree grows with the
+data. Within a shard the same tree goes on down to small leaves. Shards return spanning
+edges only, so a dense group costs no more edges than it has members.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.llm import arrays as A
 from loomflow.llm.components import components
-from loomflow.llm.tables import shared_folder, written
+from loomflow.llm.tables import parts, row_key, shared_folder, written
 
 RADIUS, SHINGLE = 2, 3
-#: Fingerprints on which the tree is built, fingerprints of a shard, and of a leaf within it.
-SAMPLE, SHARD, LEAF = 20_000, 20_000, 384
+#: Fingerprints of a shard at least and at most (about a share of all for each partition), and of a leaf within it.
+SHARD_LEAST, SHARD_MOST, LEAF = 1 << 15, 1 << 19, 384
+#: Fingerprints of the sample for each shard, and of the sample at most (8 bytes each).
+SAMPLE, SAMPLE_MOST = 256, 1 << 22
+#: A node stays whole if its better half would still have this share of its rows.
+WHOLE = 0.9
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -38,21 +42,28 @@ def fingerprint_chunk(c: A.Chunk, shingle: int = SHINGLE) -> np.ndarray:
     text, ws, we = A.spaced(A.LOWER[c.buf], s, e)
     words = np.diff(first)
     per_doc = np.where(words == 0, 0, np.maximum(words - shingle + 1, 1))
-    full = np.flatnonzero(per_doc)
     doc = np.repeat(np.arange(len(c)), per_doc)
     begin = np.cumsum(per_doc) - per_doc
     lead = np.arange(len(doc)) - begin[doc] + first[:-1][doc]
     last = np.minimum(lead + shingle, first[1:][doc]) - 1
     h = A.xxh64(text, ws[lead], we[last])
-    # Sums of each bit over runs of 255 shingles at most, in eight one-byte lanes at a time.
-    runs = np.concatenate([np.arange(begin[d], begin[d] + per_doc[d], 255) for d in full])
-    run_doc = np.repeat(full, -(-per_doc[full] // 255))
-    counts = np.zeros((len(c), 64), dtype=np.int64)
+    return _majority(h, begin, per_doc)
+
+
+def _majority(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the hashes of each document: `size` of them from `begin` on, one document after another."""
+    full = np.flatnonzero(size)
+    if not len(full):
+        return np.zeros(len(size), dtype=np.uint64)
+    # Sums of each bit over runs of 255 hashes at most, in eight one-byte lanes at a time.
+    per = -(-size[full] // 255)
+    run_doc = np.repeat(full, per)
+    runs = begin[run_doc] + 255 * (np.arange(len(run_doc)) - np.repeat(np.cumsum(per) - per, per))
+    counts = np.zeros((len(size), 64), dtype=np.int64)
     for bit in range(8):
         lanes = np.add.reduceat((h >> np.uint64(bit)) & LANES, runs)
         np.add.at(counts[:, bit::8], run_doc, lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64))
-    bits = counts * 2 > per_doc[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _fingerprints(shingle: int):
@@ -75,53 +86,67 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Vantage points of the upper levels; nodes in heap order, each with its point and the distance within which a fingerprint is inside."""
+    """Vantage points; each node has its point, the distance within which a fingerprint is inside, and its two children. A negative child is a shard."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, rows: float = 1.0, bound: int = SHARD_LEAST, radius: int = RADIUS, seed: int = 7):
+        """`rows` that each fingerprint of the sample stands for, and the bound of a shard."""
         rng = np.random.default_rng(seed)
-        self.depth, n = depth, 2**depth - 1
-        self.point, self.within = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-        parts = {0: sample}
-        for k in range(n):
-            own = parts.pop(k)
-            tried = [_vantage(own, rng) for _ in range(4)] if len(own) else [(np.uint64(0), 32, 0.0)]
-            self.point[k], self.within[k], _ = min(tried, key=lambda x: x[2])
-            d = distance(own, self.point[k])
-            parts[2 * k + 1], parts[2 * k + 2] = own[d <= self.within[k]], own[d > self.within[k]]
-
-    def shards(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        point, within, child = [], [], []
+        self.shards = 0
+        stack = [(sample, -1, 0)]
+        while stack:
+            own, parent, side = stack.pop()
+            at = -1
+            if len(own) * rows > bound and len(own) > 8:
+                p, d, cost = min((_vantage(own, rng, radius) for _ in range(4)), key=lambda x: x[2])
+                if cost < WHOLE:
+                    at = len(point)
+                    point.append(p), within.append(d), child.append([0, 0])
+                    far = distance(own, p).astype(np.int64)
+                    stack += [(own[far <= d + radius], at, 0), (own[far > d], at, 1)]
+            if at < 0:
+                self.shards += 1
+                at = -self.shards
+            if parent >= 0:
+                child[parent][side] = at
+        self.point, self.within, self.child, self.radius = np.array(point, np.uint64), np.array(within, np.int64), np.array(child, np.int64).reshape(-1, 2), radius
+
+    def deal(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, shard): the shard of each fingerprint, and each inner shard whose boundary it is within the radius of."""
-        row, node = np.arange(len(fp)), np.zeros(len(fp), dtype=np.int64)
-        for _ in range(self.depth):
-            d = distance(fp[row], self.point[node]).astype(np.int64)
-            over = d - self.within[node]
-            near = (over > 0) & (over <= radius)
-            row, node = np.concatenate([row, row[near]]), np.concatenate([np.where(over <= 0, 2 * node + 1, 2 * node + 2), 2 * node[near] + 1])
-        return row, node - (2**self.depth - 1)
-
-
-def _vantage(own: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int, float]:
-    """A point far from much, the distance that halves `own`, and the rows of both sides over those of `own`."""
+        row, node = np.arange(len(fp)), np.full(len(fp), 0 if len(self.point) else -1, dtype=np.int64)
+        done_row, done = [], []
+        while len(row):
+            out = node < 0
+            done_row.append(row[out]), done.append(-node[out] - 1)
+            row, node = row[~out], node[~out]
+            over = distance(fp[row], self.point[node]).astype(np.int64) - self.within[node]
+            near = (over > 0) & (over <= self.radius)
+            row, node = np.concatenate([row, row[near]]), np.concatenate([self.child[node, (over > 0).astype(np.int64)], self.child[node[near], 0]])
+        return np.concatenate(done_row or [row]), np.concatenate(done or [node])
+
+
+def _vantage(own: np.ndarray, rng: np.random.Generator, radius: int = RADIUS) -> tuple[np.uint64, int, float]:
+    """A point, the distance that halves `own` best, and the share of its rows in the larger half."""
     p = own[rng.integers(len(own))]
     d = distance(own, p).astype(np.int64)
     counts = np.bincount(d, minlength=65)
     inside = np.cumsum(counts)
-    ahead = np.concatenate([inside[RADIUS:], np.repeat(inside[-1], RADIUS)])
+    ahead = np.concatenate([inside[radius:], np.repeat(inside[-1], radius)])
     cost = np.maximum(ahead, inside[-1] - inside) / len(own)
     at = int(np.argmin(cost[:64]))
     return p, at, float(cost[at])
 
 
 def spanning_edges(fp: np.ndarray, radius: int = RADIUS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect exactly what pairs within the radius connect, among distinct fingerprints."""
+    """Pairs within the radius that connect exactly what all such pairs connect, among distinct fingerprints."""
     rng = np.random.default_rng(seed)
     a, b = [], []
     stack = [np.arange(len(fp))]
     while stack:
         own = stack.pop()
         if len(own) > LEAF:
-            p, at, cost = min((_vantage(fp[own], rng) for _ in range(3)), key=lambda x: x[2])
-            if cost < 0.9:
+            p, at, cost = min((_vantage(fp[own], rng, radius) for _ in range(3)), key=lambda x: x[2])
+            if cost < WHOLE:
                 d = distance(fp[own], p).astype(np.int64)
                 stack += [own[d <= at + radius], own[d > at]]
                 continue
@@ -139,37 +164,55 @@ def spanning_edges(fp: np.ndarray, radius: int = RADIUS, seed: int = 3) -> tuple
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node that has a smaller one in its component, with the smallest."""
+    """Edges out of those given that connect the same nodes without a cycle: each part takes its first edge out, until none leads out."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     x, y = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
+    label, edge, taken = np.arange(len(nodes)), np.arange(len(u)), []
+    while len(edge):
+        a, b = label[x[edge]], label[y[edge]]
+        out = a != b
+        edge, a, b = edge[out], a[out], b[out]
+        if not len(edge):
+            break
+        first = np.full(len(nodes), len(edge))
+        np.minimum.at(first, a, np.arange(len(edge)))
+        np.minimum.at(first, b, np.arange(len(edge)))
+        pick = np.unique(first[first < len(edge)])
+        taken.append(edge[pick])
+        label = _joined(label, a[pick], b[pick])
+    pick = np.concatenate(taken) if taken else edge
+    return nodes[x[pick]], nodes[y[pick]]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the parts `a` and `b` have become one, each by the smallest of its parts."""
+    to = np.arange(len(label))
     while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
+        low = np.minimum(to[a], to[b])
+        new = to.copy()
+        np.minimum.at(new, to[a], low)
+        np.minimum.at(new, to[b], low)
         new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[moved]], nodes[moved]
+        if (new == to).all():
+            return to[label]
+        to = new
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): spanning edges of the fingerprints (column fp, distinct) within the radius of each other."""
     n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
+    bound = max(SHARD_LEAST, min(SHARD_MOST, n // parts(distinct.sparkSession)))
     sample = np.zeros(0, np.uint64)
-    if depth:
-        part = distinct.sample(fraction=min(1.0, 1.2 * SAMPLE / n), seed=11).limit(SAMPLE)  # the points only; every fingerprint is dealt out below
+    if n > bound:
+        want = min(SAMPLE_MOST, max(SAMPLE * n // bound, 4096))
+        part = distinct.sample(fraction=min(1.0, want / n), seed=11)  # the points only; every fingerprint is dealt out below
         sample = np.array(sorted(r[0] for r in part.collect()), dtype=np.int64).view(np.uint64)
-    tree = Tree(sample, depth)
+    tree = Tree(sample, n / max(1, len(sample)), bound, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            row, shard = tree.shards(fp, radius)
+            row, shard = tree.deal(fp)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[row].view(np.int64))], names=["shard", "fp"])
 
     def pairs(t: pa.Table) -> pa.Table:
@@ -198,12 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Bands of a text that are compared at most, and shingles in a band at most (on average half as many and up).
-BANDS, BAND_SHINGLES = 32, 8
+#: Anchors of a text (its least shingle hashes): a pair of similarity s shares none with a chance of about (1 - s) ** ANCHORS.
+ANCHORS = 16
+#: Bits in which fingerprints of texts alike by 0.8 differ at most: ten on average, with a standard deviation of three to four.
+REACH = 26
 
 
 def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document) of each distinct shingle, in order of both, and a hash of each document's words."""
+    """(hash, document) of each distinct shingle, in order of document and hash, and a hash of each document's words."""
     s, e, first = A.word_bounds(~A.SPACE[c.buf], c.offsets)
     words = np.diff(first)
     text, ws, we = A.spaced(A.LOWER[c.buf], s, e)
@@ -223,33 +268,20 @@ def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, n
     return h[new], doc[new], whole
 
 
-def _bands(h: np.ndarray) -> list[int]:
-    """Fingerprints of bands of a text's shingles, dealt by hash, as many as halve and double with the text's length."""
-    want = max(1.0, len(h) / BAND_SHINGLES)
-    powers = {int(np.ceil(np.log2(want * x))) for x in (0.85, 1.2)} | ({0, 1, 2} if len(h) <= 3 * BAND_SHINGLES else set())
-    out = []
-    for p in sorted(powers):
-        band = A.mix(h) % np.uint64(1 << p)
-        for k in range(min(1 << p, BANDS)):
-            own = h[band == np.uint64(k)]
-            if len(own):
-                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(own)
-                fp = np.packbits(bits, bitorder="little").view("<u8")[0]
-                out.append(int(A.mix(np.array([fp ^ np.uint64((p << 32) + (k << 8) + min(len(own), 255))], dtype=np.uint64)).view(np.int64)[0]))
-    return out
-
-
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, bands = [], []
-            for c in A.chunks(b.column(2)):
+            for c in A.chunks(b.column(2), A.CHUNK_BYTES // 2):
                 h, doc, whole = _shingle_hashes(c, shingle)
                 at = np.searchsorted(doc, np.arange(len(c) + 1))
-                node.append(whole)
-                bands += [_bands(h[i:j]) if j > i else [] for i, j in zip(at[:-1], at[1:])]
-            whole = np.concatenate(node).view(np.int64) if node else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row_key", "node", "bands"])
+                n = np.diff(at)
+                bits = _majority(h, at[:-1], n)
+                few = np.minimum(n, ANCHORS)
+                ends = np.cumsum(few)
+                anchors = h[np.arange(int(ends[-1])) + np.repeat(at[:-1] - (ends - few), few)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(anchors.view(np.int64)))
+                own = b.slice(int(c.rows[0]), len(c))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(whole.view(np.int64)), pa.array(n), pa.array(bits.view(np.int64)), lists], names=["id", "row_key", "node", "n", "fp", "anchors"])
 
     return run
 
@@ -257,39 +289,67 @@ def _features(shingle: int):
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for c in A.chunks(b.column(1)):
+            for c in A.chunks(b.column(1), A.CHUNK_BYTES // 2):
                 h, doc, _ = _shingle_hashes(c, shingle)
-                at = np.searchsorted(doc, np.arange(len(c) + 1))
-                sets += [h[i:j].view(np.int64) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                at = np.searchsorted(doc, np.arange(len(c) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(c.rows[0]), len(c)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
     return run
 
 
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """(u, v, bits): pairs of texts to be compared.
+
+    Two members of each anchor's group, drawn by hash of member and anchor, so others for
+    each anchor, are paired with all of its members; and the pairs of fingerprints that
+    the vantage-point search finds are paired as they are, equal ones with the least node.
+    """
+    post = nodes.select("node", "n", "fp", F.explode("anchors").alias("anchor"))
+    own = F.struct("node", "n", "fp")
+    heads = post.groupBy("anchor").agg(F.min_by(own, F.xxhash64("node", "anchor")).alias("a"), F.min_by(own, F.xxhash64("anchor", "node")).alias("b"), F.count("*").alias("m")).where("m > 1")
+    met = post.join(heads, "anchor").select("node", "n", "fp", F.explode(F.array("a", "b")).alias("head"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp")))
+    near = met.where((5 * F.least("n", "head.n") >= 4 * F.greatest("n", "head.n")) & (bits <= REACH)).select("node", F.col("head.node").alias("other"), bits.alias("bits"))
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    same = nodes.join(first, "fp").select("node", F.col("head").alias("other"), F.lit(0).alias("bits"))
+    found = links(first.select("fp"))
+    tree = found.join(first.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(first.select(F.col("fp").alias("v"), F.col("head").alias("other")), "v")
+    tree = tree.select("node", "other", F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"))
+    both = near.unionByName(same).unionByName(tree).where("node != other")
+    return both.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "bits").distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are alike by `similarity` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, row_key, component): classes of texts whose sets of `shingle` words are alike by `similarity` or more.
 
-    The whole-text radius of near_duplicates is too narrow for that similarity, so SimHash
-    fingerprints of bands of shingles propose links, each of a text to two members of its
-    band, and the sets of shingles decide on them exactly. Texts of equal words are one
-    node. component is the class's smallest node; row_key identifies the row's id and text.
-    Null and empty texts are one class. Other columns are ignored.
+    SimHash fingerprints of the sets propose pairs (see _proposed); the sets decide on them
+    exactly, first on each text's nearest pair, then on the pairs that lead from one class
+    found so far to another. Texts of equal words (A-Z lower-cased) are one node, by a
+    64-bit hash. component is the class's smallest node; row_key identifies the row's id
+    and text. Null and empty texts are one class; identical rows share a row_key. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    rows = written(own.mapInArrow(_features(shingle), f"id {kind}, row_key long, node long, bands array<long>"), "bands")
-    nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.min_by("node", F.xxhash64("node", "band")).alias("b"), F.max("node").alias("top")).where("a != top").drop("top")
-    pairs = banded.join(heads, "band").select(F.explode(F.array("a", "b")).alias("u"), F.col("node").alias("v")).where("u != v")
-    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    keys = nodes.select("node", "row_key").join(used, "node", "left_semi")
+    rows = written(own.mapInArrow(_features(shingle), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
+    nodes = rows.select("node", "n", "fp", "anchors").dropDuplicates(["node"])
+    pairs = written(_proposed(nodes), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(ends, "node", "left_semi")
     texts = own.select("row_key", "text").join(keys, "row_key").dropDuplicates(["node"]).select("node", "text")
     sets = written(texts.mapInArrow(_shingle_sets(shingle), "node long, shingles array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    label = components(links)
+    each = pairs.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("node"))
+    nearest = each.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct()
+    found = written(_alike(nearest, sets, similarity), "links")
+    label = components(found)
+    at = lambda end: label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    label = components(found.unionByName(_alike(rest, sets, similarity)))
     return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))

@@ -121,6 +121,28 @@ def test_quality(docs, nothing):
     assert quality_rules.quality(nothing).count() == 0
 
 
+def test_quality_hashes_of_lines_do_not_collide(spark):
+    """Two different lines of 1,024 letters, on which polynomial hashes modulo a power of two agree."""
+    line = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = line.translate(str.maketrans("ab", "ba"))
+    got = quality_rules.quality(spark.createDataFrame([(1, f"{line}\n{other}"), (2, f"{line}\n{line}")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_dup_lines"] for r in got} == {1: 0, 2: 1}
+
+
+def test_quality_rules_each_reject(spark):
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    texts = {
+        "few_words": "three words here", "repeated_words": " ".join(words[:6] * 10), "symbols": " ".join(f"{w}#" for w in words), "word_length": " ".join(f"{w}{'x' * 30}" for w in words),
+        "unlettered": " | ".join(words[:30]).replace("|", "-"), "punctuation": " ".join(f"{w}!!" for w in words), "repeated_lines": "\n".join(f"{w} a b c" for w in words[:2] for _ in range(9)), "shouting": " ".join(words).upper(), "": " ".join(words),
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, __text_ string").withColumnRenamed("__text_", "text").withColumn("__text", F.lit(1)).withColumn("__key", F.lit("x"))
+    for k, name in enumerate(texts):
+        for rule, f in quality_rules.RULES.items():
+            if rule == name:
+                assert [r["doc_id"] for r in quality_rules.quality(docs, rules={rule: f}, features=False).where("not kept").collect()].count(k) == 1
+    assert [r["doc_id"] for r in quality_rules.quality(docs).where("kept").collect()] == [len(texts) - 1]
+
+
 def test_quality_verdict_does_not_depend_on_order(docs):
     alone = {n: {r["row"]: r["kept"] for r in quality_rules.quality(docs.withColumn("row", F.xxhash64("doc_id", "text")), rules={n: f}, features=False).collect()} for n, f in quality_rules.RULES.items()}
     both = {r["row"]: r["kept"] for r in quality_rules.quality(docs.withColumn("row", F.xxhash64("doc_id", "text")), features=False).collect()}
@@ -190,14 +212,29 @@ def test_simhash(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def parts(n, a, b):
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(n)]
+
+
 def test_vantage_point_shards_lose_no_pair():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 4000, dtype=np.uint64)
     one = np.uint64(1)
     y = x[:800] ^ (one << rng.integers(0, 64, 800).astype(np.uint64)) ^ (one << rng.integers(0, 64, 800).astype(np.uint64))
     fp = np.unique(np.concatenate([x, y, y[:200] ^ one]))
-    tree = simhash.Tree(fp, 4)
-    row, shard = tree.shards(fp, 2)
+    tree = simhash.Tree(fp, 1.0, 500)
+    row, shard = tree.deal(fp)
+    assert tree.shards > 8
     pairs = set()
     for s in np.unique(shard):
         own = np.unique(row[shard == s])
@@ -205,30 +242,56 @@ def test_vantage_point_shards_lose_no_pair():
         pairs |= {(own[i], own[j]) for i, j in zip(u, v) if i < j}
     u, v = np.nonzero(np.triu(simhash.distance(fp[:, None], fp[None, :]) <= 2, 1))
     assert pairs == set(zip(u, v))
-    assert sorted(zip(*simhash.spanning_edges(fp))) == sorted(zip(*simhash._forest(u, v)))
+    a, b = simhash.spanning_edges(fp)
+    assert set(zip(a, b)) <= pairs and parts(len(fp), a, b) == parts(len(fp), u, v) and len(a) == len(fp) - len(set(parts(len(fp), u, v)))
+
+
+def shingle_sets(texts, size=5):
+    return [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if (w := t.translate(LOWER).split()) else set() for t in texts]
 
 
-def test_similar_texts(spark):
+def test_similar_texts_against_all_pairs(spark):
+    """Texts of 4 to 3,000 words, copies at 0.8 to 0.98, and a class of 120 variants of one text."""
     rng = np.random.default_rng(5)
     make = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
-    texts, groups = [], []
-    for g in range(40):
-        base = make(int(rng.integers(20, 400)))
-        texts.append(base), groups.append(g)
-        for _ in range(3):
+    texts = []
+    for g in range(120):
+        base = make(int(rng.choice([4, 5, 6, 9, 20, 45, 90, 300, 3000])))
+        texts.append(base)
+        for _ in range(3 if g else 120):
             copy = list(base)
-            for at in rng.integers(0, len(base), max(1, len(base) // 100)):
-                copy[at] = "changed"
-            a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy))
-            if len(a & b) >= 0.82 * len(a | b):
-                texts.append(copy), groups.append(g)
-    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    label = {r["id"]: r["component"] for r in simhash.similar_texts(df).collect()}
-    together = {}
-    for k, g in enumerate(groups):
-        together.setdefault(g, []).append(label[k])
-    assert sum(len(set(x)) == 1 for x in together.values()) >= 39  # bands may miss a link with small probability
-    assert len({x for own in together.values() for x in set(own)}) >= len(together)
+            for at in rng.integers(0, len(base), max(1, len(base) // int(rng.choice([45, 60, 100])))):
+                copy[at] = f"c{rng.integers(0, 99)}"
+            texts.append(copy[: len(copy) - int(rng.integers(0, 1 + len(base) // 30))])
+    texts = [" ".join(t) for t in texts]
+    sets = shingle_sets(texts)
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    n_links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                root[find(a)] = find(b)
+                n_links += 1
+    got = {r["id"]: r["component"] for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [find(k) for k in range(len(texts))]
+    assert n_links > 1000 and len({(want[k], got[k]) for k in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_vantage_point_tree_grows_with_the_data():
+    rng = np.random.default_rng(1)
+    fp = np.unique(rng.integers(0, 2**63, 1 << 20, dtype=np.uint64))
+    bound = 1 << 15
+    tree = simhash.Tree(fp[:: len(fp) // 16384], len(fp) / 16384, bound)
+    _, shard = tree.deal(fp)
+    size = np.bincount(shard, minlength=tree.shards)
+    assert size.max() <= 2 * bound and tree.shards >= 32 and len(shard) < 5 * len(fp)
 
 
 def test_secret_scan(docs, nothing):
