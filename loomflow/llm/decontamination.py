@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.llm.tables import written
+from loomflow.llm.tables import row_key, written
 
 WINDOW, SHINGLE = 10, 3
 #: Most distinct shingles (8 bytes each) of the benchmark that are broadcast; beyond, the join shuffles.
@@ -51,7 +51,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows of several items count for each. Identical rows share a row_key and get the same
     result each. An empty table on either side gives no hits. Other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     items = written(windows_of(benchmark, item_col, item_text, window).distinct(), "windows")
     windows = items.dropDuplicates(["wid", "w"]).select("wid", "w").withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 to SHINGLE

@@ -12,6 +12,7 @@ edges only, so a dense group costs no more edges than it has members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -243,6 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Anchors of a text (its least shingle hashes): a pair of similarity s shares none with a chance of about (1 - s) ** ANCHORS.
 ANCHORS = 16
+#: Members of an anchor's group up to which all meet all.
+FEW = 16
+#: Times that hubs of large groups are sought.
+HUB_ROUNDS = 3
 #: Bits in which fingerprints of texts alike by 0.8 differ at most: ten on average, with a standard deviation of three to four.
 REACH = 26
 
@@ -297,26 +302,66 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
+def _anchored(nodes: DataFrame) -> DataFrame:
+    """(anchor, node, n, fp, m): the texts at each anchor that m texts share, m over one."""
+    post = nodes.select("node", "n", "fp", F.explode("anchors").alias("anchor"))
+    return post.join(post.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchor")
+
+
+def _within_reach() -> F.Column:
+    """Whether a text and its head may be alike, by their sizes and fingerprints."""
+    return (5 * F.least("n", "head.n") >= 4 * F.greatest("n", "head.n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= REACH)
+
+
+def _pair() -> list[F.Column]:
+    return [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
+
+
+def _heads(post: DataFrame) -> DataFrame:
+    """(anchor, head) of each large group: the member whose fingerprint is nearest to the majority of each bit, and one drawn by hash of member and anchor."""
+    own, many = F.struct("node", "n", "fp"), post.where(F.col("m") > FEW)
+    set_bits = [F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"bit{k}") for k in range(64)]
+    ones = [F.when(2 * F.col(f"bit{k}") > F.col("m"), F.lit(np.uint64(1 << k).astype(np.int64).item())).otherwise(0) for k in range(64)]
+    middle = many.groupBy("anchor").agg(F.first("m").alias("m"), *set_bits).select("anchor", reduce(lambda x, y: x.bitwiseOR(y), ones).alias("middle"))
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    two = many.join(middle, "anchor").groupBy("anchor").agg(F.min_by(own, F.struct(away, "node")).alias("a"), F.min_by(own, F.xxhash64("node", "anchor")).alias("b"))
+    return two.select("anchor", F.explode(F.array("a", "b")).alias("head"))
+
+
+def _proposed(nodes: DataFrame, post: DataFrame, heads: DataFrame) -> DataFrame:
     """(u, v, bits): pairs of texts to be compared.
 
-    Two members of each anchor's group, drawn by hash of member and anchor, so others for
-    each anchor, are paired with all of its members; and the pairs of fingerprints that
-    the vantage-point search finds are paired as they are, equal ones with the least node.
+    All pairs of an anchor's group of FEW members at most; of a larger one, its heads with
+    all. The pairs of fingerprints that the vantage-point search finds are paired as they
+    are, equal ones with the least node.
     """
-    post = nodes.select("node", "n", "fp", F.explode("anchors").alias("anchor"))
-    own = F.struct("node", "n", "fp")
-    heads = post.groupBy("anchor").agg(F.min_by(own, F.xxhash64("node", "anchor")).alias("a"), F.min_by(own, F.xxhash64("anchor", "node")).alias("b"), F.count("*").alias("m")).where("m > 1")
-    met = post.join(heads, "anchor").select("node", "n", "fp", F.explode(F.array("a", "b")).alias("head"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp")))
-    near = met.where((5 * F.least("n", "head.n") >= 4 * F.greatest("n", "head.n")) & (bits <= REACH)).select("node", F.col("head.node").alias("other"), bits.alias("bits"))
+    own, many = F.struct("node", "n", "fp"), post.where(F.col("m") > FEW)
+    met = many.join(heads, "anchor").select("node", "n", "fp", "head")
+    few = post.where(F.col("m") <= FEW).select("anchor", "node", "n", "fp")
+    met = met.unionByName(few.join(few.select("anchor", own.alias("head")), "anchor").where("node < head.node").select("node", "n", "fp", "head"))
+    near = met.where(_within_reach()).select("node", F.col("head.node").alias("other"), F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("bits"))
     first = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
     same = nodes.join(first, "fp").select("node", F.col("head").alias("other"), F.lit(0).alias("bits"))
     found = links(first.select("fp"))
     tree = found.join(first.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(first.select(F.col("fp").alias("v"), F.col("head").alias("other")), "v")
     tree = tree.select("node", "other", F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"))
     both = near.unionByName(same).unionByName(tree).where("node != other")
-    return both.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "bits").distinct()
+    return both.select(*_pair(), "bits").distinct()
+
+
+def _hubs(post: DataFrame, found: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
+    """(anchor, head) of each large group that has several classes: the member with the most links so far that was not a head yet."""
+    degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    many = post.where(F.col("m") > FEW).join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = many.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("anchor")
+    left = many.join(degree, "node").join(tried, "node", "left_anti").join(mixed, "anchor", "left_semi")
+    return left.groupBy("anchor").agg(F.max_by(F.struct("node", "n", "fp", "root"), F.struct("degree", "node")).alias("head"))
+
+
+def _toward(post: DataFrame, hubs: DataFrame, label: DataFrame) -> DataFrame:
+    """(u, v): the hubs and the members of their groups that are of other classes."""
+    many = post.join(hubs, "anchor").join(label, "node", "left").where((F.coalesce("root", "node") != F.col("head.root")) & _within_reach())
+    return many.select("node", F.col("head.node").alias("other")).select(*_pair()).distinct()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -331,7 +376,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     SimHash fingerprints of the sets propose pairs (see _proposed); the sets decide on them
     exactly, first on each text's nearest pair, then on the pairs that lead from one class
-    found so far to another. Texts of equal words (A-Z lower-cased) are one node, by a
+    found so far to another, then on those of large groups' hubs, HUB_ROUNDS times. Texts of equal words (A-Z lower-cased) are one node, by a
     64-bit hash. component is the class's smallest node; row_key identifies the row's id
     and text. Null and empty texts are one class; identical rows share a row_key. An empty
     table gives an empty result. Other columns are ignored.
@@ -340,7 +385,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = own.schema["id"].dataType.simpleString()
     rows = written(own.mapInArrow(_features(shingle), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
     nodes = rows.select("node", "n", "fp", "anchors").dropDuplicates(["node"])
-    pairs = written(_proposed(nodes), "pairs")
+    post = written(_anchored(nodes), "anchors")
+    heads = written(_heads(post), "heads")
+    pairs = written(_proposed(nodes, post, heads), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     keys = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(ends, "node", "left_semi")
     texts = own.select("row_key", "text").join(keys, "row_key").dropDuplicates(["node"]).select("node", "text")
@@ -351,5 +398,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = components(found)
     at = lambda end: label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     rest = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    label = components(found.unionByName(_alike(rest, sets, similarity)))
+    more = written(_alike(rest, sets, similarity), "links")
+    found = found.unionByName(more)
+    label = label if more.isEmpty() else components(found)
+    tried = heads.select("head.node")
+    for _ in range(HUB_ROUNDS):
+        hubs = written(_hubs(post, found, label, tried.distinct()), "hubs")
+        if hubs.isEmpty():
+            break
+        more = written(_alike(_toward(post, hubs, label), sets, similarity), "links")
+        tried = tried.unionByName(hubs.select("head.node"))
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            label = components(found)
     return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))
