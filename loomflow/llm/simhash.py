@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomflow.llm import arrays as A
 from loomflow.llm.components import components
-from loomflow.llm.tables import parts, row_key, shared_folder, written
+from loomflow.llm.tables import parts, row_key, written
 
 RADIUS, SHINGLE = 2, 3
 #: Fingerprints of a shard at least and at most (about a share of all for each partition), and of a leaf within it.
@@ -232,7 +232,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if the class has none). An empty table gives an empty result. Other columns
     are ignored.
     """
-    shared_folder(docs.sparkSession)
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     smallest = written(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     label = components(links(smallest, radius))
@@ -247,7 +246,7 @@ ANCHORS = 16
 #: Members of an anchor's group up to which all meet all.
 FEW = 16
 #: Times that hubs of large groups are sought.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Bits in which fingerprints of texts alike by 0.8 differ at most: ten on average, with a standard deviation of three to four.
 REACH = 26
 
