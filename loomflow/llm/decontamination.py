@@ -37,7 +37,7 @@ def _shingles(words: Column, size: int) -> Column:
 
 def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item, wid, w): each item's windows; a shorter item is one window."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("m", F.least(F.size("words"), F.lit(window)))
     starts = F.explode(F.sequence(F.lit(1), F.size("words") - F.col("m") + 1))
     return items.select("item", "words", "m", starts.alias("s")).select("item", F.expr("slice(words, s, m)").alias("w")).select("item", F.xxhash64("w").alias("wid"), "w")
@@ -47,9 +47,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, row_key, n_words, n_hit, n_items, items_sha256, contaminated) of each row of `docs`.
 
     A word is hit if a window of some item lies over it. Null and empty texts have no words
-    and no hits; items without words have no windows; items of null id are left out; equal
-    windows of several items count for each. Identical rows share a row_key and get the same
-    result each. An empty table on either side gives no hits. Other columns are ignored.
+    and no hits; items without words have no windows; those of null id hit words, but
+    have no name to count or list; equal windows of several items count for each. Identical
+    rows share a row_key (128 bits of id and text) and get the same result each. An empty table on either side gives no hits. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     items = written(windows_of(benchmark, item_col, item_text, window).distinct(), "windows")
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seen = joined.select("id", "row_key", F.size("words").cast("long").alias("n_words"), verified.alias("seen"))
     rows = seen.select("id", "row_key", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("seen", lambda c: F.struct(c["wid"].alias("wid"), c["w"].alias("w")))).alias("windows"))
     rows = written(rows, "hits")
-    named = rows.where("n_hit > 0").select("row_key", F.explode("windows").alias("x")).select("row_key", "x.wid", "x.w").distinct().join(items, ["wid", "w"])
+    named = rows.where("n_hit > 0").select("row_key", F.explode("windows").alias("x")).select("row_key", "x.wid", "x.w").distinct().join(items.where("item is not null"), ["wid", "w"])
     named = named.groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("names")).select("row_key", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
     out = rows.drop("windows").join(named, "row_key", "left")
     return out.select(F.col("id").alias(id_col), "row_key", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -82,4 +82,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sentencepiece, op2_substring_dedup, op3_quality_rules, op4_language_id, op5_token_counts, op6_toxicity, op7_lm_scoring, op8_simhash, op9_secret_scan, op10_decontamination)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The queries that SQL can express; ids of `documents` are distinct and not null.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+t AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
+owner AS (SELECT win, min(doc_id) AS low FROM t GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS at FROM t JOIN owner USING (win) WHERE low < doc_id),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.at) AS text, count(*) AS n FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.at = w.at WHERE gone.at IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM lines GROUP BY ALL) GROUP BY doc_id),
+t AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, win FROM t GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, unnest(range(5)) AS k FROM t JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+ len([x FOR x IN words IF regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]')]) AS lettered, length(regexp_replace(text, '[^.,;:!?]', '', 'g')) AS points,
+ length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS uppers FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * lettered < 4 * n_words OR points > n_words
+  OR (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines) OR (letters > 20 AND 10 * uppers > 3 * letters)) AS kept FROM b""",
+    "op10_decontamination": f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS words FROM documents),
+b AS (SELECT item_id, words, least(len(words), 10) AS m FROM (SELECT item_id, {_PLAIN_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(words[i:i + m - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT m FROM win),
+t AS (SELECT doc_id, m, i, array_to_string(words[i:i + m - 1], ' ') AS w FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d, sizes)),
+hit AS (SELECT doc_id, t.m, i, item_id FROM t JOIN win USING (m, w)),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, unnest(range(m)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
