@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomflow.plans import catalog
+from loomflow.plans import catalog, catalog_exploratory  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.01"
 
