@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomflow.functions import scalars as S
 from loomflow.operators import audit as A
+from loomflow.plans import checks as C
 from loomflow.plans import exploratory as X
 from loomflow.plans import model as M
 from loomflow.plans.catalog import CTES, ORDERS, PROFILE, TALKS, events, held, hist, metrics, obs, orders, query, r, talks, tbl
@@ -135,3 +136,11 @@ def _(spark, d):
     port = M.portfolios(metrics(spark, d), PROFILE).select("method", "K", F.col("rank").cast("int").alias("rank"), "transition")
     rest = X.parsed(X.selections(port.where("rank < K"), "primary")).drop("label")
     return X.same_rows(port, rest)
+
+
+@query("reproduction_gate_of_changes", "SELECT metric, count(*) AS rows, round(max(abs(a - b)), 6) AS worst, bool_and(b IS NOT NULL AND abs(a - b) <= 1e-6) AS passed FROM (SELECT unnest(['cvar', 'epsilon', 'risk']) AS metric, unnest([cvar, epsilon, risk]) AS a, unnest([cvar, CASE WHEN transition = last THEN epsilon + 0.5 ELSE epsilon END, CASE WHEN transition = last THEN risk + 1e-8 ELSE risk END]) AS b FROM met, (SELECT max(transition) AS last FROM met)) GROUP BY 1")
+def _(spark, d):
+    m = metrics(spark, d)
+    changed = F.col("transition") == F.col("last")
+    other = m.crossJoin(m.agg(F.max("transition").alias("last"))).withColumn("epsilon", F.col("epsilon") + F.when(changed, 0.5).otherwise(0.0)).withColumn("risk", F.col("risk") + F.when(changed, 1e-8).otherwise(0.0))
+    return C.reproduction(m, other, "transition", ["cvar", "epsilon", "risk"])
