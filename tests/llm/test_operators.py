@@ -19,7 +19,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from loomflow.llm import context_mixing, decontamination, language_id, lm_scoring, quality_rules, queries, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity  # noqa: E402
+from loomflow.llm import context_mixing, decontamination, language_id, lm_scoring, quality_rules, queries, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_counts, token_mixing, toxicity  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -204,6 +204,44 @@ def test_mixer_is_a_distribution():
     assert (10 ** mixer.log10(chosen, table)).sum() == pytest.approx(float(10 ** mixer.log10(first, table)[0]), rel=1e-6)
 
 
+def test_token_mixer_is_a_distribution_that_reads_the_words_before():
+    """The 256 classes after any words add up to one but for rounding, and a class that always follows a word is likelier there."""
+    rng = np.random.default_rng(3)
+    end, words = np.uint64(5), rng.integers(10, 2**63, 40).astype(np.uint64)
+    follows = {int(w): words[(7 * k + 3) % 40] for k, w in enumerate(words)}
+    texts = []
+    for _ in range(200):
+        text = [rng.choice(words)]
+        for _ in range(20):
+            text.append(follows[int(text[-1])] if rng.random() < 0.8 else rng.choice(words))
+        texts.append(np.array(text + [end], np.uint64))
+    table = np.zeros((2, token_mixing.SLOTS), np.float32)
+    token_mixing.count(np.concatenate(texts), end, table)
+    assert token_mixing.class_counts(table).sum() == 200 * 22
+    mixer = token_mixing.Mixer(table, texts, end)
+    one_of = {}
+    for w in rng.integers(10, 2**63, 20_000).astype(np.uint64):
+        one_of.setdefault(int(token_mixing.classes(np.array([w]))[0]), w)
+    assert len(one_of) == 256
+    before = list(words[:2])
+    assert sum(10 ** mixer.log10(np.array([*before, w], np.uint64))[2] for w in one_of.values()) == pytest.approx(1, abs=1e-3)
+    text = [words[0]]
+    for _ in range(10):
+        text.append(follows[int(text[-1])])
+    forward = mixer.log10(np.array([*text, end], np.uint64)).sum()
+    assert forward > mixer.log10(np.array([*text[::-1], end], np.uint64)).sum() + 3
+
+
+def test_lm_scoring_is_the_same_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 500)) for k in range(120)]
+    got = [{r["doc_id"]: (r["score"], r["bits_per_byte"]) for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()} for n in (1, 5)]
+    assert got[0].keys() == got[1].keys()
+    for k, (score, per_byte) in got[0].items():
+        assert got[1][k][0] == pytest.approx(score, rel=1e-9)
+        assert per_byte == pytest.approx(-score / math.log10(2) / len(rows[k][1].encode()), rel=1e-9)
+
+
 def test_simhash(docs, nothing):
     fps = {}
     for k, text, *_ in ROWS:
