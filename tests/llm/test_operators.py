@@ -19,7 +19,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from loomflow.llm import context_mixing, decontamination, language_id, lm_scoring, quality_rules, queries, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_counts, token_mixing, toxicity  # noqa: E402
+from loomflow.llm import context_mixing, decontamination, embedding_whitening, fill_in_middle, language_id, lm_scoring, quality_rules, queries, secret_scan, sentencepiece_codec, simhash, source_mixing, substring_dedup, token_counts, token_mixing, toxicity  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -536,3 +536,125 @@ def test_toxicity_edges(spark, docs, nothing):
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
     assert toxicity.toxicity(nothing, labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_fill_in_middle_against_brute_force(docs, nothing):
+    rows = {r["doc_id"]: r for r in fill_in_middle.fill_in_middle(docs).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()}
+    for k, text, *_ in ROWS:
+        text, r = text or "", rows[k]
+        units = re.findall(r"[^\n]*\n|[^\n]+", text)
+        h = hashlib.sha256(f"7:{'' if k is None else k}".encode()).hexdigest()
+        h = [int(h[i : i + 8], 16) for i in range(0, 32, 8)]
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        parts = ["".join(units[:a]), "".join(units[a:b]), "".join(units[b:])]
+        form = "plain" if not text else "spm" if h[3] % 100 < 50 else "psm"
+        want = {"plain": text, "psm": f"<P>{parts[0]}<S>{parts[2]}<M>{parts[1]}", "spm": f"<S>{parts[2]}<P>{parts[0]}<M>{parts[1]}"}[form]
+        assert (r["n"], r["form"], r["output"], r["back"]) == (len(units), form, want, text)
+        assert (r["prefix_chars"], r["middle_chars"]) == ((None, None) if form == "plain" else (len(parts[0]), len(parts[1])))
+    assert fill_in_middle.fill_in_middle(nothing).count() == 0
+
+
+def test_fill_in_middle_of_sentinels_rates_and_brackets(spark):
+    texts = ["a <P> b", "x<S>", "<M>\n", "<", "<<\n<P\nS>\n>M>", "P><\n<S\n<M\n<P", "\r\n\x00\n"]
+    docs = spark.createDataFrame([(i * 100 + k, t) for i in range(30) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = fill_in_middle.fill_in_middle(docs).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
+    assert all(r["back"] == texts[r["doc_id"] % 100] and (r["form"] == "plain") == (r["doc_id"] % 100 < 3) for r in got)
+    assert {r["form"] for r in got} == {"plain", "psm", "spm"}
+    assert {r["form"] for r in fill_in_middle.fill_in_middle(docs, rate=0).collect()} == {"plain"}
+    assert {r["form"] for r in fill_in_middle.fill_in_middle(docs, spm_rate=0).collect()} == {"plain", "psm"}
+    with pytest.raises(ValueError):
+        fill_in_middle.fill_in_middle(docs, sentinels=("<P>", "><", "<M>"))
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 4096])
+def test_lines_do_not_depend_on_blocks(block):
+    split = fill_in_middle.splitter()
+    for text in ("", "\n", "\n\n", "a", "a\n", "ab\ncd", "é😀\n\nlong line without end " * 3, "x" * 50 + "\n"):
+        want = [0] + [m.end() for m in re.finditer(r"[^\n]*\n|[^\n]+", text)]
+        assert fill_in_middle.bounds(text, split, block).tolist() == want
+
+
+def _water(sizes, weights, most):
+    capped = set()
+    while True:
+        free = [s for s in sizes if s not in capped]
+        left, w = sum(sizes.values()) - sum(most * sizes[s] for s in capped), sum(weights[s] for s in free)
+        new = {s for s in free if weights[s] * left > most * sizes[s] * w}
+        if not new:
+            return {s: float(most * sizes[s]) if s in capped else weights[s] * left / w for s in sizes}
+        capped |= new
+
+
+def test_source_mixing(spark, docs, nothing):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 40))) or None, f"s{k % 5}" if k % 7 else None, "x") for k in range(400)] + [(1000 + k, "a b  c", "tiny", "x") for k in range(3)] + [(None, "one\u00a0word two", "s1", "x")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, size string").repartition(5)
+    got = source_mixing.mix(table).collect()
+    sizes = {}
+    for _, text, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    want = _water(sizes, {s: k % 3 + 1 for k, s in enumerate(order)}, 3)
+    source_of = {k: s for k, _, s, _ in rows}
+    taken = Counter()
+    for r in got:
+        s = source_of[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and r["taken"] == r["size"] * r["times"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 3 for s in sizes), (taken, want)
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == sorted((str(r["doc_id"]), r["taken"]) for r in source_mixing.mix(table.repartition(2)).collect())
+    awkward = source_mixing.mix(docs).collect()
+    assert sorted(r["size"] for r in awkward) == sorted(len(WORD.findall(t or "")) for _, t, *_ in ROWS)
+    assert source_mixing.mix(nothing).count() == 0
+    blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
+    assert [(r["target"], r["taken"]) for r in source_mixing.mix(blank).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_source_mixing_is_native(spark, docs):
+    plan = source_mixing.mix(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)
+
+
+@pytest.mark.parametrize("dim, n, parts", [(5, 300, 7), (40, 20, 3), (64, 9000, 2)])
+def test_whitening_against_eigenvectors(spark, dim, n, parts):
+    rng = np.random.default_rng(dim)
+    real = (rng.normal(size=(n, dim)) * np.linspace(1, 3, dim)).astype(np.float32)
+    rows = [(k, [float(v) for v in x]) for k, x in enumerate(real)] + [(None, None), (-1, [float("nan")] * dim), (-2, [None] * dim), (-3, [float("inf")] * dim), (-4, [1.0]), (-5, [])]
+    got = embedding_whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)).toPandas()
+    x = np.floor(64 * real.astype(np.float64)).astype(np.int64) + 1_000_000
+    s, k = x.sum(axis=0), min(dim, 32)
+    centred = x - s / n
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    e, v = e[::-1][:k], v[:, ::-1][:, :k]
+    live = int((e > 1e-12 * e[0]).sum())
+    assert len(got) == n * k and set(got["n"]) == {n} and set(got["vec_id"]) == set(range(n))
+    got = got.sort_values(["vec_id", "component"])
+    assert (got["deviation"].to_numpy().reshape(n, k) == ((n * x - s) ** 2).sum(axis=1)[:, None]).all()
+    white = got["whitened"].to_numpy().reshape(n, k)[:, :live]
+    want = centred @ v[:, :live] / np.sqrt(e[:live])
+    sign = np.sign((white * want).sum(axis=0))
+    assert np.allclose(white * sign, want, atol=1e-6)
+    assert np.allclose(got["explained"].to_numpy().reshape(n, k)[0, :live], e[:live] / np.trace(centred.T @ centred / n), rtol=1e-9)
+    assert got["identity_error"].nunique() == 1 and np.abs(white.T @ white / n - np.eye(live)).max() <= got["identity_error"].iloc[0] + 1e-9 < 1e-4
+
+
+def test_whitening_of_awkward_tables(spark):
+    schema = "vec_id long, embedding array<float>, n string"
+    assert embedding_whitening.whiten(spark.createDataFrame([], schema)).count() == 0
+    assert embedding_whitening.whiten(spark.createDataFrame([(1, None, "x"), (2, [], "y")], schema)).count() == 0
+    same = embedding_whitening.whiten(spark.createDataFrame([(1, [0.5, 0.25], "x")] * 3, schema)).collect()
+    assert [(r["component"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in sorted(same, key=lambda r: r["component"])] == [(1, 0, None, None, None)] * 3 + [(2, 0, None, None, None)] * 3
+    wide = embedding_whitening.whiten(spark.createDataFrame([(k, [3e38 * (-1) ** k, 1.0 * k], "x") for k in range(4)], schema)).collect()
+    assert len(wide) == 8 and all(r["deviation"] is None for r in wide)
+
+
+def test_states_merge_to_the_state_of_all():
+    rng = np.random.default_rng(1)
+    z = rng.integers(-50, 50, (700, 12))
+    own = None
+    for part in np.array_split(z, [3, 10, 300, 305]):
+        s = embedding_whitening.state_of(part)
+        own = s if own is None else embedding_whitening.merged(own, s)
+    whole = embedding_whitening.state_of(z)
+    assert own.n == 700 and (own.sums == whole.sums).all() and np.allclose(own.values, whole.values)
+    assert np.allclose(own.vectors.T @ np.diag(own.values**2) @ own.vectors, whole.vectors.T @ np.diag(whole.values**2) @ whole.vectors)
