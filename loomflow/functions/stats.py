@@ -7,15 +7,24 @@ totals, at most `bins` a key, are summed before it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 256
+#: Ranges of values are even in log(1 + FINE * value / top), so that the many small values do not share one.
+FINE = 1e6
+
+
+def place(value: Column, top: float, bins: int) -> Column:
+    """The range, 0 to `bins`, of a value; larger values have no smaller one."""
+    return F.least(F.floor(F.log1p(F.greatest(value, F.lit(0.0)) * F.lit(FINE / top)) * F.lit(bins / math.log1p(FINE))), F.lit(bins)).cast("int")
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], top: float, descending: bool = False, bins: int = BINS) -> DataFrame:
     """`df` with, for each name: column of `sums`, the sum of the column over the key's values up to the row's (from above if descending)."""
-    own = df.withColumn("__bin", F.least(F.floor(F.col(value) * (bins / top)), F.lit(bins)).cast("int"))
+    own = df.withColumn("__bin", place(F.col(value), top, bins))
     order = F.col(value).desc() if descending else F.col(value).asc()
     inner = Window.partitionBy(*keys, "__bin").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(F.col("__bin").desc() if descending else F.col("__bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,14 +45,18 @@ def cvar(pmf: DataFrame, keys: list[str], tail: float, top: float, value: str =
     return total.join(worst, keys).select(*keys, "n", "mean", F.when(mass > 0, F.col("s") / mass).alias("cvar"))
 
 
-def robust(cvar: Column, eps: Column, cap: float, tail: float) -> Column:
+def number(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def robust(cvar: Column, eps: Column, cap: float | Column, tail: float | Column) -> Column:
     """Closed-form worst-case CVaR within a Wasserstein radius on [0, cap]."""
-    return F.least(F.lit(float(cap)), cvar + F.greatest(F.lit(0.0), eps) / F.lit(tail))
+    return F.least(number(cap), cvar + F.greatest(F.lit(0.0), eps) / number(tail))
 
 
-def saturation(cvar: Column, cap: float, tail: float) -> Column:
+def saturation(cvar: Column, cap: float | Column, tail: float | Column) -> Column:
     """The radius at which the worst case reaches the cap."""
-    return F.greatest(F.lit(0.0), F.lit(tail) * (F.lit(float(cap)) - cvar))
+    return F.greatest(F.lit(0.0), number(tail) * (number(cap) - cvar))
 
 
 def transport(pmf: DataFrame, keys: list[str], cap: float, tail: float, value: str = "y", weight: str = "w") -> DataFrame:
@@ -69,7 +82,7 @@ def wasserstein(pmf: DataFrame, keys: list[str], side: str, top: float, value: s
 
 def spaced(df: DataFrame, keys: list[str], value: str, top: float, bins: int = BINS) -> DataFrame:
     """`df` with dx, the gap to the key's next value (null at its last), by ranges as in running()."""
-    own = df.withColumn("__bin", F.least(F.floor(F.col(value) * (bins / top)), F.lit(bins)).cast("int"))
+    own = df.withColumn("__bin", place(F.col(value), top, bins))
     firsts = own.groupBy(*keys, "__bin").agg(F.min(value).alias("__first"))
     after = Window.partitionBy(*keys).orderBy("__bin")
     firsts = firsts.select(*keys, "__bin", F.lead("__first").over(after).alias("__next"))

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from loomflow.config import Config
 from loomflow.functions import scalars as S
+from loomflow.functions import sliced as L
 from loomflow.functions import stats as T
 from loomflow.operators import events as E
 from loomflow.plans import checks as C
 from loomflow.plans import evaluate as V
 from loomflow.plans import model as M
+from loomflow.plans import programs as P
 from loomflow.plans import resample as R
+from loomflow.plans import sweep as W
 from loomflow.plans.sql import build, event_ctes
 
 #: Windows and thresholds that suit the synthetic events.
@@ -27,8 +30,8 @@ CTES = event_ctes(PROFILE)
 
 
 def even(df: DataFrame) -> DataFrame:
-    """Doubles to six places and integers to long, as the SQL has them."""
-    return df.select(*[F.round(F.col(c), 6).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k in ("int", "smallint", "tinyint") or k.startswith("decimal") else F.col(c) for c, k in df.dtypes])
+    """Doubles to six places, zero without sign, and integers to long, as the SQL has them."""
+    return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k in ("int", "smallint", "tinyint") or k.startswith("decimal") else F.col(c) for c, k in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None) -> Callable[[Query], Query]:
@@ -367,7 +370,7 @@ def _(spark, d):
 
 @query("empirical_cvar", f"SELECT transition, n, {r('mean', 'cvar')} FROM cv")
 def _(spark, d):
-    h = M.histogram(hist(spark, d), PROFILE).withColumn("w", F.col("c"))
+    h = M.histogram(hist(spark, d), PROFILE)
     return T.cvar(M.pooled(h, ["transition"]), ["transition"], PROFILE.tail, PROFILE.cap)
 
 
@@ -378,7 +381,7 @@ def _(spark, d):
 
 @query("block_distances", f"SELECT transition, CAST(block AS BIGINT) AS block, {r('d')} FROM dist")
 def _(spark, d):
-    h = M.histogram(hist(spark, d), PROFILE).withColumn("weight", F.lit(1)).withColumn("w", F.col("c"))
+    h = M.histogram(hist(spark, d), PROFILE)
     return M.distances(h, ["transition"], PROFILE).select("transition", "block", "d")
 
 
@@ -409,7 +412,7 @@ def _(spark, d):
 
 @query("transport_threshold", "SELECT transition, round(coalesce(sum(greatest(0.0, least(p, m - (cp - p))) * (96.0 - y)), 0.0), 6) AS threshold FROM tot LEFT JOIN (SELECT transition, y, w / n AS p, sum(w) OVER (PARTITION BY transition ORDER BY y DESC) / n AS cp, greatest(0.0, " + repr(PROFILE.tail) + " - m_cap) AS m FROM pool JOIN tot USING (transition) JOIN mcap USING (transition) WHERE y < 96.0) USING (transition) GROUP BY 1")
 def _(spark, d):
-    h = M.histogram(hist(spark, d), PROFILE).withColumn("w", F.col("c"))
+    h = M.histogram(hist(spark, d), PROFILE)
     return T.transport(M.pooled(h, ["transition"]), ["transition"], PROFILE.cap, PROFILE.tail)
 
 
@@ -544,76 +547,162 @@ def _(spark, d):
 
 # ---- resampling, checks and sensitivity
 
-REPS = 20
-WEEKS = R.multinomial(3, REPS, PROFILE.seed)
-BLOCKS = R.multinomial(PROFILE.blocks, REPS, PROFILE.seed + 11)
-_values = ", ".join(str(x) for x in WEEKS)
-BOOT = CTES | {
-    "wts": f"SELECT * FROM (VALUES {_values}) AS v(rep, cluster, weight)",
-    "bpmf": "SELECT rep, transition, y, CAST(sum(c * weight) AS BIGINT) AS w FROM (SELECT transition, CAST(floor((epoch_us(origin) - epoch_us(TIMESTAMP '2024-01-22')) / 259200000000.0) AS INTEGER) AS cluster, least(delay, 96.0) AS y, count(*) AS c FROM held GROUP BY ALL) JOIN wts USING (cluster) GROUP BY ALL",
-    "btot": "SELECT rep, transition, CAST(sum(w) AS BIGINT) AS n, sum(y * w) AS mean_burden FROM bpmf GROUP BY ALL",
-    "bcum": "SELECT *, sum(w) OVER (PARTITION BY rep, transition ORDER BY y DESC) AS cw FROM bpmf",
-    "breps": f"SELECT rep, transition, mean_burden, n * sum(y * greatest(0.0, least(w, n * {PROFILE.tail!r} - (cw - w)))) / (n * {PROFILE.tail!r}) AS tail_burden FROM bcum JOIN btot USING (rep, transition) GROUP BY rep, transition, n, mean_burden",
-    "ball": "SELECT rep, sum(mean_burden) AS am, sum(tail_burden) AS tl FROM breps GROUP BY 1",
-    "bshare": "SELECT b.rep, g.method, g.K, 100 * coalesce(sum(x.mean_burden), 0.0) / any_value(am) AS mean_share, 100 * coalesce(sum(x.tail_burden), 0.0) / any_value(tl) AS tail_share FROM ball b CROSS JOIN (SELECT DISTINCT method, K FROM port) g JOIN port p ON p.method = g.method AND p.K = g.K LEFT JOIN breps x ON x.rep = b.rep AND x.transition = p.transition GROUP BY b.rep, g.method, g.K",
-    "blong": "SELECT rep, method, K, 'mean' AS target, mean_share AS share FROM bshare UNION ALL SELECT rep, method, K, 'tail', tail_share FROM bshare",
-    "bdiff": "SELECT a.K, a.method AS left_method, b.method AS right_method, a.target, a.share - b.share AS d FROM blong a JOIN blong b ON a.rep = b.rep AND a.K = b.K AND a.target = b.target JOIN morder x ON x.method = a.method JOIN morder z ON z.method = b.method WHERE x.k < z.k",
-}
+REPS, REFITS, PERMUTATIONS = 1000, 500, 100
+
+
+def _drawn(weights) -> str:
+    """(rep, cluster, weight) of weights that are not zero."""
+    return ", ".join(f"({rep}, {k}, {w})" for rep, row in enumerate(weights.tolist()) for k, w in enumerate(row) if w)
+
 
+def boot_ctes(cfg: Config, days: float, clusters: int) -> dict[str, str]:
+    """From the holdout to the shares of each replicate of a calendar scheme, and differences of portfolios and of the oracle."""
+    return event_ctes(cfg) | {
+        "wts": f"SELECT * FROM (VALUES {_drawn(L.Calendar(clusters, REPS, cfg.seed).weights)}) AS v(rep, cluster, weight)",
+        "bpmf": f"SELECT rep, transition, y, CAST(sum(c * weight) AS BIGINT) AS w FROM (SELECT transition, CAST(floor((epoch_us(origin) - epoch_us(TIMESTAMP '{cfg.decision}')) / {days * 86400e6!r}) AS INTEGER) AS cluster, least(delay, {cfg.cap!r}) AS y, count(*) AS c FROM held GROUP BY ALL) JOIN wts USING (cluster) GROUP BY ALL",
+        "btot": "SELECT rep, transition, CAST(sum(w) AS BIGINT) AS n, sum(y * w) AS mean_burden FROM bpmf GROUP BY ALL",
+        "bcum": "SELECT *, sum(w) OVER (PARTITION BY rep, transition ORDER BY y DESC) AS cw FROM bpmf",
+        "breps": f"SELECT rep, transition, mean_burden, n * sum(y * greatest(0.0, least(w, n * {cfg.tail!r} - (cw - w)))) / (n * {cfg.tail!r}) AS tail_burden FROM bcum JOIN btot USING (rep, transition) GROUP BY rep, transition, n, mean_burden",
+        "btargets": "SELECT rep, transition, 'mean' AS target, mean_burden AS burden FROM breps UNION ALL SELECT rep, transition, 'tail', tail_burden FROM breps",
+        "ball": "SELECT rep, target, sum(burden) AS total FROM btargets GROUP BY ALL",
+        "bshare": "SELECT b.rep, b.target, p.method, p.K, 100 * coalesce(sum(x.burden), 0.0) / any_value(total) AS share FROM ball b CROSS JOIN port p LEFT JOIN btargets x ON x.rep = b.rep AND x.target = b.target AND x.transition = p.transition GROUP BY b.rep, b.target, p.method, p.K",
+        "branked": "SELECT rep, target, burden, row_number() OVER (PARTITION BY rep, target ORDER BY burden DESC, transition) AS rk FROM btargets WHERE transition IN (SELECT transition FROM met)",
+        "bbest": "SELECT b.rep, b.target, s.K, 100 * coalesce(sum(x.burden), 0.0) / any_value(total) AS share FROM ball b CROSS JOIN sizes s LEFT JOIN branked x ON x.rep = b.rep AND x.target = b.target AND x.rk <= s.K GROUP BY b.rep, b.target, s.K",
+        "bdiff": "SELECT a.K, a.method AS left_method, b.method AS right_method, a.target, a.share - b.share AS d FROM bshare a JOIN bshare b ON a.rep = b.rep AND a.K = b.K AND a.target = b.target JOIN morder x ON x.method = a.method JOIN morder z ON z.method = b.method WHERE x.k < z.k",
+        "bover": f"SELECT a.K, '{R.ORACLE}' AS left_method, b.method AS right_method, a.target, a.share - b.share AS d FROM bbest a JOIN bshare b ON a.rep = b.rep AND a.K = b.K AND a.target = b.target",
+        "bsame": "SELECT a.K, a.method AS left_method, b.method AS right_method, a.members = b.members AS same FROM sets a JOIN sets b ON a.K = b.K",
+    }
 
-def _cluster():
-    return S.block(F.col("origin"), PROFILE.decision, 3)
 
+BOOT = boot_ctes(PROFILE, 3, 3)
+DIFFERENCES = "SELECT CAST(K AS BIGINT) AS K, left_method, right_method, target, round(avg(d), 6) + 0.0 AS difference, round(quantile_cont(d, 0.025), 6) + 0.0 AS lower, round(quantile_cont(d, 0.975), 6) + 0.0 AS upper, any_value(coalesce(same, false)) AS identical FROM (SELECT * FROM bdiff UNION ALL SELECT * FROM bover) LEFT JOIN bsame USING (K, left_method, right_method) GROUP BY K, left_method, right_method, target"
+#: A longer holdout, for schemes of one to four weeks, and portfolios of a short history.
+EARLY = PROFILE.but(decision=datetime(2024, 1, 8), block_days=1, min_obs=20, min_block=2)
+
+
+def _boot(spark, d, cfg: Config, days: float) -> DataFrame:
+    o = obs(spark, d)
+    m = M.fit(E.history(o, cfg), cfg)
+    own, _, weigh = R.schemes(E.holdout(o, cfg), cfg, (days,), REPS)[f"calendar_{days:g}d"]
+    return R.paired_bootstrap(own, M.portfolios(m, cfg), m, cfg, weigh, REPS)
 
-@query("bootstrap_shares", f"SELECT CAST(rep AS BIGINT) AS rep, method, CAST(K AS BIGINT) AS K, {r('mean_share', 'tail_share')} FROM bshare", BOOT)
+
+@query("bootstrap_shares", "SELECT CAST(rep AS BIGINT) AS rep, target, method, CAST(K AS BIGINT) AS K, round(share, 6) AS share FROM bshare", BOOT)
+def _(spark, d):
+    weigh = L.Calendar(3, REPS, PROFILE.seed)
+    return R.shares(R.burdens(R.calendar(held(spark, d), PROFILE, 3), weigh, PROFILE, REPS), M.portfolios(metrics(spark, d), PROFILE))
+
+
+@query("oracle_of_replicates", "SELECT CAST(rep AS BIGINT) AS rep, target, CAST(K AS BIGINT) AS K, round(share, 6) AS share FROM bbest", BOOT)
 def _(spark, d):
-    return R.shares(R.burdens(held(spark, d), R.weight_table(spark, WEEKS), PROFILE, _cluster(), REPS), M.portfolios(metrics(spark, d), PROFILE))
+    weigh = L.Calendar(3, REPS, PROFILE.seed)
+    return R.oracle_shares(R.burdens(R.calendar(held(spark, d), PROFILE, 3), weigh, PROFILE, REPS), metrics(spark, d), PROFILE)
 
 
-@query("paired_bootstrap", "SELECT CAST(K AS BIGINT) AS K, left_method, right_method, target, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper FROM bdiff GROUP BY ALL", BOOT)
+@query("paired_bootstrap", DIFFERENCES, BOOT)
 def _(spark, d):
-    return R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, R.weight_table(spark, WEEKS), _cluster(), REPS)
+    return _boot(spark, d, PROFILE, 3)
+
+
+for _days, _clusters in ((7, 4), (14, 2), (28, 1)):
+
+    def _scheme(spark, d, days=_days):
+        return _boot(spark, d, EARLY, days)
+
+    query(f"paired_bootstrap_{_days}d", DIFFERENCES, boot_ctes(EARLY, _days, _clusters))(_scheme)
 
 
 @query("superiority_gate", "SELECT coalesce(bool_and(lower > 0 AND difference > 0), false) AS superior FROM (SELECT avg(d) AS difference, quantile_cont(d, 0.025) AS lower FROM bdiff GROUP BY K, left_method, right_method, target)", BOOT)
 def _(spark, d):
-    return R.superior(R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, R.weight_table(spark, WEEKS), _cluster(), REPS))
+    return R.superior(_boot(spark, d, PROFILE, 3).where(F.col("left_method") != R.ORACLE))
 
 
 @query("paired_bootstrap_cases")
 def _(spark, d):
-    return R.paired_bootstrap(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), PROFILE, None, F.col("case_id"), REPS)
+    m = metrics(spark, d)
+    own, _, weigh = R.schemes(held(spark, d), PROFILE, (), REPS)["case_cluster"]
+    return R.paired_bootstrap(own, M.portfolios(m, PROFILE), m, PROFILE, weigh, REPS)
+
+
+BLOCKS = L.Calendar(PROFILE.blocks, REFITS, PROFILE.seed + 11).weights
+_T, _CAP = repr(PROFILE.tail), repr(PROFILE.cap)
+REFIT = CTES | {
+    "rw": f"SELECT * FROM (VALUES {_drawn(BLOCKS)}) AS v(rep, block, weight)",
+    "rh": "SELECT rep, transition, block, y, c, weight FROM h JOIN rw USING (block)",
+    "rpool": "SELECT rep, transition, y, CAST(sum(c * weight) AS BIGINT) AS w FROM rh GROUP BY ALL",
+    "rtot": "SELECT rep, transition, CAST(sum(w) AS BIGINT) AS n, sum(y * w) / sum(w) AS mean FROM rpool GROUP BY ALL",
+    "rcum": "SELECT *, sum(w) OVER (PARTITION BY rep, transition ORDER BY y DESC) AS cw FROM rpool",
+    "rcv": f"SELECT rep, transition, n, mean, sum(y * greatest(0.0, least(w, n * {_T} - (cw - w)))) / (n * {_T}) AS cvar FROM rcum JOIN rtot USING (rep, transition) GROUP BY rep, transition, n, mean",
+    "rper": f"SELECT rep, transition, block, sum(c) AS n_b, any_value(weight) AS weight, sum(c) >= {PROFILE.min_block} AS good FROM rh GROUP BY ALL",
+    "rvalid": "SELECT rep, transition, sum(CASE WHEN good THEN weight ELSE 0 END) AS valid_blocks FROM rper GROUP BY ALL",
+    "rcdf": "SELECT rep, transition, y, sum(w) OVER o AS cw, lead(y) OVER o - y AS dx FROM rpool WINDOW o AS (PARTITION BY rep, transition ORDER BY y)",
+    "rdense": "SELECT d.rep, d.transition, v.block, v.weight, cw, dx, n_b, sum(coalesce(c, 0)) OVER (PARTITION BY d.rep, d.transition, v.block ORDER BY d.y) AS cb FROM rcdf d JOIN rper v ON d.rep = v.rep AND d.transition = v.transition AND v.good LEFT JOIN h ON h.transition = d.transition AND h.block = v.block AND h.y = d.y",
+    "rdist": "SELECT rep, transition, block, any_value(weight) AS weight, sum(abs(cb / n_b - cw / n) * dx) AS d FROM rdense JOIN rtot USING (rep, transition) GROUP BY ALL",
+    "rrad": f"SELECT rep, transition, quantile_cont(d, {PROFILE.radius_q!r}) AS epsilon FROM (SELECT rep, transition, d, unnest(range(weight)) FROM rdist) GROUP BY ALL",
+    "rcal": f"SELECT *, n / sum(n) OVER (PARTITION BY rep) AS frequency, greatest(0.0, {_T} * ({_CAP} - cvar)) AS sat, n >= {PROFILE.min_obs} AND valid_blocks >= {-(-PROFILE.coverage * PROFILE.blocks // 1)} AS able FROM rcv JOIN rvalid USING (rep, transition) LEFT JOIN rrad USING (rep, transition)",
+    "rsc": f"SELECT *, least({_CAP}, cvar + greatest(0.0, epsilon) / {_T}) AS risk, least({_CAP}, cvar + greatest(0.0, CASE WHEN sat <= 1e-8 THEN 0.0 ELSE least(epsilon, {PROFILE.kappa!r} * sat) END) / {_T}) AS sa_risk FROM rcal",
+    "rfro": "SELECT rsc.* REPLACE (met.risk AS risk, met.sa_risk AS sa_risk) FROM rsc JOIN met USING (transition)",
+    "able": "SELECT quantile_cont(n, 0.5) AS median_candidates, min(n) AS min_candidates, max(n) AS max_candidates FROM (SELECT count_if(able) AS n FROM {0} GROUP BY rep)",
+    "rscore": "SELECT rep, transition, unnest(['Frequency', 'Mean burden', 'Empirical Tail', 'Original DRO', 'Saturation-Aware DRO']) AS method, unnest([frequency, frequency * mean, frequency * cvar, frequency * risk, frequency * sa_risk]) AS score FROM {0} WHERE able",
+    "rport": "SELECT rep, method, K, transition FROM (SELECT *, row_number() OVER (PARTITION BY rep, method ORDER BY round(score, 10) DESC, transition) AS rank FROM rscore) JOIN sizes ON rank <= K",
+    "rsets": "SELECT rep, method, K, list(transition) AS x FROM rport GROUP BY ALL",
+    "rjac": "SELECT rsets.method, rsets.K, len(list_intersect(x, members)) / len(list_distinct(x || members)) AS j FROM rsets JOIN sets ON sets.method = rsets.method AND sets.K = rsets.K",
+}
+STABILITY = "SELECT method, CAST(K AS BIGINT) AS K, count(*) AS replicates, round(avg(j), 6) AS mean_jaccard, round(quantile_cont(j, 0.05), 6) AS p05_jaccard, round(quantile_cont(j, 0.95), 6) AS p95_jaccard, count_if(j >= 0.8) AS at_least_80, any_value(median_candidates) AS median_candidates, any_value(min_candidates) AS min_candidates, any_value(max_candidates) AS max_candidates FROM rjac, able GROUP BY method, K"
 
 
-@query("selection_stability")
+def _refit_ctes(scored: str) -> dict[str, str]:
+    return {k: v.replace("{0}", scored) for k, v in REFIT.items()}
+
+
+@query("selection_stability", STABILITY, _refit_ctes("rsc"))
 def _(spark, d):
     h = hist(spark, d)
-    return R.stability(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE)
+    return R.stability(R.refits(h, BLOCKS, PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE)
 
 
-@query("selection_probabilities")
+@query("selection_probabilities", f"SELECT method, CAST(K AS BIGINT) AS K, transition, round(n / {REFITS}, 6) AS selection_probability, round(e / {REFITS}, 6) AS eligibility_probability, EXISTS (SELECT 1 FROM port p WHERE p.method = x.method AND p.K = x.K AND p.transition = x.transition) AS in_primary FROM (SELECT method, K, transition, count(*) AS n FROM rport GROUP BY ALL) x JOIN (SELECT transition, count_if(able) AS e FROM rsc GROUP BY 1) USING (transition)", _refit_ctes("rsc"))
 def _(spark, d):
     h = hist(spark, d)
-    return R.probabilities(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE, REPS)
+    return R.probabilities(R.refits(h, BLOCKS, PROFILE), M.portfolios(M.fit(h, PROFILE), PROFILE), PROFILE, REFITS)
 
 
-@query("frozen_stability")
+@query("frozen_stability", STABILITY, _refit_ctes("rfro"))
 def _(spark, d):
     h = hist(spark, d)
     m = M.fit(h, PROFILE)
-    return R.stability(R.frozen(R.refits(h, R.weight_table(spark, BLOCKS), PROFILE), m), M.portfolios(m, PROFILE), PROFILE)
+    return R.stability(R.frozen(R.refits(h, BLOCKS, PROFILE), m), M.portfolios(m, PROFILE), PROFILE)
+
+
+NOISE = CTES | {
+    "nown": f"SELECT transition, case_id, origin, least(delay, {_CAP}) AS y FROM hist WHERE transition IN (SELECT transition FROM met)",
+    "nends": "SELECT transition, block, n_b, sum(n_b) OVER (PARTITION BY transition ORDER BY block) - n_b AS lo, sum(n_b) OVER (PARTITION BY transition ORDER BY block) AS hi FROM perblock",
+    "nplace": f"SELECT transition, rep, y, row_number() OVER (PARTITION BY transition, rep ORDER BY md5({PROFILE.seed + 23} || ':' || rep || ':' || transition || ':' || coalesce(CAST(case_id AS VARCHAR), '') || ':' || epoch_us(origin)), y) - 1 AS place FROM nown, range({PERMUTATIONS}) AS r(rep)",
+    "nh": "SELECT p.rep, p.transition, e.block, p.y, count(*) AS c FROM nplace p JOIN nends e ON e.transition = p.transition AND place >= lo AND place < hi GROUP BY ALL",
+    "ndense": f"SELECT r.rep, d.transition, v.block, cw, dx, n_b, sum(coalesce(c, 0)) OVER (PARTITION BY r.rep, d.transition, v.block ORDER BY d.y) AS cb FROM range({PERMUTATIONS}) AS r(rep), cdf d JOIN valid v ON d.transition = v.transition LEFT JOIN nh ON nh.rep = r.rep AND nh.transition = d.transition AND nh.block = v.block AND nh.y = d.y WHERE d.transition IN (SELECT transition FROM met)",
+    "ndist": "SELECT rep, transition, block, sum(abs(cb / n_b - cw / n) * dx) AS d FROM ndense JOIN tot USING (transition) GROUP BY ALL",
+    "nrad": f"SELECT rep, transition, quantile_cont(d, {PROFILE.radius_q!r}) AS e FROM ndist GROUP BY ALL",
+    "nnull": "SELECT transition, quantile_cont(e, 0.5) AS null_median, quantile_cont(e, 0.95) AS null_p95 FROM nrad GROUP BY 1",
+    "nbench": "SELECT transition, epsilon AS observed, null_median, null_p95, epsilon > null_p95 AS above FROM met JOIN nnull USING (transition)",
+}
 
 
-@query("noise_benchmark")
+@query("permuted_blocks", "SELECT CAST(rep AS BIGINT) AS rep, transition, CAST(block AS BIGINT) AS block, CAST(sum(c) AS BIGINT) AS n, round(sum(c * y), 3) AS burden FROM nh GROUP BY ALL", NOISE)
 def _(spark, d):
     h = hist(spark, d)
-    return R.noise(h, M.fit(h, PROFILE), PROFILE, 10)
+    return R.dealt_anew(h, M.fit(h, PROFILE), PROFILE, PERMUTATIONS).groupBy("rep", "transition", "block").agg(F.count("*").alias("n"), F.round(F.sum("y"), 3).alias("burden"))
 
 
-@query("noise_summary")
+@query("noise_benchmark", f"SELECT transition, {r('observed', 'null_median', 'null_p95')}, above FROM nbench", NOISE)
 def _(spark, d):
     h = hist(spark, d)
-    return R.noise_summary(R.noise(h, M.fit(h, PROFILE), PROFILE, 10))
+    return R.noise(h, M.fit(h, PROFILE), PROFILE, PERMUTATIONS)
+
+
+@query("noise_summary", "SELECT count(*) AS transitions, count_if(above) AS above_p95, round(quantile_cont(observed / nullif(null_median, 0), 0.5), 6) AS median_ratio FROM nbench", NOISE)
+def _(spark, d):
+    h = hist(spark, d)
+    return R.noise_summary(R.noise(h, M.fit(h, PROFILE), PROFILE, PERMUTATIONS))
 
 
 GRID = PROFILE.but(grid=6.0)
@@ -628,7 +717,7 @@ PROGRAM = GRIDS | {
 
 
 def _grid_pmf(spark, d):
-    return M.pooled(M.histogram(hist(spark, d), GRID).withColumn("w", F.col("c")), ["transition"])
+    return M.pooled(M.histogram(hist(spark, d), GRID), ["transition"])
 
 
 @query("linear_program_checks", f"SELECT transition, label, round(min(t + (eps * lam + s) / {GRID.tail!r}), 6) AS program, round(any_value(least(96.0, cvar + greatest(0.0, eps) / {GRID.tail!r})), 6) AS closed, min(t + (eps * lam + s) / {GRID.tail!r}) - any_value(least(96.0, cvar + greatest(0.0, eps) / {GRID.tail!r})) < 1e-6 AS within FROM ss JOIN ee USING (transition) GROUP BY transition, label", PROGRAM)
@@ -637,6 +726,29 @@ def _(spark, d):
     return x.select("transition", "label", "program", "closed", (F.col("error") < 1e-6).alias("within"))
 
 
+_GRIDT = repr(GRID.tail)
+WORST = PROGRAM | {
+    "wr": "SELECT transition, cvar, epsilon_sat, unnest(['zero', 'half', 'below', 'threshold', 'double']) AS label, unnest([0.0e0, 0.5e0, 0.99e0, 1.0e0, 2.0e0]) * epsilon_sat AS eps FROM met",
+    "wt": "SELECT unnest(list_distinct([least(k * 6.0e0, 96.0e0) FOR k IN range(17)])) AS t",
+    "wm": "SELECT transition, label, t, y, eps, p * greatest(0.0, y - t) AS base, CASE WHEN y < 96.0 THEN (greatest(0.0, 96.0 - t) - greatest(0.0, y - t)) / (96.0 - y) ELSE 0.0 END AS rate, p * (96.0 - y) AS spend FROM wr JOIN pp USING (transition), wt",
+    "wg": "SELECT *, rate * greatest(0.0, least(spend, eps - (sum(spend) OVER (PARTITION BY transition, label, t ORDER BY rate DESC, y ROWS UNBOUNDED PRECEDING) - spend))) AS got FROM wm",
+    "wv": f"SELECT transition, label, min(v) AS greedy FROM (SELECT transition, label, t, t + (sum(base) + sum(got)) / {_GRIDT} AS v FROM wg GROUP BY transition, label, t) GROUP BY ALL",
+    "wd": f"SELECT transition, label, min(t + (eps * lam + s) / {_GRIDT}) AS dual FROM ss JOIN wr USING (transition) GROUP BY ALL",
+}
+
+
+@query("worst_case_programs", f"SELECT transition, label, round(greedy, 6) AS \"primal\", round(greedy, 6) AS greedy, round(dual, 6) AS dual, round(least(96.0, cvar + eps / {_GRIDT}), 6) AS closed, true AS agree FROM wr JOIN wv USING (transition, label) JOIN wd USING (transition, label) WHERE label <> 'below'", WORST)
+def _(spark, d):
+    x = P.worst_cases(_grid_pmf(spark, d), metrics(spark, d, GRID), GRID)
+    each = F.array("primal", "greedy", "dual", "closed")
+    return x.withColumn("agree", F.array_max(each) - F.array_min(each) <= 1e-7)
+
+
+@query("threshold_checks", f"SELECT transition, label, round(eps, 6) AS eps, round(greedy, 6) AS worst, greedy >= 96.0 - 1e-6 AS reached, CASE label WHEN 'zero' THEN abs(greedy - cvar) <= 1e-6 WHEN 'threshold' THEN greedy >= 96.0 - 1e-6 ELSE epsilon_sat <= 1e-6 OR greedy < 96.0 - 1e-6 END AS passed FROM wr JOIN wv USING (transition, label) WHERE label IN ('zero', 'below', 'threshold')", WORST)
+def _(spark, d):
+    return P.threshold_checks(_grid_pmf(spark, d), metrics(spark, d, GRID), GRID)
+
+
 @query("hinge_cvar", f"SELECT transition, round(min(t + e / {GRID.tail!r}), 6) AS cvar FROM (SELECT a.transition, a.y AS t, sum(b.p * greatest(0.0, b.y - a.y)) AS e FROM pp a JOIN pp b USING (transition) GROUP BY ALL) GROUP BY 1", PROGRAM)
 def _(spark, d):
     return C.hinge_cvar(_grid_pmf(spark, d), GRID.tail)
@@ -698,13 +810,69 @@ def _(spark, d):
     return C.compared(metrics(spark, d), metrics(spark, d, GRID))
 
 
-SWEEP = {"primary": PROFILE, "kappa_75": PROFILE.but(kappa=0.75), "alpha_90": PROFILE.but(alpha=0.9), "half_radius": PROFILE.but(multiplier=0.5)}
+EVERY = W.settings(PROFILE, blocks=(1, 7), least=(5, 20), grids=(6.0, 12.0), alpha=0.9, cap=128.0, followup=5, lags=(3, 6))
+
+
+def _setting_ctes(s: W.Setting) -> dict[str, str]:
+    """Metrics, portfolios and outcomes of a setting: of its own candidates with a lag, else of `prim`."""
+    own = event_ctes(s.cfg.but(decision=s.end, holdout_end=s.holdout_end))
+    decision = f"TIMESTAMP '{s.cfg.decision}'"
+    own["hist"] = f"SELECT * FROM obs WHERE origin >= TIMESTAMP '{s.cfg.start}' AND origin < TIMESTAMP '{s.end}' AND destination IS NOT NULL AND destination < {decision}"
+    own["held"] = f"SELECT * FROM obs WHERE origin >= {decision} AND origin < TIMESTAMP '{s.holdout_end}' AND destination IS NOT NULL"
+    if not s.lag:
+        own["met"] = own["met"].replace("WHERE strict_eligibility", "WHERE transition IN (SELECT transition FROM prim) AND epsilon IS NOT NULL")
+    return EVAL | own
+
+
+_DIAGNOSTIC = "SELECT count(*) AS candidates, count_if(empirically_saturated) AS empirical, count_if(saturated AND NOT empirically_saturated) AS induced, count_if(saturated) AS total, quantile_cont(rho, 0.5) AS median_rho, quantile_cont(epsilon, 0.5) AS median_epsilon, count_if(strict_eligibility) AS strict_eligible_candidates FROM met"
+
+
+def _sweep_ctes() -> dict[str, str]:
+    out = {"prim": build(CTES, "SELECT transition FROM met"), "psets": build(CTES, "SELECT method, K, members FROM sets")}
+    evaluation = _evaluation_sql("eligible", True).replace("SELECT method, CAST(K AS BIGINT) AS K", "SELECT chosen.method, CAST(chosen.K AS BIGINT) AS K, chosen.members AS members")
+    for k, s in enumerate(EVERY):
+        own = _setting_ctes(s)
+        out |= {f"se{k}": build(own, evaluation), f"sd{k}": build(own, _DIAGNOSTIC), f"sp{k}": build(own, "SELECT method, K, rank, transition FROM port")}
+    return out
+
+
+SWEEP = _sweep_ctes()
+_COLUMNS = [x for t in V.TARGETS for x in (f"{t}_share_pct", f"{t}_oracle_eligible_pct", f"{t}_oracle_global_pct", f"{t}_regret_pp", f"jaccard_{t}_oracle", f"candidate_{t}_coverage_pct")]
+_SENSITIVITY = " UNION ALL ".join(
+    f"SELECT '{s.name}' AS configuration, e.method, e.K, {', '.join('e.' + c for c in _COLUMNS)}, holdout_transitions, holdout_observations, candidates, empirical, induced, total, round(median_rho, 6) AS median_rho, round(median_epsilon, 6) AS median_epsilon, strict_eligible_candidates, round(len(list_intersect(e.members, p.members)) / len(list_distinct(e.members || p.members)), 6) AS jaccard_primary FROM se{k} e JOIN psets p ON p.method = e.method AND p.K = e.K, sd{k}"
+    for k, s in enumerate(EVERY)
+)
+
+
+@query("sensitivity_sweep", _SENSITIVITY, SWEEP)
+def _(spark, d):
+    return W.sensitivity(obs(spark, d), EVERY)
+
+
+@query("sensitivity_risks", " UNION ALL ".join(f"SELECT '{s.name}' AS configuration, transition, {r('cvar', 'epsilon', 'epsilon_sat', 'rho', 'risk', 'sa_risk')}, saturated FROM sr{k}" for k, s in enumerate(EVERY)), {"prim": SWEEP["prim"]} | {f"sr{k}": build(_setting_ctes(s), "SELECT * FROM met") for k, s in enumerate(EVERY)})
+def _(spark, d):
+    return W.swept(obs(spark, d), EVERY)[0].select("configuration", "transition", "cvar", "epsilon", "epsilon_sat", "rho", "risk", "sa_risk", "saturated")
+
+
+FROZEN = CTES | SWEEP | {
+    "fp": " UNION ALL ".join(f"SELECT '{s.name}' AS configuration, method, K, rank, transition FROM sp{k}" for k, s in enumerate(EVERY)),
+    "fo": "SELECT configuration, method, K, count(outc.n) AS covered, coalesce(sum(mean_burden), 0.0) AS mean_sum, coalesce(sum(tail_burden), 0.0) AS tail_sum, list(transition ORDER BY rank) AS members FROM fp LEFT JOIN outc USING (transition) GROUP BY configuration, method, K",
+    "fb": "SELECT K, sum(CASE WHEN target = 'mean' THEN burden END) AS mean_best, sum(CASE WHEN target = 'tail' THEN burden END) AS tail_best, list(transition) FILTER (target = 'mean') AS mean_set, list(transition) FILTER (target = 'tail') AS tail_set FROM orac_g GROUP BY 1",
+    "fa": "SELECT sum(mean_burden) AS all_mean, sum(tail_burden) AS all_tail FROM outc",
+}
+
+
+def _frozen_sql() -> str:
+    cols = [x for t in V.TARGETS for x in (f"round(100 * {t}_sum / all_{t}, 6) AS {t}_share_pct", f"round(100 * ({t}_best - {t}_sum) / all_{t}, 6) AS {t}_regret_pp", f"round(len(list_intersect(o.members, {t}_set)) / len(list_distinct(o.members || {t}_set)), 6) AS jaccard_{t}_oracle")]
+    same = "list_sort(o.members) = list_sort(p.members)"
+    return f"SELECT o.configuration, o.method, CAST(o.K AS BIGINT) AS K, o.covered, {', '.join(cols)}, round(len(list_intersect(o.members, p.members)) / len(list_distinct(o.members || p.members)), 6) AS jaccard_primary, {same} AS same_set, o.members = p.members AS same_order, {same} AND o.members <> p.members AS differs_only_in_order FROM fo o JOIN fb USING (K) JOIN (SELECT method, K, members FROM fo WHERE configuration = 'primary') p ON p.method = o.method AND p.K = o.K, fa"
 
 
-@query("sensitivity_sweep", "SELECT configuration, count(*) AS candidates, count_if(saturated) AS saturated, round(quantile_cont(rho, 0.5), 6) AS median_rho FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS configuration, saturated, rho FROM sw_{n}" for n in SWEEP) + ") GROUP BY 1", {f"sw_{n}": build(event_ctes(c), "SELECT * FROM met") for n, c in SWEEP.items()})
+@query("frozen_sensitivity", _frozen_sql(), FROZEN)
 def _(spark, d):
-    s = C.sweep(hist(spark, d), SWEEP)
-    return s.groupBy("configuration").agg(F.count("*").alias("candidates"), F.count_if("saturated").alias("saturated"), F.percentile("rho", F.lit(0.5)).alias("median_rho"))
+    metrics_, outcomes = W.swept(obs(spark, d), EVERY)
+    ports = M.portfolios(metrics_, PROFILE, ["configuration"])
+    return W.frozen(ports, outcomes.where("configuration = 'primary'").drop("configuration"), PROFILE)
 
 
 @query("portfolio_digest", "SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (SELECT method || '|K=' || K || '|' || rank || '|' || transition AS l FROM port)")

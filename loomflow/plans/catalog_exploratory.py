@@ -77,7 +77,7 @@ def _(spark, d):
 
 @query("floor_cvar", f"SELECT transition, {r('cvar')} FROM cv")
 def _(spark, d):
-    return X.floor_cvar(M.pooled(M.histogram(hist(spark, d), PROFILE).withColumn("w", F.col("c")), ["transition"]), ["transition"], PROFILE.tail, PROFILE.cap)
+    return X.floor_cvar(M.pooled(M.histogram(hist(spark, d), PROFILE), ["transition"]), ["transition"], PROFILE.tail, PROFILE.cap)
 
 
 GRID = PROFILE.but(grid=4.0)
@@ -86,7 +86,7 @@ _GRIDDED = CTES | {"g": "SELECT transition, least(greatest(round_even(least(dela
 
 @query("grid_threshold", f"SELECT transition, round(any_value(m_cap), 6) AS m_cap, round(any_value(delta), 6) AS delta, round(sum(CASE WHEN y < 96.0 THEN greatest(0.0, least(p, delta - (cp - p))) * (96.0 - y) ELSE 0 END), 6) AS cost FROM (SELECT transition, y, m_cap, greatest(0.0, {PROFILE.tail!r} - m_cap) AS delta, w / n AS p, sum(CASE WHEN y < 96.0 THEN w ELSE 0 END) OVER (PARTITION BY transition ORDER BY y DESC) / n AS cp FROM g JOIN gt USING (transition)) GROUP BY 1", _GRIDDED)
 def _(spark, d):
-    h = M.histogram(hist(spark, d), GRID).withColumn("w", F.col("c"))
+    h = M.histogram(hist(spark, d), GRID)
     return X.grid_threshold(M.pooled(h, ["transition"]), ["transition"], GRID.cap, GRID.tail)
 
 

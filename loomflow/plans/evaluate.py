@@ -20,13 +20,14 @@ def outcomes(held: DataFrame, cfg: Config) -> DataFrame:
     return out.withColumn("mean_burden", F.col("n") * F.col("mean")).withColumn("tail_burden", F.col("n") * F.col("cvar"))
 
 
-def oracle(out: DataFrame, cfg: Config, candidates: DataFrame | None = None) -> DataFrame:
-    """(target, K, rank, transition, burden): the best K by what happened, of all transitions or of the candidates."""
-    own = out if candidates is None else out.join(candidates.select("transition"), "transition", "left_semi")
+def oracle(out: DataFrame, cfg: Config, candidates: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(keep, target, K, rank, transition, burden): the best K by what happened, of all transitions or of the candidates."""
+    keep = keep or []
+    own = out if candidates is None else out.join(candidates.select(*keep, "transition"), [*keep, "transition"], "left_semi")
     stack = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_burden").alias("burden")) for t in TARGETS])).alias("x")
-    long = own.select("transition", stack).select("transition", "x.target", "x.burden")
-    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("burden"), "transition"))).where(F.col("rank") <= max(cfg.sizes))
-    return ranked.select("target", F.explode(F.array(*[F.lit(k) for k in cfg.sizes])).alias("K"), "rank", "transition", "burden").where(F.col("rank") <= F.col("K"))
+    long = own.select(*keep, "transition", stack).select(*keep, "transition", "x.target", "x.burden")
+    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy(*keep, "target").orderBy(F.desc("burden"), "transition"))).where(F.col("rank") <= max(cfg.sizes))
+    return ranked.select(*keep, "target", F.explode(F.array(*[F.lit(k) for k in cfg.sizes])).alias("K"), "rank", "transition", "burden").where(F.col("rank") <= F.col("K"))
 
 
 def rank_agreement(metrics: DataFrame, out: DataFrame, cfg: Config) -> DataFrame:
@@ -38,26 +39,31 @@ def rank_agreement(metrics: DataFrame, out: DataFrame, cfg: Config) -> DataFrame
 
 
 def evaluate(metrics: DataFrame, ports: DataFrame, held: DataFrame, cfg: Config, clamp: bool = True) -> DataFrame:
-    """Shares captured, both oracles' shares, regret, Jaccard with the oracle and candidate coverage, by method and K.
+    """Shares captured, both oracles' shares, regret, Jaccard with the oracle and candidate coverage, by method and K."""
+    return evaluated(metrics, ports, outcomes(held, cfg), cfg, clamp)
+
+
+def evaluated(metrics: DataFrame, ports: DataFrame, out: DataFrame, cfg: Config, clamp: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """evaluate() of given outcomes; all three tables may have columns `keep`, of which each value is evaluated by itself.
 
     A chosen transition that the holdout lacks counts as zero. Regret is against the
     candidates' oracle if `clamp` (never below zero), else against the global one.
     """
-    out = outcomes(held, cfg)
-    totals = out.agg(F.sum("mean_burden").alias("all_mean"), F.sum("tail_burden").alias("all_tail"), F.sum("n").alias("observations"), F.count("*").alias("transitions"))
-    chosen = ports.join(out, "transition", "left").groupBy("method", "K").agg(
+    keep = keep or []
+    totals = out.groupBy(*keep).agg(F.sum("mean_burden").alias("all_mean"), F.sum("tail_burden").alias("all_tail"), F.sum("n").alias("observations"), F.count("*").alias("transitions"))
+    chosen = ports.join(out, [*keep, "transition"], "left").groupBy(*keep, "method", "K").agg(
         *[F.coalesce(F.sum(f"{t}_burden"), F.lit(0.0)).alias(f"{t}_sum") for t in TARGETS], F.collect_set("transition").alias("members")
     )
-    best = {}
+    x = chosen
     for scope, cand in (("eligible", metrics), ("global", None)):
-        o = oracle(out, cfg, cand).groupBy("K").agg(
+        best = oracle(out, cfg, cand, keep).groupBy(*keep, "K").agg(
             *[F.sum(F.when(F.col("target") == t, F.col("burden"))).alias(f"{t}_{scope}") for t in TARGETS],
             *[F.collect_set(F.when(F.col("target") == t, F.col("transition"))).alias(f"{t}_{scope}_set") for t in TARGETS],
         )
-        best[scope] = o
-    covered = out.join(metrics.select("transition"), "transition", "left_semi").agg(*[F.sum(f"{t}_burden").alias(f"{t}_cand") for t in TARGETS])
-    x = chosen.join(F.broadcast(best["eligible"]), "K", "left").join(F.broadcast(best["global"]), "K", "left").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(covered))
-    cols = ["method", "K"]
+        x = x.join(F.broadcast(best), [*keep, "K"], "left")  # a row for each K
+    covered = out.join(metrics.select(*keep, "transition"), [*keep, "transition"], "left_semi").groupBy(*keep).agg(*[F.sum(f"{t}_burden").alias(f"{t}_cand") for t in TARGETS])
+    x = x.join(totals, keep).join(covered, keep) if keep else x.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(covered))
+    cols = [*keep, "method", "K"]
     scope = "eligible" if clamp else "global"
     for t in TARGETS:
         all_t = F.col(f"all_{t}")

@@ -43,7 +43,7 @@ def grid_threshold(pmf: DataFrame, keys: list[str], cap: float, tail: float, tol
 
 def radius_table(hist: DataFrame, cfg: Config) -> DataFrame:
     """Distances of each transition's valid blocks from its history: quantiles, and the sizes of the blocks."""
-    h = M.histogram(hist, cfg).withColumn("weight", F.lit(1)).withColumn("w", F.col("c"))
+    h = M.histogram(hist, cfg)
     d = M.distances(h, ["transition"], cfg)
     sizes = h.groupBy("transition", "block").agg(F.sum("c").alias("n_b"))
     quantiles = [F.percentile("d", F.lit(q)).alias(name) for q, name in ((0.5, "median"), (0.75, "q75"), (0.9, "q90"))]

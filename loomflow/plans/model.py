@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomflow.config import SCORES, Config
 from loomflow.functions import scalars as S
+from loomflow.functions import sliced as L
 from loomflow.functions import stats as T
 
 SATURATED, REACHED = 1e-8, 1e-7
@@ -22,60 +24,59 @@ def histogram(hist: DataFrame, cfg: Config, extra: list[str] | None = None) -> D
 
 
 def pooled(hist: DataFrame, keys: list[str]) -> DataFrame:
-    return hist.groupBy(*keys, "y").agg(F.sum("w").alias("w"))
+    return hist.groupBy(*keys, "y").agg(F.sum("c").alias("w"))
+
+
+def spec(cfg: Config, rep: int = 0) -> L.Spec:
+    return L.Spec(rep, float(cfg.cap), cfg.tail, cfg.min_block, cfg.reference == "leave_one_block_out")
 
 
 def distances(hist: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
-    """(keys, block, d, weight): Wasserstein distance of each valid block from the pooled or the left-out reference.
+    """(keys, block, d): Wasserstein distance of each valid block from the pooled or the left-out reference; `hist` is (keys, block, y, c)."""
+    return L.calibrations(hist, keys, [spec(cfg)]).where("block >= 0 and d is not null").select(*keys, "block", "d")
+
+
+def fitted(parts: DataFrame, keys: list[str], group: list[str], tail: float | Column, radius_q: float, multiplier: float | Column) -> DataFrame:
+    """(keys, rep, n, mean, cvar, valid_blocks, epsilon, m_cap, frequency) of calibrations; frequencies are within each `group`."""
+    own = F.col("block") < 0
+    total = lambda x: F.sum(F.when(own, F.col(x)))
+    n, w = total("n"), F.when(~own & F.col("d").isNotNull(), F.col("weight")).otherwise(0)
+    extra = [] if not isinstance(tail, Column) else ["tail", "multiplier"]
+    out = parts.groupBy(*keys, "rep", *extra).agg(
+        n.cast("long").alias("n"), (total("s") / n).alias("mean"), total("worst").alias("worst"), F.sum(F.when(~own, F.col("weight")).otherwise(0)).alias("valid_blocks"),
+        F.percentile(F.when(~own, F.col("d")), F.lit(radius_q), w).alias("radius"), (total("top") / n).alias("m_cap"),
+    )
+    out = out.withColumn("cvar", F.col("worst") / (F.col("n") * tail)).withColumn("epsilon", F.col("radius") * multiplier).drop("worst", "radius", *extra)
+    all_n = out.groupBy(*group).agg(F.sum("n").alias("all_n"))
+    return out.join(all_n, group).withColumn("frequency", F.col("n") / F.col("all_n"))
+
+
+def calibrated(hist: DataFrame, keys: list[str], cfg: Config, weights: np.ndarray | None = None) -> DataFrame:
+    """(keys, n, mean, cvar, valid_blocks, required, epsilon, frequency, m_cap) of each transition, eligible or not.
 
-    `hist` has w, the counts times the block's weight, c and weight.
+    With `weights` (replicates by blocks), of each replicate, `rep`, all from one histogram.
     """
-    per_block = hist.groupBy(*keys, "block").agg(F.sum("c").alias("n_b"), F.first("weight").alias("weight"))
-    valid = per_block.where((F.col("n_b") >= cfg.min_block) & (F.col("weight") > 0))
-    pool = pooled(hist, keys)
-    total = pool.groupBy(*keys).agg(F.sum("w").alias("n"))
-    cdf = T.spaced(T.running(pool, keys, "y", {"cw": "w"}, cfg.cap), keys, "y", cfg.cap).where("dx is not null")
-    # Every valid block has a value at each point of the pooled support, zero where it has no rows.
-    points = cdf.join(valid, keys)
-    own = hist.select(*keys, "block", "y", "c")
-    dense = points.join(own, [*keys, "block", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    cum = T.running(dense, [*keys, "block"], "y", {"cb": "c"}, cfg.cap).join(total, keys)
-    f, fb = F.col("cw") / F.col("n"), F.col("cb") / F.col("n_b")
-    if cfg.reference == "leave_one_block_out":
-        w_b = F.col("n_b") * F.col("weight")
-        rest = F.col("n") - w_b
-        cum = cum.where(rest > 0)
-        f = (F.col("cw") - F.col("cb") * F.col("weight")) / F.greatest(rest, F.lit(1))
-    return cum.groupBy(*keys, "block").agg(F.sum(F.abs(fb - f) * F.col("dx")).alias("d"), F.first("weight").alias("weight"))
-
-
-def calibrated(hist: DataFrame, keys: list[str], cfg: Config, blocks: Column | int | None = None) -> DataFrame:
-    """(keys, n, mean, cvar, valid_blocks, required, epsilon, frequency, m_cap) of each transition, eligible or not."""
-    weights = cfg.blocks if blocks is None else blocks
-    group = [k for k in keys if k != "transition"]
-    pool = pooled(hist, keys)
-    risk = T.cvar(pool, keys, cfg.tail, cfg.cap)
-    counts = hist.groupBy(*keys, "block").agg(F.sum("c").alias("n_b"), F.first("weight").alias("weight"))
-    good = (F.col("n_b") >= cfg.min_block) & (F.col("weight") > 0)
-    valid = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(good, F.col("weight"))), F.lit(0)).alias("valid_blocks"))
-    d = distances(hist, keys, cfg)
-    radius = d.groupBy(*keys).agg((F.percentile("d", F.lit(cfg.radius_q), F.col("weight")) * cfg.multiplier).alias("epsilon"))
-    at_cap = pool.groupBy(*keys).agg((F.sum(F.when(F.col("y") >= cfg.cap, F.col("w")).otherwise(0)) / F.sum("w")).alias("m_cap"))
-    total = pool.groupBy(*group).agg(F.sum("w").alias("all_n")) if group else pool.agg(F.sum("w").alias("all_n"))
-    out = risk.join(valid, keys).join(at_cap, keys).join(radius, keys, "left")
-    out = out.join(total, group) if group else out.crossJoin(F.broadcast(total))
-    return out.withColumn("required", F.ceil(F.lit(cfg.coverage) * weights).cast("int") if isinstance(weights, int) else F.ceil(F.lit(cfg.coverage) * weights)).withColumn("frequency", F.col("n") / F.col("all_n"))
-
-
-def scored(cal: DataFrame, cfg: Config) -> DataFrame:
-    """Risk, saturation and the five scores, from calibrated statistics."""
+    group = ["rep"] + [k for k in keys if k != "transition"]
+    out = fitted(L.calibrations(hist, keys, [spec(cfg)], weights), keys, group, cfg.tail, cfg.radius_q, cfg.multiplier)
+    out = out.withColumn("required", F.lit(required(cfg)))
+    return out if weights is not None else out.drop("rep")
+
+
+def required(cfg: Config) -> int:
+    """Valid blocks that a transition must have."""
+    return int(-(-cfg.coverage * cfg.blocks // 1))
+
+
+def scored(cal: DataFrame, cfg) -> DataFrame:
+    """Risk, saturation and the five scores, from calibrated statistics; `cfg` has numbers or columns as cap, tail, kappa and min_obs."""
     threshold = T.saturation(F.col("cvar"), cfg.cap, cfg.tail)
     full = F.col("epsilon_sat") <= SATURATED
     out = cal.withColumn("strict_eligibility", (F.col("n") >= cfg.min_obs) & (F.col("valid_blocks") >= F.col("required"))).withColumn("epsilon_sat", threshold)
     out = out.withColumn("empirically_saturated", full).withColumn("rho", F.when(~full, F.col("epsilon") / F.col("epsilon_sat")))
-    out = out.withColumn("risk", T.robust(F.col("cvar"), F.col("epsilon"), cfg.cap, cfg.tail)).withColumn("sa_epsilon", F.when(full, F.lit(0.0)).otherwise(F.least("epsilon", cfg.kappa * F.col("epsilon_sat"))))
+    out = out.withColumn("risk", T.robust(F.col("cvar"), F.col("epsilon"), cfg.cap, cfg.tail)).withColumn("sa_epsilon", F.when(full, F.lit(0.0)).otherwise(F.least("epsilon", F.col("epsilon_sat") * cfg.kappa)))
     out = out.withColumn("sa_risk", T.robust(F.col("cvar"), F.col("sa_epsilon"), cfg.cap, cfg.tail))
-    out = out.withColumn("saturated", F.col("risk") >= cfg.cap - REACHED).withColumn("sa_saturated", F.col("sa_risk") >= cfg.cap - REACHED)
+    reached = T.number(cfg.cap) - REACHED
+    out = out.withColumn("saturated", F.col("risk") >= reached).withColumn("sa_saturated", F.col("sa_risk") >= reached)
     f = F.col("frequency")
     return out.withColumns({"mean_score": f * F.col("mean"), "tail_score": f * F.col("cvar"), "dro_score": f * F.col("risk"), "sa_score": f * F.col("sa_risk")})
 
@@ -85,8 +86,7 @@ METRICS = ("transition", "n", "valid_blocks", "required", "strict_eligibility",
 
 def fit(hist: DataFrame, cfg: Config, candidates: DataFrame | None = None) -> DataFrame:
     """Metrics of the eligible transitions of a history, or of given `candidates` (transition)."""
-    h = histogram(hist, cfg).withColumn("weight", F.lit(1)).withColumn("w", F.col("c"))
-    out = scored(calibrated(h, ["transition"], cfg), cfg)
+    out = scored(calibrated(histogram(hist, cfg), ["transition"], cfg), cfg)
     out = out.join(candidates.select("transition"), "transition", "left_semi") if candidates is not None else out.where("strict_eligibility")
     return out.select(*METRICS)
 
@@ -98,16 +98,16 @@ def by_method(metrics: DataFrame, cfg: Config, keep: list[str] | None = None) ->
 
 
 def portfolios(metrics: DataFrame, cfg: Config, keep: list[str] | None = None) -> DataFrame:
-    """(keep, method, K, rank, transition): the top K of each method, ties by name."""
-    w = Window.partitionBy(*(keep or []), "method").orderBy(F.desc("score"), "transition")
+    """(keep, method, K, rank, transition): the top K of each method; scores that agree to ten places are ties, by name."""
+    w = Window.partitionBy(*(keep or []), "method").orderBy(F.desc(F.round("score", 10)), "transition")
     ranked = by_method(metrics, cfg, keep).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(cfg.sizes))
     sizes = F.explode(F.array(*[F.lit(k) for k in cfg.sizes])).alias("K")
     return ranked.select(*(keep or []), "method", sizes, "rank", "transition").where(F.col("rank") <= F.col("K"))
 
 
-def diagnostic(metrics: DataFrame) -> DataFrame:
+def diagnostic(metrics: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Counts of saturated candidates and medians of rho and radius."""
-    return metrics.agg(
+    return metrics.groupBy(*(keep or [])).agg(
         F.count("*").alias("candidates"), F.count_if("empirically_saturated").alias("empirical"), F.count_if(F.col("saturated") & ~F.col("empirically_saturated")).alias("induced"),
         F.count_if("saturated").alias("total"), F.percentile("rho", F.lit(0.5)).alias("median_rho"), F.percentile("epsilon", F.lit(0.5)).alias("median_epsilon"),
     )

@@ -2,74 +2,106 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomflow.config import Config
 from loomflow.functions import scalars as S
-from loomflow.functions import stats as T
+from loomflow.functions import sliced as L
+from loomflow.plans import evaluate as V
 from loomflow.plans import model as M
 
 
-def multinomial(clusters: int, replicates: int, seed: int) -> list[tuple[int, int, int]]:
-    """(rep, cluster, weight): how often each of a few calendar clusters is drawn; the table has replicates x clusters rows at most."""
-    rng = np.random.default_rng(seed)
-    drawn = [np.bincount(rng.integers(0, clusters, clusters), minlength=clusters) for _ in range(replicates)]
-    return [(rep, k, int(w)) for rep, row in enumerate(drawn) for k, w in enumerate(row) if w]
-
+def calendar(held: DataFrame, cfg: Config, days: float) -> DataFrame:
+    """`held` with the calendar cluster of each origin, counted from the decision."""
+    return held.withColumn("cluster", S.block(F.col("origin"), cfg.decision, days).cast("long"))
 
-def weight_table(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, "rep int, cluster int, weight int")
 
+def schemes(held: DataFrame, cfg: Config, days: tuple[float, ...], replicates: int) -> dict[str, tuple[DataFrame, int, object]]:
+    """Of each calendar scheme, and of cases: the holdout with its clusters, their number, and what draws their weights.
 
-def poisson_weight(cluster: Column, rep: Column, seed: int) -> Column:
-    """A Poisson(1) weight by hash: the same for a cluster wherever it is, so that case clusters need no table of weights."""
-    u = F.pmod(F.xxhash64(cluster, rep, F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    cdf, p, w = 0.0, float(np.exp(-1.0)), F.lit(0)
-    for k in range(1, 9):
-        cdf += p
-        w = w + (u >= cdf).cast("int")
-        p /= k
-    return w
+    Calendar clusters are few; those without rows can be drawn too. Cases are drawn by splitting.
+    """
+    out = {}
+    for d in days:
+        own = calendar(held, cfg, d)
+        last = own.agg(F.max("cluster")).first()[0]
+        n = 1 if last is None else last + 1
+        out[f"calendar_{d:g}d"] = (own, n, L.Calendar(n, replicates, cfg.seed))
+    own, n = L.numbered(held, "case_id", "cluster")
+    out["case_cluster"] = (own, n, L.Splitting(n, replicates, cfg.seed))
+    return out
+
+
+def burdens(clustered: DataFrame, weigh, cfg: Config, replicates: int) -> DataFrame:
+    """(rep, transition, mean_burden, tail_burden): outcomes of each replicate, by the weights of the clusters."""
+    y = S.capped(F.col("delay"), cfg.cap).alias("y")
+    counts = clustered.select("transition", "cluster", y).groupBy("transition", "cluster", "y").agg(F.count("*").alias("c"))
+    out = L.resampled(counts, ["transition"], cfg.cap, cfg.tail, replicates, weigh)
+    return out.select("rep", "transition", F.col("s").alias("mean_burden"), (F.col("worst") / F.lit(cfg.tail)).alias("tail_burden"))
 
 
-def burdens(held: DataFrame, weights: DataFrame | None, cfg: Config, cluster: Column, replicates: int) -> DataFrame:
-    """(rep, transition, mean_burden, tail_burden): outcomes of each replicate; without `weights`, Poisson by hash of the cluster."""
-    y = S.capped(F.col("delay"), cfg.cap).alias("y")
-    if weights is not None:
-        pre = held.select("transition", cluster.alias("cluster"), y).groupBy("transition", "cluster", "y").agg(F.count("*").alias("c"))
-        pmf = pre.join(F.broadcast(weights), "cluster").groupBy("rep", "transition", "y").agg(F.sum(F.col("c") * F.col("weight")).alias("w"))
-    else:
-        reps = held.select("transition", cluster.alias("cluster"), y, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        pmf = reps.withColumn("w", poisson_weight(F.col("cluster"), F.col("rep"), cfg.seed)).where("w > 0").groupBy("rep", "transition", "y").agg(F.sum("w").alias("w"))
-    out = T.cvar(pmf, ["rep", "transition"], cfg.tail, cfg.cap)
-    return out.select("rep", "transition", (F.col("n") * F.col("mean")).alias("mean_burden"), (F.col("n") * F.col("cvar")).alias("tail_burden"))
+def long_burdens(reps: DataFrame) -> DataFrame:
+    """(rep, target, transition, burden)."""
+    stack = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_burden").alias("burden")) for t in V.TARGETS])).alias("x")
+    return reps.select("rep", "transition", stack).select("rep", "x.target", "transition", "x.burden")
 
 
 def shares(reps: DataFrame, ports: DataFrame) -> DataFrame:
-    """(rep, method, K, mean_share, tail_share): percent of all burden that each portfolio captures in each replicate."""
-    total = reps.groupBy("rep").agg(F.sum("mean_burden").alias("all_mean"), F.sum("tail_burden").alias("all_tail"))
-    got = reps.join(F.broadcast(ports.select("method", "K", "transition")), "transition").groupBy("rep", "method", "K").agg(F.sum("mean_burden").alias("m"), F.sum("tail_burden").alias("t"))
+    """(rep, target, method, K, share): percent of all burden that each portfolio captures in each replicate."""
+    long = long_burdens(reps)
+    total = long.groupBy("rep", "target").agg(F.sum("burden").alias("all"))
+    members = F.broadcast(ports.select("method", "K", "transition"))  # methods x sizes x K rows at most
+    # K burdens, summed in order of size, so that equal memberships have equal sums.
+    in_order = F.aggregate(F.array_sort(F.collect_list("burden")), F.lit(0.0), lambda a, x: a + x)
+    got = long.join(members, "transition").groupBy("rep", "target", "method", "K").agg(in_order.alias("burden"))
     grid = total.crossJoin(F.broadcast(ports.select("method", "K").distinct()))
-    x = grid.join(got, ["rep", "method", "K"], "left")
-    return x.select("rep", "method", "K", (100 * F.coalesce("m", F.lit(0.0)) / F.col("all_mean")).alias("mean_share"), (100 * F.coalesce("t", F.lit(0.0)) / F.col("all_tail")).alias("tail_share"))
+    return grid.join(got, ["rep", "target", "method", "K"], "left").select("rep", "target", "method", "K", (100 * F.coalesce("burden", F.lit(0.0)) / F.col("all")).alias("share"))
 
 
-def paired_bootstrap(held: DataFrame, ports: DataFrame, cfg: Config, weights: DataFrame | None, cluster: Column, replicates: int) -> DataFrame:
-    """(K, left_method, right_method, target, difference, lower, upper): differences of captured shares under shared weights.
+def oracle_shares(reps: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
+    """(rep, target, K, share): percent of all burden that the best K candidates of each replicate carry.
 
-    Equal memberships differ by exactly zero, since both read the same replicate's burdens.
+    Each task keeps the largest of its rows before those of a replicate meet.
     """
-    s = shares(burdens(held, weights, cfg, cluster, replicates), ports)
+    long = long_burdens(reps)
+    total = long.groupBy("rep", "target").agg(F.sum("burden").alias("all"))
+    ranked = long.join(candidates.select("transition"), "transition", "left_semi")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("rep", "target").orderBy(F.desc("burden"), "transition"))).where(F.col("rank") <= max(cfg.sizes))
+    best = ranked.groupBy("rep", "target").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("burden")).otherwise(0.0)).alias(f"best_{k}") for k in cfg.sizes])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("K"), F.coalesce(f"best_{k}", F.lit(0.0)).alias("burden")) for k in cfg.sizes])).alias("x")
+    return total.join(best, ["rep", "target"], "left").select("rep", "target", "all", each).select("rep", "target", "x.K", (100 * F.col("x.burden") / F.col("all")).alias("share"))
+
+
+ORACLE = "Eligible oracle"
+
+
+def paired_bootstrap(clustered: DataFrame, ports: DataFrame, candidates: DataFrame, cfg: Config, weigh, replicates: int) -> DataFrame:
+    """(K, left_method, right_method, target, difference, lower, upper, identical): differences of captured shares under shared weights.
+
+    The oracle, chosen anew in each replicate of the candidates, stands against each
+    method. Equal memberships differ by exactly zero, since both read one replicate's burdens.
+    """
+    reps = burdens(clustered, weigh, cfg, replicates).persist()  # replicates x transitions rows, read by each share
     order = F.create_map(*[F.lit(x) for k, m in enumerate(cfg.methods) for x in (m, k)])
-    s = s.withColumn("place", F.element_at(order, F.col("method")))
-    long = s.select("rep", "method", "K", "place", F.explode(F.array(F.struct(F.lit("mean").alias("target"), F.col("mean_share").alias("share")), F.struct(F.lit("tail").alias("target"), F.col("tail_share").alias("share")))).alias("x")).select("rep", "method", "K", "place", "x.*")
-    a = long.select("rep", "K", "target", F.col("method").alias("left_method"), F.col("place").alias("pa"), F.col("share").alias("sa"))
-    b = long.select("rep", "K", "target", F.col("method").alias("right_method"), F.col("place").alias("pb"), F.col("share").alias("sb"))
-    d = a.join(b, ["rep", "K", "target"]).where("pa < pb").withColumn("d", F.col("sa") - F.col("sb"))
+    own = shares(reps, ports).withColumn("place", F.element_at(order, F.col("method")))
+    best = oracle_shares(reps, candidates, cfg).select("rep", "target", F.lit(ORACLE).alias("method"), "K", "share", F.lit(-1).alias("place"))
+    left = own.unionByName(best).select("rep", "K", "target", F.col("method").alias("left_method"), F.col("place").alias("pa"), F.col("share").alias("sa"))
+    right = own.select("rep", "K", "target", F.col("method").alias("right_method"), F.col("place").alias("pb"), F.col("share").alias("sb"))
+    d = left.join(right, ["rep", "K", "target"]).where("pa < pb").withColumn("d", F.col("sa") - F.col("sb"))
     q = lambda p: F.percentile("d", F.lit(p))
-    return d.groupBy("K", "left_method", "right_method", "target").agg(F.avg("d").alias("difference"), q(0.025).alias("lower"), q(0.975).alias("upper"))
+    out = d.groupBy("K", "left_method", "right_method", "target").agg(F.avg("d").alias("difference"), q(0.025).alias("lower"), q(0.975).alias("upper"))
+    same = V.overlap(ports, cfg).select("K", "left_method", "right_method", F.col("same_membership"))
+    return out.join(F.broadcast(same), ["K", "left_method", "right_method"], "left").withColumn("identical", F.coalesce("same_membership", F.lit(False))).drop("same_membership")
+
+
+def bootstrapped(held: DataFrame, ports: DataFrame, candidates: DataFrame, cfg: Config, days: tuple[float, ...], replicates: int) -> DataFrame:
+    """paired_bootstrap() of every scheme, with `scheme` and the number of its `clusters`."""
+    parts = [paired_bootstrap(own, ports, candidates, cfg, weigh, replicates).select(F.lit(name).alias("scheme"), F.lit(n).cast("long").alias("clusters"), "*") for name, (own, n, weigh) in schemes(held, cfg, days, replicates).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def superior(differences: DataFrame) -> DataFrame:
@@ -77,22 +109,23 @@ def superior(differences: DataFrame) -> DataFrame:
     return differences.agg(F.coalesce(F.bool_and((F.col("lower") > 0) & (F.col("difference") > 0)), F.lit(False)).alias("superior"))
 
 
-def refits(hist: DataFrame, weights: DataFrame, cfg: Config) -> DataFrame:
+def refits(hist: DataFrame, weights: np.ndarray, cfg: Config) -> DataFrame:
     """Metrics of each replicate of resampled history blocks (rep), radius, risk and eligibility fitted again.
 
-    The histogram is counted once; a replicate only weighs its blocks anew.
+    The histogram is counted once; a replicate only weighs its blocks anew (`weights`: replicates by blocks).
     """
-    h = M.histogram(hist, cfg).join(F.broadcast(weights.withColumnRenamed("cluster", "block")), "block").withColumn("w", F.col("c") * F.col("weight"))
-    return M.scored(M.calibrated(h, ["rep", "transition"], cfg), cfg)
+    return M.scored(M.calibrated(M.histogram(hist, cfg), ["transition"], cfg, weights), cfg)
 
 
 def stability(refitted: DataFrame, primary: DataFrame, cfg: Config) -> DataFrame:
-    """(method, K, replicates, mean_jaccard, p05_jaccard, p95_jaccard) of refitted against primary portfolios."""
+    """(method, K, replicates, mean_jaccard, p05_jaccard, p95_jaccard, at_least_80) of refitted against primary portfolios, and the candidates' numbers."""
     ports = M.portfolios(refitted.where("strict_eligibility"), cfg, ["rep"]).groupBy("rep", "method", "K").agg(F.collect_set("transition").alias("x"))
     base = primary.groupBy("method", "K").agg(F.collect_set("transition").alias("y"))
     j = ports.join(F.broadcast(base), ["method", "K"]).select("method", "K", S.jaccard(F.col("x"), F.col("y")).alias("j"))
     q = lambda p: F.percentile("j", F.lit(p))
-    return j.groupBy("method", "K").agg(F.count("*").alias("replicates"), F.avg("j").alias("mean_jaccard"), q(0.05).alias("p05_jaccard"), q(0.95).alias("p95_jaccard"))
+    able = refitted.groupBy("rep").agg(F.count_if("strict_eligibility").alias("n")).agg(F.percentile("n", F.lit(0.5)).alias("median_candidates"), F.min("n").alias("min_candidates"), F.max("n").alias("max_candidates"))
+    out = j.groupBy("method", "K").agg(F.count("*").alias("replicates"), F.avg("j").alias("mean_jaccard"), q(0.05).alias("p05_jaccard"), q(0.95).alias("p95_jaccard"), F.count_if(F.col("j") >= 0.8).alias("at_least_80"))
+    return out.crossJoin(F.broadcast(able))  # one row
 
 
 def probabilities(refitted: DataFrame, primary: DataFrame, cfg: Config, replicates: int) -> DataFrame:
@@ -110,20 +143,30 @@ def frozen(refitted: DataFrame, metrics: DataFrame) -> DataFrame:
     return x.withColumns({"dro_score": F.col("frequency") * F.col("fixed_risk"), "sa_score": F.col("frequency") * F.col("fixed_sa")}).drop("fixed_risk", "fixed_sa")
 
 
-def noise(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int) -> DataFrame:
-    """(transition, observed, null_median, null_p95, above): the radius against delays dealt anew to blocks.
+def dealt_anew(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int) -> DataFrame:
+    """(rep, transition, block, y): each transition's delays over its own places in blocks, in another order in each replicate.
 
-    Each replicate gives a delay a block by hash, in proportion to the blocks' sizes; a
-    hash needs no sort of a transition's rows, and makes each transition's draws its own.
+    A delay's place is its rank by a digest of the replicate and its row; the blocks take
+    places in turn, as many as they have rows, so that every block keeps its size. Rows of
+    one case, origin and delay are alike, so that their order does not matter.
     """
     own = hist.join(metrics.select("transition"), "transition", "left_semi").select("transition", "case_id", "origin", S.block(F.col("origin"), cfg.start, cfg.block_days).alias("block"), S.capped(F.col("delay"), cfg.cap).alias("y"))
     sizes = own.groupBy("transition", "block").agg(F.count("*").alias("n"))
-    ends = sizes.groupBy("transition").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("block", "n"))).alias("blocks"))
-    dealt = own.join(F.broadcast(ends), "transition").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64("transition", "case_id", "origin", "rep", F.lit(cfg.seed + 23)), F.col("all"))
-    place = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("block")), lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.coalesce(a["block"], F.when(u < a["sum"] + x["n"], x["block"])).alias("block")), lambda a: a["block"])
-    h = dealt.select("rep", "transition", place.alias("block"), "y").groupBy("rep", "transition", "block", "y").agg(F.count("*").alias("c")).withColumn("weight", F.lit(1)).withColumn("w", F.col("c"))
-    radius = M.distances(h, ["rep", "transition"], cfg).groupBy("rep", "transition").agg(F.percentile("d", F.lit(cfg.radius_q)).alias("e"))
+    upto = F.sum("n").over(Window.partitionBy("transition").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    ends = sizes.select("transition", "block", (upto - F.col("n")).alias("lo"), upto.alias("hi")).groupBy("transition").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "block"))).alias("blocks"))  # a row for each calendar block
+    text = F.concat_ws(":", F.lit(cfg.seed + 23), "rep", "transition", F.coalesce(F.col("case_id").cast("string"), F.lit("")), F.unix_micros(F.col("origin").cast("timestamp")))
+    reps = own.select("transition", "case_id", "origin", "y").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    placed = L.hash_ranked(reps, ["transition", "rep"], F.md5(text.cast("binary")), ["y"])
+    block = F.filter("blocks", lambda b: (F.col("place") >= b["lo"]) & (F.col("place") < b["hi"]))[0]["block"]
+    return placed.join(ends, "transition").select("rep", "transition", block.alias("block"), "y")
+
+
+def noise(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int) -> DataFrame:
+    """(transition, observed, null_median, null_p95, above): the radius against those of delays dealt anew to blocks of the same sizes."""
+    # Every draw has the same values, so that the blocks of all draws together are pooled as those of one are.
+    stride = cfg.blocks + 1
+    h = dealt_anew(hist, metrics, cfg, replicates).select("transition", (F.col("rep") * stride + F.col("block")).alias("block"), "y").groupBy("transition", "block", "y").agg(F.count("*").alias("c"))
+    radius = M.distances(h, ["transition"], cfg).groupBy("transition", F.expr(f"block div {stride}").alias("draw")).agg(F.percentile("d", F.lit(cfg.radius_q)).alias("e"))
     null = radius.groupBy("transition").agg(F.percentile("e", F.lit(0.5)).alias("null_median"), F.percentile("e", F.lit(0.95)).alias("null_p95"))
     return metrics.select("transition", F.col("epsilon").alias("observed")).join(null, "transition").withColumn("above", F.col("observed") > F.col("null_p95"))
 

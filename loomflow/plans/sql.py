@@ -47,7 +47,7 @@ def event_ctes(cfg: Config) -> dict[str, str]:
         "scores": methods,
         "sizes": f"SELECT * FROM (VALUES {sizes}) AS s(K)",
         "morder": f"SELECT * FROM (VALUES {order}) AS s(method, k)",
-        "ranked": "SELECT method, transition, score, row_number() OVER (PARTITION BY method ORDER BY score DESC, transition) AS rank FROM scores",
+        "ranked": "SELECT method, transition, score, row_number() OVER (PARTITION BY method ORDER BY round(score, 10) DESC, transition) AS rank FROM scores",
         "port": "SELECT method, K, rank, transition FROM ranked JOIN sizes ON rank <= K",
         "opool": f"SELECT transition, least(delay, {cap}) AS y, count(*) AS w FROM held GROUP BY ALL",
         "otot": "SELECT transition, CAST(sum(w) AS BIGINT) AS n, sum(y * w) / sum(w) AS mean FROM opool GROUP BY 1",

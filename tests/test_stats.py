@@ -12,7 +12,6 @@ from loomflow.functions import stats as T
 from loomflow.operators import events as E
 from loomflow.plans import checks as C
 from loomflow.plans import model as M
-from loomflow.plans import resample as R
 
 CFG = Config(start=datetime(2018, 1, 1), decision=datetime(2018, 7, 1), holdout_end=datetime(2018, 10, 1))
 
@@ -56,19 +55,6 @@ def test_cutoff_is_strict(spark):
     assert E.holdout(obs.withColumn("origin", F.lit("2018-07-02").cast("timestamp_ntz")), CFG.but(observation_end=cut)).count() == 2
 
 
-@pytest.mark.parametrize("scheme", ["7", "14", "28", "case"])
-def test_equal_memberships_differ_by_zero(spark, scheme):
-    rows = [(k // 2, datetime(2018, 7, 1) + timedelta(days=k), "A -> B" if k % 2 else "C -> D", 3.71 * k) for k in range(40)]
-    held = spark.createDataFrame(rows, "case_id int, origin timestamp_ntz, transition string, delay double")
-    ports = spark.createDataFrame([("Frequency", 2, 1, "A -> B"), ("Frequency", 2, 2, "C -> D"), ("Mean burden", 2, 1, "C -> D"), ("Mean burden", 2, 2, "A -> B")], "method string, K int, rank int, transition string")
-    if scheme == "case":
-        got = R.paired_bootstrap(held, ports, CFG, None, F.col("case_id"), 30)
-    else:
-        weights = R.weight_table(spark, R.multinomial(-(-40 // int(scheme)), 30, 1))
-        got = R.paired_bootstrap(held, ports, CFG, weights, S.block(F.col("origin"), CFG.decision, int(scheme)), 30)
-    assert [(r.difference, r.lower, r.upper) for r in got.collect()] == [(0.0, 0.0, 0.0)] * 2
-
-
 def test_running_sums_do_not_depend_on_ranges(spark):
     rng = np.random.default_rng(3)
     rows = [("k", float(y), int(w)) for y, w in zip(np.unique(rng.uniform(0, 50, 300)), rng.integers(1, 9, 300))]
@@ -90,11 +76,6 @@ def test_empty_history_gives_an_empty_table(spark):
     assert M.fit(E.history(obs, CFG), CFG).count() == 0
 
 
-def test_poisson_weights_have_mean_one(spark):
-    mean = spark.range(20000).select(F.avg(R.poisson_weight(F.col("id"), F.lit(1), 5))).first()[0]
-    assert mean == pytest.approx(1.0, abs=0.03)
-
-
 def test_scalars(spark):
     df = spark.createDataFrame([(2.5, " User_1 ", "TRUE"), (3.5, "batch_2", "no"), (-1.0, None, "1")], "x double, r string, b string")
     rows = df.select(S.snapped(F.col("x"), 1.0, 3.0).alias("s"), S.resource_kind(F.col("r")).alias("k"), S.as_bool(F.col("b")).alias("b"), S.clipped(F.col("x"), 3.0).alias("c")).collect()
