@@ -90,28 +90,36 @@ def calibrations(hist: DataFrame, keys: list[str], specs: list[Spec] | dict[str,
         upto = before[:, None] + np.cumsum(counts, axis=1)
         gaps = np.diff(ys, append=ys[-1] if pd.isna(info["next"]) else info["next"])
         all_w = np.ones((1, len(blocks))) if weights is None else weights[:, blocks]
-        step, parts = max(1, CELLS // max(1, len(ys))), []
+        step, sums, gone = max(1, CELLS // max(1, len(ys))), [], []
         for spec in specs[own[keys[0]].iloc[0]] if isinstance(specs, dict) else specs:
             good = np.flatnonzero(total >= spec.min_block)
+            shares = upto[good] / total[good, None]
             for first in range(0, len(all_w), step):
                 w = all_w[first : first + step]
                 n = w @ total
-                drawn = n > 0
                 reps = spec.rep + first + np.arange(len(w))
                 weight, below = w @ counts, w @ upto
                 take = np.clip((n * spec.tail)[:, None] - (n[:, None] - below), 0.0, weight)
-                parts.append(pd.DataFrame({"rep": reps, "block": -1, "weight": 0, "d": 0.0, "n": weight.sum(axis=1), "s": weight @ ys, "worst": take @ ys, "top": weight[:, ys >= spec.cap].sum(axis=1)})[drawn])
+                sums.append(np.column_stack([reps, weight.sum(axis=1), weight @ ys, take @ ys, weight[:, ys >= spec.cap].sum(axis=1)])[n > 0])
                 pooled = below / np.maximum(n, 1)[:, None]
-                for b in good:
-                    d = np.abs(upto[b] / total[b] - pooled) @ gaps
-                    if spec.leave_out:  # what is left of the pool without the block is as far from it, by the share that is left
-                        rest = n - w[:, b] * total[b]
-                        d = np.where(rest > 0, d * n / np.maximum(rest, 1), np.nan)
-                    parts.append(pd.DataFrame({"rep": reps, "block": blocks[b], "weight": w[:, b].astype(int), "d": d, "n": 0.0, "s": 0.0, "worst": 0.0, "top": 0.0})[w[:, b] > 0])
-        out = pd.concat(parts)
-        for k in keys:
-            out[k] = own[k].iloc[0]
-        out["d"] = out["d"].astype(object).where(out["d"].notna(), None)
+                if len(w) < len(good):
+                    d = np.array([np.abs(shares - row) @ gaps for row in pooled]).reshape(len(w), len(good))
+                else:
+                    d = np.array([np.abs(row - pooled) @ gaps for row in shares]).reshape(len(good), len(w)).T
+                if spec.leave_out:  # what is left of the pool without the block is as far from it, by the share that is left
+                    rest = n[:, None] - w[:, good] * total[good]
+                    d = np.where(rest > 0, d * n[:, None] / np.maximum(rest, 1), np.nan)
+                r, b = np.nonzero(w[:, good] > 0)
+                gone.append(np.column_stack([reps[r], blocks[good][b], w[:, good][r, b], d[r, b]]))
+        all_sums, far = np.vstack(sums), np.vstack(gone)
+        k, zero = len(all_sums), np.zeros(len(far))
+        out = pd.DataFrame({"rep": np.append(all_sums[:, 0], far[:, 0]).astype(int), "block": np.append(np.full(k, -1), far[:, 1]).astype(int), "weight": np.append(np.zeros(k), far[:, 2]).astype(int), "d": np.append(np.zeros(k), far[:, 3])})
+        for place_of, name in enumerate(("n", "s", "worst", "top"), start=1):
+            out[name] = np.append(all_sums[:, place_of], zero)
+        for key in keys:
+            out[key] = own[key].iloc[0]
+        if np.isnan(far[:, 3]).any():
+            out["d"] = out["d"].astype(object).where(out["d"].notna(), None)
         return out
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep int, block int, weight int, d double, n double, s double, worst double, top double"

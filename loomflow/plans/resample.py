@@ -165,7 +165,7 @@ def noise(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int) ->
     """(transition, observed, null_median, null_p95, above): the radius against those of delays dealt anew to blocks of the same sizes."""
     # Every draw has the same values, so that the blocks of all draws together are pooled as those of one are.
     stride = cfg.blocks + 1
-    h = dealt_anew(hist, metrics, cfg, replicates).select("transition", (F.col("rep") * stride + F.col("block")).alias("block"), "y").groupBy("transition", "block", "y").agg(F.count("*").alias("c"))
+    h = dealt_anew(hist, metrics, cfg, replicates).select("transition", (F.col("rep") * stride + F.col("block")).alias("block"), "y").groupBy("transition", "block", "y").agg(F.count("*").alias("c")).persist()  # slicing reads it more than once
     radius = M.distances(h, ["transition"], cfg).groupBy("transition", F.expr(f"block div {stride}").alias("draw")).agg(F.percentile("d", F.lit(cfg.radius_q)).alias("e"))
     null = radius.groupBy("transition").agg(F.percentile("e", F.lit(0.5)).alias("null_median"), F.percentile("e", F.lit(0.95)).alias("null_p95"))
     return metrics.select("transition", F.col("epsilon").alias("observed")).join(null, "transition").withColumn("above", F.col("observed") > F.col("null_p95"))
