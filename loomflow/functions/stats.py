@@ -92,13 +92,13 @@ def spaced(df: DataFrame, keys: list[str], value: str, top: float, bins: int = B
 
 
 def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
-    """(keys, tau): tau-b over pairs of a key's items; for score tables, which have as many rows as transitions. Null if constant."""
+    """(keys, tau): tau-b over pairs of a key's items; for score tables, which have as many rows as transitions. Null under three rows or if constant."""
     a = df.select(*keys, F.col(item).alias("ia"), F.col(x).alias("xa"), F.col(y).alias("ya"))
     b = df.select(*keys, F.col(item).alias("ib"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     pairs = a.join(b, keys).where("ia < ib")
     sx, sy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    agg = pairs.groupBy(*keys).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    return agg.select(*keys, (F.col("s") / F.nullif(F.sqrt(F.col("nx") * F.col("ny")), F.lit(0.0))).alias("tau"))
+    agg = pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
+    return agg.select(*keys, F.when(F.col("pairs") >= 3, F.col("s") / F.nullif(F.sqrt(F.col("nx") * F.col("ny")), F.lit(0.0))).alias("tau"))  # three rows make three pairs
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

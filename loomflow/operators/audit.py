@@ -71,3 +71,12 @@ def first_of_group(df: DataFrame, keys: list[str], order: list[str], columns: li
 def on_base(base: DataFrame, counts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Counts for every row of the base, zero where there are none."""
     return base.join(counts, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
+
+
+def profiles(log: DataFrame, key: str) -> DataFrame:
+    """(key, n, activities, entropy, active_months): of each resource, or other key: events, distinct activities and their entropy in nats, and months with an event."""
+    c = log.groupBy(key, "activity").agg(F.count("*").alias("c"))
+    per = c.groupBy(key).agg(F.sum("c").alias("n"), F.count("*").alias("activities"), F.sum(F.col("c") * F.ln("c")).alias("s"))
+    months = log.groupBy(key).agg(F.countDistinct(F.date_format("ts", "yyyy-MM")).alias("active_months"))
+    entropy = F.ln("n") - F.col("s") / F.col("n")
+    return per.join(months, per[key].eqNullSafe(months[key])).select(per[key], "n", "activities", entropy.alias("entropy"), "active_months")

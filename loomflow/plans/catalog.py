@@ -12,7 +12,9 @@ from loomflow.config import Config
 from loomflow.functions import scalars as S
 from loomflow.functions import sliced as L
 from loomflow.functions import stats as T
+from loomflow.operators import audit as A
 from loomflow.operators import events as E
+from loomflow.operators import schemas as J
 from loomflow.plans import checks as C
 from loomflow.plans import evaluate as V
 from loomflow.plans import model as M
@@ -235,6 +237,19 @@ def _(spark, d):
     return tbl(spark, d, "conversations").groupBy(S.resource_kind(F.col("role")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+_ODD = "CASE event_id % 6 WHEN 0 THEN ' user_1' WHEN 1 THEN 'User_2' WHEN 2 THEN 'batch_3' WHEN 3 THEN 'NONE' WHEN 4 THEN 'clerk' END"
+
+
+@query("resource_kinds_unstripped", f"SELECT CASE WHEN lower(x) LIKE 'user%' THEN 'human' WHEN lower(x) LIKE 'batch%' THEN 'batch' WHEN x IS NULL OR upper(trim(x)) IN ('NONE', 'NULL', 'NA', '') THEN 'none' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT {_ODD} AS x FROM events) GROUP BY 1")
+def _(spark, d):
+    return tbl(spark, d, "events").select(F.expr(_ODD).alias("x")).groupBy(S.resource_kind(F.col("x"), strip=False).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("resource_kinds_of_three", f"SELECT CASE WHEN lower(trim(x)) LIKE 'user%' THEN 'human' WHEN lower(trim(x)) LIKE 'batch%' THEN 'batch' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT {_ODD} AS x FROM events) GROUP BY 1")
+def _(spark, d):
+    return tbl(spark, d, "events").select(F.expr(_ODD).alias("x")).groupBy(S.resource_kind(F.col("x"), strict=True).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("followup", "SELECT user_id AS case_id, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(ts))) / 3.6e9, 6) AS hours, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(ts))) / 3.6e9 / 24, 6) AS days FROM events GROUP BY 1")
 def _(spark, d):
     h = S.hours(F.min("ts"), S.at(PROFILE.holdout_end))
@@ -291,11 +306,14 @@ def _(spark, d):
     return long.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query("activity_entropy", "SELECT case_id, CAST(sum(c) AS BIGINT) AS n, count(*) AS activities, round(-sum(c / n * ln(c / n)), 6) AS entropy FROM (SELECT case_id, activity, count(*) AS c, sum(count(*)) OVER (PARTITION BY case_id) AS n FROM log GROUP BY case_id, activity) GROUP BY 1")
+@query("activity_entropy", "SELECT case_id, CAST(sum(c) AS BIGINT) AS n, count(*) AS activities, round(-sum(c / n * ln(c / n)), 6) + 0.0 AS entropy FROM (SELECT case_id, activity, count(*) AS c, sum(count(*)) OVER (PARTITION BY case_id) AS n FROM log GROUP BY case_id, activity) GROUP BY 1")
 def _(spark, d):
-    c = events(spark, d).groupBy("case_id", "activity").agg(F.count("*").alias("c"))
-    p = F.col("c") / F.sum("c").over(Window.partitionBy("case_id"))
-    return c.withColumn("p", p).groupBy("case_id").agg(F.sum("c").alias("n"), F.count("*").alias("activities"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+    return A.profiles(events(spark, d), "case_id").select("case_id", "n", "activities", "entropy")
+
+
+@query("resource_profiles", "SELECT resource, n, activities, entropy, active_months FROM (SELECT resource, CAST(sum(c) AS BIGINT) AS n, count(*) AS activities, round(-sum(c / n * ln(c / n)), 6) + 0.0 AS entropy FROM (SELECT resource, activity, count(*) AS c, sum(count(*)) OVER (PARTITION BY resource) AS n FROM rlog GROUP BY resource, activity) GROUP BY 1) JOIN (SELECT resource, count(DISTINCT strftime(ts, '%Y-%m')) AS active_months FROM rlog GROUP BY 1) USING (resource)", {"rlog": "SELECT o_custkey AS resource, o_orderdate AS ts, o_orderpriority AS activity FROM orders"})
+def _(spark, d):
+    return A.profiles(orders(spark, d).withColumnRenamed("case_id", "resource"), "resource")
 
 
 @query("cohort_performance", "SELECT strftime(s, '%Y-%m') AS month, count(*) AS n, round(quantile_cont(h, 0.5), 6) AS median, round(quantile_cont(h, 0.95), 6) AS p95, round(avg(CAST(k > 10 AS INTEGER)), 6) AS long_share FROM (SELECT case_id, min(ts) AS s, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS h, count(*) AS k FROM olog GROUP BY 1) GROUP BY 1", ORDERS)
@@ -353,10 +371,32 @@ def _(spark, d):
     return own.groupBy("transition").agg(F.count_if(late).alias("bridge"), F.count_if(~late).alias("inside"), F.percentile(F.when(late, F.col("delay")), F.lit(0.5)).alias("median"), F.min(F.when(late, F.col("destination"))).cast("string").alias("first"))
 
 
-@query("schema_profile", "SELECT 'props' AS scope, k AS key, 'int' AS tag, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
+_BITS = "CASE json_type(v) WHEN 'NULL' THEN 1 WHEN 'BOOLEAN' THEN 2 WHEN 'UBIGINT' THEN 4 WHEN 'BIGINT' THEN 4 WHEN 'DOUBLE' THEN 8 WHEN 'VARCHAR' THEN 16 WHEN 'ARRAY' THEN 32 ELSE 64 END"
+
+
+def _profile_sql(scope: str, text: str) -> str:
+    return (
+        f"WITH o AS (SELECT {text} AS j FROM events), e AS (SELECT j, unnest(json_keys(j)) AS key FROM o), x AS (SELECT key, json_extract(j, '$.' || key) AS v FROM e), "
+        f"y AS (SELECT key, {_BITS} AS bit, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE CAST(v AS VARCHAR) END AS t FROM x), "
+        "c AS (SELECT key, count(*) AS n, count(CASE WHEN bit = 1 THEN 1 END) AS nulls, bit_or(bit) AS bits FROM y GROUP BY 1), "
+        "z AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY t) AS k FROM (SELECT DISTINCT key, substring(t, 1, 200) AS t FROM y WHERE bit > 1)), "
+        "s AS (SELECT key, string_agg(t, ' | ' ORDER BY t) AS samples FROM z WHERE k <= 5 GROUP BY 1) "
+        f"SELECT '{scope}' AS scope, key, CASE bits - (bits & 1) WHEN 0 THEN 'null' WHEN 2 THEN 'boolean' WHEN 4 THEN 'int' WHEN 8 THEN 'double' WHEN 12 THEN 'double' WHEN 32 THEN 'array' WHEN 64 THEN 'object' ELSE 'string' END AS tag, n, nulls, CAST(bit_count(bits) AS BIGINT) AS kinds, coalesce(samples, '') AS samples FROM c LEFT JOIN s USING (key)"
+    )
+
+
+#: JSON of events with keys of several types: numbers whole or not, texts, truth values, nulls, lists and objects.
+_MIXED = ["'{\"id\":'", "event_id", "',\"part\":'", "CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR(20)) ELSE '0.5' END", "',\"kind\":'", "CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR(20)) WHEN 1 THEN concat('\"', event_type, '\"') ELSE 'true' END", "',\"gone\":'", "CASE WHEN event_id % 5 = 0 THEN 'false' ELSE 'null' END", "',\"list\":[1,2],\"inner\":{\"a\":1}}'"]
+
+
+@query("schema_profile", _profile_sql("props", "props"))
+def _(spark, d):
+    return J.profile(tbl(spark, d, "events"), "props", "props")
+
+
+@query("schema_profile_mixed", _profile_sql("mixed", f"concat({', '.join(_MIXED)})"))
 def _(spark, d):
-    e = tbl(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
-    return e.groupBy(F.lit("props").alias("scope"), "key", F.lit("int").alias("tag")).agg(F.count("*").alias("n"))
+    return J.profile(tbl(spark, d, "events").select(F.expr(f"concat({', '.join(_MIXED)})").alias("j")), "j", "mixed")
 
 
 @query("finite_quantiles", "SELECT count(*) AS n, round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(rho, 0.75), 6) AS p75, round(quantile_cont(rho, 0.9), 6) AS p90, round(max(rho), 6) AS max FROM met WHERE rho > 0")
@@ -827,28 +867,40 @@ def _setting_ctes(s: W.Setting) -> dict[str, str]:
 _DIAGNOSTIC = "SELECT count(*) AS candidates, count_if(empirically_saturated) AS empirical, count_if(saturated AND NOT empirically_saturated) AS induced, count_if(saturated) AS total, quantile_cont(rho, 0.5) AS median_rho, quantile_cont(epsilon, 0.5) AS median_epsilon, count_if(strict_eligibility) AS strict_eligible_candidates FROM met"
 
 
-def _sweep_ctes() -> dict[str, str]:
-    out = {"prim": build(CTES, "SELECT transition FROM met"), "psets": build(CTES, "SELECT method, K, members FROM sets")}
+def _sweep_ctes(every: list[W.Setting]) -> dict[str, str]:
+    first = event_ctes(every[0].cfg)
+    out = {"prim": build(first, "SELECT transition FROM met"), "psets": build(first, "SELECT method, K, members FROM sets")}
     evaluation = _evaluation_sql("eligible", True).replace("SELECT method, CAST(K AS BIGINT) AS K", "SELECT chosen.method, CAST(chosen.K AS BIGINT) AS K, chosen.members AS members")
-    for k, s in enumerate(EVERY):
+    for k, s in enumerate(every):
         own = _setting_ctes(s)
         out |= {f"se{k}": build(own, evaluation), f"sd{k}": build(own, _DIAGNOSTIC), f"sp{k}": build(own, "SELECT method, K, rank, transition FROM port")}
     return out
 
 
-SWEEP = _sweep_ctes()
+SWEEP = _sweep_ctes(EVERY)
 _COLUMNS = [x for t in V.TARGETS for x in (f"{t}_share_pct", f"{t}_oracle_eligible_pct", f"{t}_oracle_global_pct", f"{t}_regret_pp", f"jaccard_{t}_oracle", f"candidate_{t}_coverage_pct")]
-_SENSITIVITY = " UNION ALL ".join(
-    f"SELECT '{s.name}' AS configuration, e.method, e.K, {', '.join('e.' + c for c in _COLUMNS)}, holdout_transitions, holdout_observations, candidates, empirical, induced, total, round(median_rho, 6) AS median_rho, round(median_epsilon, 6) AS median_epsilon, strict_eligible_candidates, round(len(list_intersect(e.members, p.members)) / len(list_distinct(e.members || p.members)), 6) AS jaccard_primary FROM se{k} e JOIN psets p ON p.method = e.method AND p.K = e.K, sd{k}"
-    for k, s in enumerate(EVERY)
-)
 
 
-@query("sensitivity_sweep", _SENSITIVITY, SWEEP)
+def _sensitivity_sql(every: list[W.Setting]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{s.name}' AS configuration, e.method, e.K, {', '.join('e.' + c for c in _COLUMNS)}, holdout_transitions, holdout_observations, candidates, empirical, induced, total, round(median_rho, 6) AS median_rho, round(median_epsilon, 6) AS median_epsilon, strict_eligible_candidates, round(len(list_intersect(e.members, p.members)) / len(list_distinct(e.members || p.members)), 6) AS jaccard_primary FROM se{k} e JOIN psets p ON p.method = e.method AND p.K = e.K, sd{k}"
+        for k, s in enumerate(every)
+    )
+
+
+@query("sensitivity_sweep", _sensitivity_sql(EVERY), SWEEP)
 def _(spark, d):
     return W.sensitivity(obs(spark, d), EVERY)
 
 
+EXPLORED = W.explored(PROFILE, caps=(96.0, 128.0), alphas=(0.95, 0.9), grids=(12.0, 6.0))
+
+
+@query("exploratory_sensitivity", _sensitivity_sql(EXPLORED), _sweep_ctes(EXPLORED))
+def _(spark, d):
+    return W.sensitivity(obs(spark, d), EXPLORED)
+
+
 @query("sensitivity_risks", " UNION ALL ".join(f"SELECT '{s.name}' AS configuration, transition, {r('cvar', 'epsilon', 'epsilon_sat', 'rho', 'risk', 'sa_risk')}, saturated FROM sr{k}" for k, s in enumerate(EVERY)), {"prim": SWEEP["prim"]} | {f"sr{k}": build(_setting_ctes(s), "SELECT * FROM met") for k, s in enumerate(EVERY)})
 def _(spark, d):
     return W.swept(obs(spark, d), EVERY)[0].select("configuration", "transition", "cvar", "epsilon", "epsilon_sat", "rho", "risk", "sa_risk", "saturated")
@@ -880,11 +932,10 @@ def _(spark, d):
     return C.manifest_digest(M.portfolios(metrics(spark, d), PROFILE))
 
 
-@query("reproduction_gate", "SELECT metric, count(*) AS rows, round(max(abs(v - v)), 6) AS worst, true AS passed FROM (SELECT unnest(['cvar', 'epsilon', 'risk']) AS metric, unnest([cvar, epsilon, risk]) AS v FROM met) GROUP BY 1")
+@query("reproduction_gate", "SELECT metric, count(*) AS rows, round(max(abs(a - b)), 6) AS worst, bool_and(a IS NOT DISTINCT FROM b OR coalesce(abs(a - b) <= 1e-6, false)) AS passed FROM (SELECT unnest(['cvar', 'epsilon', 'risk']) AS metric, unnest([x.cvar, x.epsilon, x.risk]) AS a, unnest([z.cvar, z.epsilon, z.risk]) AS b FROM gma x FULL JOIN gmb z USING (transition)) GROUP BY 1", {"gma": build(CTES, "SELECT * FROM met"), "gmb": build(event_ctes(PROFILE.but(start=datetime(2024, 1, 2))), "SELECT * FROM met")})
 def _(spark, d):
-    m = metrics(spark, d)
-    again = M.fit(hist(spark, d), PROFILE, candidates=m.select("transition"))
-    return C.reproduction(m, again, "transition", ["cvar", "epsilon", "risk"])
+    later = PROFILE.but(start=datetime(2024, 1, 2))
+    return C.reproduction(metrics(spark, d), M.fit(E.history(obs(spark, d), later), later), "transition", ["cvar", "epsilon", "risk"])
 
 
 @query("drift_candidates", "SELECT transition, round(share * (1 + ln(1 + w)), 5) AS score FROM (SELECT transition, 100.0 * sum(y) / sum(sum(y)) OVER () AS share FROM side GROUP BY transition) JOIN (" + W1.replace("round(sum(abs(c0 / n0 - c1 / n1) * dx), 6) AS w1", "sum(abs(c0 / n0 - c1 / n1) * dx) AS w") + ") USING (transition)", SIDE)

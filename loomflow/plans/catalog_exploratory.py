@@ -6,13 +6,16 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from loomflow.config import SCORES
 from loomflow.functions import scalars as S
+from loomflow.functions.sliced import Calendar
 from loomflow.operators import audit as A
 from loomflow.plans import checks as C
 from loomflow.plans import exploratory as X
 from loomflow.plans import model as M
 from loomflow.plans.catalog import CTES, ORDERS, PROFILE, TALKS, events, held, hist, metrics, obs, orders, query, r, talks, tbl
 from loomflow.plans import evaluate as V
+from loomflow.plans.sql import build, event_ctes
 
 _PORT = "SELECT method, CAST(K AS BIGINT) AS K, rank, transition FROM port"
 
@@ -131,11 +134,53 @@ def _(spark, d):
     return X.parsed(X.selections(M.portfolios(metrics(spark, d), PROFILE), "primary"))
 
 
-@query("manifest_agreement", "SELECT count(*) AS rows, count_if(rank = K) AS missing, CAST(0 AS BIGINT) AS added FROM port")
+_OTHER = PROFILE.but(alpha=0.9)
+_FITS = {"pa": build(CTES, "SELECT method, K, rank, transition FROM port"), "pb": build(event_ctes(_OTHER), "SELECT method, K, rank, transition FROM port"), "ma": build(CTES, "SELECT * FROM met"), "mb": build(event_ctes(_OTHER), "SELECT * FROM met")}
+
+
+@query("manifest_agreement", "SELECT count(a.method) AS rows, count_if(b.method IS NULL) AS missing, count_if(a.method IS NULL) AS added, count_if(a.method IS NOT NULL AND b.method IS NOT NULL AND a.transition <> b.transition) AS changed FROM pa a FULL JOIN pb b ON a.method = b.method AND a.K = b.K AND a.rank = b.rank", _FITS)
+def _(spark, d):
+    frozen = X.parsed(X.selections(M.portfolios(metrics(spark, d), PROFILE), "primary"))
+    return X.agreement(frozen, M.portfolios(metrics(spark, d, _OTHER), _OTHER), ["method", "K", "rank"], ["transition"])
+
+
+_DIFFS = ", ".join(f"round(a.{c}, 6) AS before_{c}, round(b.{c}, 6) AS after_{c}, round(b.{c} - a.{c}, 6) + 0.0 AS {c}_difference" if c != "n" else "a.n AS before_n, b.n AS after_n, b.n - a.n AS n_difference" for c in X.COMPARED)
+
+
+@query("before_and_after", f"SELECT transition, {_DIFFS}, a.empirically_saturated AS before_empirically_saturated, b.empirically_saturated AS after_empirically_saturated, a.saturated AS before_saturated, b.saturated AS after_saturated, a.saturated <> b.saturated AS classification_changed FROM ma a JOIN mb b USING (transition)", _FITS)
+def _(spark, d):
+    return X.before_and_after(metrics(spark, d), metrics(spark, d, _OTHER))
+
+
+_PAIRS = " UNION ALL ".join([f"SELECT 'scores' AS scope, '' AS method, '{x}' AS l, '{y}' AS r, transition, {x} AS x, {y} AS y FROM met" for x, y in X.SCORE_PAIRS] + [f"SELECT 'holdout', '{m}', '{SCORES[m]}', '{t}_burden', transition, {SCORES[m]}, {t}_burden FROM met JOIN outc USING (transition)" for m in PROFILE.methods for t in ("mean", "tail")])
+_CORR = CTES | {
+    "cpairs": _PAIRS,
+    "cranks": "SELECT *, rank() OVER (PARTITION BY scope, method, l, r ORDER BY x) + (count(*) OVER (PARTITION BY scope, method, l, r, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY scope, method, l, r ORDER BY y) + (count(*) OVER (PARTITION BY scope, method, l, r, y) - 1) / 2.0 AS ry FROM cpairs",
+    "crho": "SELECT scope, method, l, r, 'Spearman' AS kind, corr(rx, ry) AS value, count(*) AS n FROM cranks GROUP BY scope, method, l, r",
+    "ctau": "SELECT a.scope, a.method, a.l, a.r, 'Kendall' AS kind, sum(sign(a.x - b.x) * sign(a.y - b.y)) / nullif(sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 0) AS value FROM cpairs a JOIN cpairs b ON a.scope = b.scope AND a.method = b.method AND a.l = b.l AND a.r = b.r AND a.transition < b.transition GROUP BY a.scope, a.method, a.l, a.r",
+}
+
+
+@query("correlations", "SELECT scope, method, l AS \"left\", r AS \"right\", kind, round(value, 6) AS value, n FROM (SELECT * FROM crho UNION ALL SELECT t.scope, t.method, t.l, t.r, t.kind, t.value, c.n FROM ctau t JOIN crho c ON t.scope = c.scope AND t.method = c.method AND t.l = c.l AND t.r = c.r)", _CORR)
+def _(spark, d):
+    return X.correlations(metrics(spark, d), V.outcomes(held(spark, d), PROFILE), PROFILE)
+
+
+_WEEKS = Calendar(2, 1000, PROFILE.seed + 5).weights
+_WEEKLY = CTES | {
+    "ww": f"SELECT * FROM (VALUES {', '.join(str((rep, k, int(w))) for rep, row in enumerate(_WEEKS) for k, w in enumerate(row) if w)}) AS v(rep, week, weight)",
+    "wb": "SELECT CAST(floor((epoch_us(origin) - epoch_us(TIMESTAMP '2024-01-22')) / 604800000000.0) AS BIGINT) AS week, transition, sum(greatest(0.0, least(delay, 96.0))) AS burden FROM held GROUP BY ALL",
+    "wtot": "SELECT week, sum(burden) AS total FROM wb GROUP BY 1",
+    "wch": "SELECT week, method, sum(burden) AS burden FROM wb JOIN port USING (transition) WHERE K = 5 GROUP BY ALL",
+    "wsh": "SELECT rep, m.method, sum(coalesce(burden, 0) * weight) / sum(total * weight) AS share FROM wtot t JOIN ww USING (week) CROSS JOIN (SELECT DISTINCT method FROM port) m LEFT JOIN wch c ON c.week = t.week AND c.method = m.method GROUP BY rep, m.method",
+    "wdf": "SELECT b.method AS baseline, 100 * a.share AS own, 100 * b.share AS other, 100 * (a.share - b.share) AS d FROM wsh a JOIN wsh b USING (rep) WHERE a.method = 'Original DRO' AND b.method <> 'Original DRO'",
+}
+
+
+@query("weekly_share_bootstrap", "SELECT baseline, round(avg(own), 6) AS method_share, round(avg(other), 6) AS baseline_share, round(avg(d), 6) + 0.0 AS difference, round(quantile_cont(d, 0.5), 6) + 0.0 AS median, round(quantile_cont(d, 0.025), 6) + 0.0 AS lower, round(quantile_cont(d, 0.975), 6) + 0.0 AS upper, round(quantile_cont(d, 0.025), 9) <= 0 AND round(quantile_cont(d, 0.975), 9) >= 0 AS includes_zero FROM wdf GROUP BY 1", _WEEKLY)
 def _(spark, d):
-    port = M.portfolios(metrics(spark, d), PROFILE).select("method", "K", F.col("rank").cast("int").alias("rank"), "transition")
-    rest = X.parsed(X.selections(port.where("rank < K"), "primary")).drop("label")
-    return X.same_rows(port, rest)
+    weights = spark.createDataFrame([(rep, k, int(w)) for rep, row in enumerate(_WEEKS.tolist()) for k, w in enumerate(row) if w], "rep int, week int, weight int")
+    return X.weekly_shares(held(spark, d), M.portfolios(metrics(spark, d), PROFILE), weights, PROFILE, 5, "Original DRO")
 
 
 @query("reproduction_gate_of_changes", "SELECT metric, count(*) AS rows, round(max(abs(a - b)), 6) AS worst, bool_and(b IS NOT NULL AND abs(a - b) <= 1e-6) AS passed FROM (SELECT unnest(['cvar', 'epsilon', 'risk']) AS metric, unnest([cvar, epsilon, risk]) AS a, unnest([cvar, CASE WHEN transition = last THEN epsilon + 0.5 ELSE epsilon END, CASE WHEN transition = last THEN risk + 1e-8 ELSE risk END]) AS b FROM met, (SELECT max(transition) AS last FROM met)) GROUP BY 1")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.config import Config
+from loomflow.config import SCORES, Config
+from loomflow.functions import scalars as S
 from loomflow.functions import stats as T
 from loomflow.plans import model as M
 
@@ -103,9 +104,61 @@ def parsed(manifest: DataFrame) -> DataFrame:
     return rows.select("label", "method", "K", (F.col("at") + 1).alias("rank"), "transition")
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(rows, missing, added): of two tables of the same columns, as bags."""
-    return a.agg(F.count("*").alias("rows")).crossJoin(a.exceptAll(b).agg(F.count("*").alias("missing"))).crossJoin(b.exceptAll(a).agg(F.count("*").alias("added")))
+def agreement(manifest: DataFrame, table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(rows, missing, added, changed) of two tables by key: keys of one side only, and keys whose values differ, null being equal to null."""
+    a = manifest.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("in_a"))
+    b = table.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(v).alias(f"b_{v}") for v in values], F.lit(True).alias("in_b"))
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys])
+    same = reduce(Column.__and__, [F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) for v in values])
+    x = a.join(b, on, "full_outer")
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    return x.agg(F.count("in_a").alias("rows"), F.count_if(F.col("in_b").isNull()).alias("missing"), F.count_if(F.col("in_a").isNull()).alias("added"), F.count_if(both & ~same).alias("changed"))
+
+
+COMPARED = ("n", "m_cap", "epsilon_sat", "rho")
+
+
+def before_and_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Metrics of the transitions that two fits share, side by side, with differences and whether the class of saturation changed."""
+    flags = ("empirically_saturated", "saturated")
+    b = before.select("transition", *[F.col(c).alias(f"before_{c}") for c in (*COMPARED, *flags)])
+    a = after.select("transition", *[F.col(c).alias(f"after_{c}") for c in (*COMPARED, *flags)])
+    cols = [x for c in COMPARED for x in (F.col(f"before_{c}"), F.col(f"after_{c}"), (F.col(f"after_{c}") - F.col(f"before_{c}")).alias(f"{c}_difference"))]
+    return b.join(a, "transition").select("transition", *cols, *[F.col(f"{side}_{c}") for c in flags for side in ("before", "after")], (F.col("before_saturated") != F.col("after_saturated")).alias("classification_changed"))
+
+
+#: Pairs of scores whose likeness is reported.
+SCORE_PAIRS = (("tail_score", "dro_score"), ("tail_score", "sa_score"), ("mean_score", "dro_score"), ("mean_score", "sa_score"))
+
+
+def correlations(metrics: DataFrame, outcomes: DataFrame, cfg: Config) -> DataFrame:
+    """(scope, method, left, right, kind, value, n): score against score in the history, and each method's score against what happened, by Spearman and Kendall; null under three rows or where one side is constant."""
+    scores = [F.struct(F.lit("scores").alias("scope"), F.lit("").alias("method"), F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(x).alias("x"), F.col(y).alias("y")) for x, y in SCORE_PAIRS]
+    own = metrics.select("transition", F.explode(F.array(*scores)).alias("p")).select("transition", "p.*")
+    held = [F.struct(F.lit("holdout").alias("scope"), F.lit(m).alias("method"), F.lit(SCORES[m]).alias("left"), F.lit(f"{t}_burden").alias("right"), F.col(SCORES[m]).alias("x"), F.col(f"{t}_burden").alias("y")) for m in cfg.methods for t in ("mean", "tail")]
+    both = metrics.join(outcomes.select("transition", "mean_burden", "tail_burden"), "transition").select("transition", F.explode(F.array(*held)).alias("p")).select("transition", "p.*")
+    every, keys = own.unionByName(both), ["scope", "method", "left", "right"]
+    n = every.groupBy(*keys).agg(F.count("*").alias("n"))
+    rho = T.spearman(every, keys, "x", "y").select(*keys, F.lit("Spearman").alias("kind"), F.col("rho").alias("value"))
+    tau = T.kendall(every, keys, "transition", "x", "y").select(*keys, F.lit("Kendall").alias("kind"), F.col("tau").alias("value"))
+    return rho.unionByName(tau).join(n, keys).select(*keys, "kind", F.when(F.col("n") >= 3, F.col("value")).alias("value"), "n")
+
+
+def weekly_shares(held: DataFrame, portfolios: DataFrame, weights: DataFrame, cfg: Config, k: int, method: str, days: int = 7) -> DataFrame:
+    """(baseline, method_share, baseline_share, difference, median, lower, upper, includes_zero): the share of burden that `method`'s portfolio of k captures, less each other method's.
+
+    Ratios of sums over drawn weeks, the same draw for both sides; `weights` is (rep, week, weight), rows for each week that is drawn.
+    """
+    y = S.clipped(F.col("delay"), cfg.cap)
+    weeks = held.select("transition", S.block(F.col("origin"), cfg.decision, days).alias("week"), y.alias("y")).groupBy("week", "transition").agg(F.sum("y").alias("burden"))
+    totals = weeks.groupBy("week").agg(F.sum("burden").alias("total"))
+    chosen = weeks.join(F.broadcast(portfolios.where(F.col("K") == k).select("method", "transition")), "transition").groupBy("week", "method").agg(F.sum("burden").alias("burden"))
+    grid = totals.crossJoin(F.broadcast(portfolios.select("method").distinct())).join(chosen, ["week", "method"], "left")  # weeks x methods
+    reps = grid.join(F.broadcast(weights), "week").groupBy("rep", "method").agg((F.sum(F.coalesce("burden", F.lit(0.0)) * F.col("weight")) / F.nullif(F.sum(F.col("total") * F.col("weight")), F.lit(0.0))).alias("share"))
+    left = reps.where(F.col("method") == method).select("rep", F.col("share").alias("own"))
+    d = reps.where(F.col("method") != method).join(left, "rep").select(F.col("method").alias("baseline"), (100 * F.col("own")).alias("own"), (100 * F.col("share")).alias("other"), (100 * (F.col("own") - F.col("share"))).alias("d"))
+    q = lambda p: F.percentile("d", F.lit(p))
+    return d.groupBy("baseline").agg(F.avg("own").alias("method_share"), F.avg("other").alias("baseline_share"), F.avg("d").alias("difference"), q(0.5).alias("median"), q(0.025).alias("lower"), q(0.975).alias("upper"), ((F.round(q(0.025), 9) <= 0) & (F.round(q(0.975), 9) >= 0)).alias("includes_zero"))
 
 
 def labelled(name: Column, nominal: tuple[str, ...]) -> Column:

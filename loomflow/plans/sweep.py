@@ -51,6 +51,14 @@ def settings(cfg: Config, blocks: tuple[int, int], least: tuple[int, int], grids
     return out + [Setting(f"maturity_{d}d", cfg, lag=d) for d in lags]
 
 
+def explored(cfg: Config, caps: tuple[float, float], alphas: tuple[float, float], grids: tuple[float, float], multipliers: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0)) -> list[Setting]:
+    """The 14 exploratory settings: caps, tails and grids together, two of them with every radius; the first is the one that others are held against."""
+    (c, c2), (a, a2), (g, g2) = caps, alphas, grids
+    some = [(c, a, g, multipliers), (c2, a2, g, multipliers), (c, a2, g, (1.0,)), (c2, a, g, (1.0,)), (c, a, g2, (1.0,)), (c2, a2, g2, (1.0,))]
+    every = [Setting(f"cap{cap:g}_alpha{round(100 * alpha)}_step{grid:g}_radius{m:g}", cfg.but(cap=cap, alpha=alpha, grid=grid, multiplier=m)) for cap, alpha, grid, ms in some for m in ms]
+    return sorted(every, key=lambda s: s.cfg != cfg.but(cap=c, alpha=a, grid=g))
+
+
 def _ways(every: list[Setting]) -> tuple[dict[tuple, str], dict[tuple, str]]:
     """Names of the ways to count the history, and the holdout."""
     past, later = {}, {}
