@@ -7,6 +7,11 @@ at least (triangle bound). A node splits until the rows that its share of the sa
 stands for, copies included, are under a shard's bound, so the tree grows with the
 data. Within a shard the same tree goes on down to small leaves. Shards return spanning
 edges only, so a dense group costs no more edges than it has members.
+
+In a ball of fingerprints that all lie close together no point parts a node. Two that
+differ in two bits have a neighbour in common, one bit from both, and any two of one
+neighbour differ in two at most. So such nodes are linked by their 65 neighbours
+each, which is linear; a shard that stays over its bound is dealt out by neighbour.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ SHARD_LEAST, SHARD_MOST, LEAF = 1 << 15, 1 << 19, 384
 SAMPLE, SAMPLE_MOST = 256, 1 << 22
 #: A node stays whole if its better half would still have this share of its rows.
 WHOLE = 0.9
+#: Fingerprints from which a node that no point parts is linked by neighbours; neighbours that are sorted at once.
+DENSE, SORTED = 4096, 1 << 22
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -94,11 +101,12 @@ class Tree:
         rng = np.random.default_rng(seed)
         point, within, child = [], [], []
         self.shards = 0
+        self.dense: list[int] = []  # shards over their bound
         stack = [(sample, -1, 0)]
         while stack:
             own, parent, side = stack.pop()
-            at = -1
-            if len(own) * rows > bound and len(own) > 8:
+            at, large = -1, len(own) * rows > bound and len(own) > 8
+            if large:
                 p, d, cost = min((_vantage(own, rng, radius) for _ in range(4)), key=lambda x: x[2])
                 if cost < WHOLE:
                     at = len(point)
@@ -106,6 +114,8 @@ class Tree:
                     far = distance(own, p).astype(np.int64)
                     stack += [(own[far <= d + radius], at, 0), (own[far > d], at, 1)]
             if at < 0:
+                if large:
+                    self.dense.append(self.shards)
                 self.shards += 1
                 at = -self.shards
             if parent >= 0:
@@ -151,6 +161,10 @@ def spanning_edges(fp: np.ndarray, radius: int = RADIUS, seed: int = 3) -> tuple
                 d = distance(fp[own], p).astype(np.int64)
                 stack += [own[d <= at + radius], own[d > at]]
                 continue
+            if radius == 2 and len(own) > DENSE:
+                u, v = _by_neighbours(fp[own])
+                a.append(own[u]), b.append(own[v])
+                continue
         for k in range(0, len(own), 1024):
             for j in range(k, len(own), 4096):
                 x, y = own[k : k + 1024], own[j : j + 4096]
@@ -164,6 +178,36 @@ def spanning_edges(fp: np.ndarray, radius: int = RADIUS, seed: int = 3) -> tuple
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
+NEIGHBOURS = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
+
+
+def _by_neighbours(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within two bits that connect all such pairs: those next to each other at a neighbour, a part of the neighbours at a time."""
+    turns = np.uint64(-(-len(NEIGHBOURS) * len(fp) // SORTED))
+    a, b = [], []
+    for turn in range(int(turns)):
+        near, row = [], []
+        for bit in NEIGHBOURS:
+            z = fp ^ bit
+            own = np.flatnonzero((z * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % turns == turn)
+            near.append(z[own]), row.append(own)
+        z, at = np.concatenate(near), np.concatenate(row)
+        order = np.argsort(z, kind="stable")
+        z, at = z[order], at[order]
+        same = z[1:] == z[:-1]
+        u, v = _forest(at[:-1][same], at[1:][same])
+        a.append(u), b.append(v)
+    return _forest(np.concatenate(a), np.concatenate(b))
+
+
+def neighbour_links(distinct: DataFrame) -> DataFrame:
+    """(u, v): links of fingerprints within two bits that connect all such, dealt by neighbour, of each of which 65 fingerprints at most have a row."""
+    bits = F.array(*[F.lit(int(x)) for x in NEIGHBOURS.astype(np.int64)])
+    near = distinct.select("fp", F.explode(F.transform(bits, lambda b: F.col("fp").bitwiseXOR(b))).alias("z"))
+    least = near.groupBy("z").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("z", "low")
+    return near.join(least, "z").where("fp > low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges out of those given that connect the same nodes without a cycle: each part takes its first edge out, until none leads out."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -221,7 +265,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = spanning_edges(fp, radius)
         return pa.table({"u": fp[u].view(np.int64), "v": fp[v].view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInArrow(pairs, "u long, v long")
+    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long")
+    if radius != 2 or not tree.dense:
+        return dealt.groupBy("shard").applyInArrow(pairs, "u long, v long")
+    dealt = written(dealt, "shards")
+    over = F.col("shard").isin(tree.dense)
+    return dealt.where(~over).groupBy("shard").applyInArrow(pairs, "u long, v long").unionByName(neighbour_links(dealt.where(over).select("fp").distinct()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -346,6 +346,41 @@ def test_vantage_point_tree_grows_with_the_data():
     assert size.max() <= 2 * bound and tree.shards >= 32 and len(shard) < 5 * len(fp)
 
 
+def ball(center, bits):
+    """All fingerprints within so many bits of one."""
+    out = {center}
+    for _ in range(bits):
+        out |= {x ^ (1 << k) for x in out for k in range(64)}
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def test_dense_balls_are_linked_by_neighbours(spark):
+    """Fingerprints that no vantage point parts, in a task and over many tasks."""
+    rng = np.random.default_rng(2)
+    three = ball(0x0F0F0F0F12345678, 3)
+    some = np.unique(np.concatenate([rng.choice(three, 6000, replace=False), rng.integers(0, 2**63, 300, dtype=np.uint64)]))
+    u, v = np.nonzero(np.triu(simhash.distance(some[:, None], some[None, :]) <= 2, 1))
+    a, b = simhash._by_neighbours(some)
+    assert (simhash.distance(some[a], some[b]) <= 2).all() and parts(len(some), a, b) == parts(len(some), u, v)
+    a, b = simhash.spanning_edges(some)
+    assert parts(len(some), a, b) == parts(len(some), u, v)
+    tree = simhash.Tree(three, 1.0, 1 << 13)
+    assert tree.dense
+    found = simhash.neighbour_links(spark.createDataFrame([(int(x),) for x in some.astype(np.int64)], "fp long")).collect()
+    at = {int(x): k for k, x in enumerate(some.astype(np.int64))}
+    assert parts(len(some), [at[r["u"]] for r in found], [at[r["v"]] for r in found]) == parts(len(some), u, v)
+
+
+def test_links_of_a_dense_ball_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_LEAST", 1 << 12)
+    monkeypatch.setattr(simhash, "SHARD_MOST", 1 << 12)
+    fp = np.unique(np.concatenate([ball(7, 3)[::3], np.random.default_rng(3).integers(0, 2**63, 2000, dtype=np.uint64)]))
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fp.astype(np.int64)], "fp long").repartition(4)).collect()
+    at = {int(x): k for k, x in enumerate(fp.astype(np.int64))}
+    a, b = simhash.spanning_edges(fp)
+    assert parts(len(fp), [at[r["u"]] for r in found], [at[r["v"]] for r in found]) == parts(len(fp), a, b)
+
+
 def test_secret_scan(docs, nothing):
     got = by_id(secret_scan.scan(docs))
     for k, text, *_ in ROWS:
