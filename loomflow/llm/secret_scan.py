@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomflow.llm import arrays as A
 
-#: Texts of each kind (with and without a match) on which the field is trained, about, the longest of them, and tokens of a window.
+#: Texts of each kind (with and without a match) on which the field is trained, about, the characters of a longer one that stand for it, and tokens of a window.
 SAMPLE, LONGEST, WINDOW = 400, 20_000, 17
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
@@ -414,9 +414,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def trained(own: DataFrame) -> Field:
-    """The field, from about SAMPLE texts with a match of the fixed patterns and as many without, drawn by hash; no more reach the driver as the table grows."""
+    """The field, from about SAMPLE texts with a match of the fixed patterns and as many without, drawn by hash; no more reach the driver as the table grows.
+
+    A text of more than LONGEST characters is there by one piece of so many, which its hash chooses of all its pieces.
+    """
+    pieces = F.ceil(F.length("text") / F.lit(LONGEST))
+    piece = F.when(pieces > 1, F.substr("text", (F.pmod(F.xxhash64("text", F.lit(19)), pieces) * LONGEST + 1).cast("int"), F.lit(LONGEST))).otherwise(F.col("text"))
     found = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    looks = own.where(F.col("text").isNotNull() & (F.length("text") < LONGEST)).select("text", found.alias("found"))
+    looks = own.where(F.col("text").isNotNull()).select(piece.alias("text")).select("text", found.alias("found"))
     counts = {r["found"]: r["count"] for r in looks.groupBy("found").count().collect()}
     share = lambda kind: min(1_000_000, 1 + 1_000_000 * SAMPLE // max(1, counts.get(kind, 0)))
     drawn = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < F.when(F.col("found"), share(True)).otherwise(share(False))
