@@ -350,7 +350,7 @@ def test_long_texts_train_the_field(spark, monkeypatch):
     """A piece of each long text, whatever its length, and none longer than LONGEST."""
     seen = []
     monkeypatch.setattr(secret_scan, "fit", lambda texts: seen.extend(texts))
-    long = [f"row{k} " + "word " * 9000 + "token = abcdef0123456789abcdef " + "more " * (k * 100) for k in range(40)]
+    long = [f"word{k} " * 6000 + "token = abcdef0123456789abcdef " + f"more{k} " * (k * 100) for k in range(40)]
     secret_scan.trained(spark.createDataFrame([(t,) for t in [*long, "short", None, ""]], "text string"))
     assert len(seen) == 42 and max(map(len, seen)) == secret_scan.LONGEST and all(any(t in whole for whole in [*long, "short", ""]) for t in seen)
     assert any("token =" in t for t in seen) and any("token =" not in t and len(t) > 100 for t in seen)
