@@ -63,8 +63,8 @@ def _ways(every: list[Setting]) -> tuple[dict[tuple, str], dict[tuple, str]]:
     """Names of the ways to count the history, and the holdout."""
     past, later = {}, {}
     for s in every:
-        past.setdefault((s.cfg.block_days, s.cfg.cap, s.cfg.grid, s.lag), f"h{len(past)}")
-        later.setdefault((s.cfg.cap, s.holdout_end), f"o{len(later)}")
+        past.setdefault(_past(s), f"h{len(past)}")
+        later.setdefault(_later(s), f"o{len(later)}")
     return past, later
 
 
