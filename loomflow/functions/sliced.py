@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomflow.functions.stats import place
@@ -24,13 +24,19 @@ ROWS, RANGES = 4096, 1 << 14
 CELLS = 1 << 22
 
 
-def sliced(df: DataFrame, keys: list[str], value: str, top: float, rows: int = ROWS) -> DataFrame:
-    """`df` with `slice`: ranges of a key's values, in order, of about `rows` rows each."""
+def sliced(df: DataFrame, keys: list[str], value: str, top: float, rows: int = ROWS, parts: int | None = None, salt: str | None = None) -> DataFrame:
+    """`df` with `slice`: ranges of a key's values, in order, of about `rows` rows each.
+
+    A value that many rows share makes a slice larger; with `parts` it has `part`, by the hash of `salt`, each of about so many rows.
+    """
     ranged = df.withColumn("__range", place(F.col(value), top, RANGES))
     counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     slices = counts.select(*keys, "__range", F.floor(before / rows).cast("int").alias("slice"))
-    return ranged.join(slices, [*keys, "__range"]).drop("__range")
+    if parts is None:
+        return ranged.join(slices, [*keys, "__range"]).drop("__range")
+    slices = slices.join(counts, [*keys, "__range"]).withColumn("__parts", F.ceil(F.sum("__n").over(Window.partitionBy(*keys, "slice")) / parts)).drop("__n")
+    return ranged.join(slices, [*keys, "__range"]).withColumn("part", F.pmod(F.xxhash64(salt), F.col("__parts")).cast("int")).drop("__range", "__parts")
 
 
 def carried(slices: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,13 +245,3 @@ def numbered(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
     places = values.withColumn("__k", within).join(ends.select("__range", before.alias("__before")), "__range").select("__v", (F.col("__k") + F.col("__before")).cast("long").alias(name))
     out = df.join(places, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
     return out, values.count()  # one number for the driver
-
-
-def hash_ranked(df: DataFrame, keys: list[str], digest: Column, order: list[str]) -> DataFrame:
-    """`df` with `place`, its rank from 0 within the keys by a hexadecimal digest, then by `order`: within 256 ranges of the digest, after those before."""
-    own = df.withColumn("__digest", digest).withColumn("__range", F.substring("__digest", 1, 2))
-    counts = own.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    offsets = counts.select(*keys, "__range", before.alias("__before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__digest", *order)) - 1
-    return own.withColumn("__k", within).join(offsets, [*keys, "__range"]).withColumn("place", F.col("__k") + F.col("__before")).drop("__digest", "__range", "__k", "__before")

@@ -730,7 +730,7 @@ NOISE = CTES | {
 @query("permuted_blocks", "SELECT CAST(rep AS BIGINT) AS rep, transition, CAST(block AS BIGINT) AS block, CAST(sum(c) AS BIGINT) AS n, round(sum(c * y), 3) AS burden FROM nh GROUP BY ALL", NOISE)
 def _(spark, d):
     h = hist(spark, d)
-    return R.dealt_anew(h, M.fit(h, PROFILE), PROFILE, PERMUTATIONS).groupBy("rep", "transition", "block").agg(F.count("*").alias("n"), F.round(F.sum("y"), 3).alias("burden"))
+    return R.Dealt(h, M.fit(h, PROFILE), PROFILE, PERMUTATIONS).sums().withColumn("burden", F.round("burden", 3))
 
 
 @query("noise_benchmark", f"SELECT transition, {r('observed', 'null_median', 'null_p95')}, above FROM nbench", NOISE)

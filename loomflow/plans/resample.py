@@ -13,6 +13,7 @@ from loomflow.functions import scalars as S
 from loomflow.functions import sliced as L
 from loomflow.plans import evaluate as V
 from loomflow.plans import model as M
+from loomflow.plans.permuted import Dealt
 
 
 def calendar(held: DataFrame, cfg: Config, days: float) -> DataFrame:
@@ -150,23 +151,14 @@ def dealt_anew(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int
     places in turn, as many as they have rows, so that every block keeps its size. Rows of
     one case, origin and delay are alike, so that their order does not matter.
     """
-    own = hist.join(metrics.select("transition"), "transition", "left_semi").select("transition", "case_id", "origin", S.block(F.col("origin"), cfg.start, cfg.block_days).alias("block"), S.capped(F.col("delay"), cfg.cap).alias("y"))
-    sizes = own.groupBy("transition", "block").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("transition").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sizes.select("transition", "block", (upto - F.col("n")).alias("lo"), upto.alias("hi")).groupBy("transition").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "block"))).alias("blocks"))  # a row for each calendar block
-    text = F.concat_ws(":", F.lit(cfg.seed + 23), "rep", "transition", F.coalesce(F.col("case_id").cast("string"), F.lit("")), F.unix_micros(F.col("origin").cast("timestamp")))
-    reps = own.select("transition", "case_id", "origin", "y").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    placed = L.hash_ranked(reps, ["transition", "rep"], F.md5(text.cast("binary")), ["y"])
-    block = F.filter("blocks", lambda b: (F.col("place") >= b["lo"]) & (F.col("place") < b["hi"]))[0]["block"]
-    return placed.join(ends, "transition").select("rep", "transition", block.alias("block"), "y")
+    return Dealt(hist, metrics, cfg, replicates).table()
 
 
 def noise(hist: DataFrame, metrics: DataFrame, cfg: Config, replicates: int) -> DataFrame:
     """(transition, observed, null_median, null_p95, above): the radius against those of delays dealt anew to blocks of the same sizes."""
-    # Every draw has the same values, so that the blocks of all draws together are pooled as those of one are.
-    stride = cfg.blocks + 1
-    h = dealt_anew(hist, metrics, cfg, replicates).select("transition", (F.col("rep") * stride + F.col("block")).alias("block"), "y").groupBy("transition", "block", "y").agg(F.count("*").alias("c")).persist()  # slicing reads it more than once
-    radius = M.distances(h, ["transition"], cfg).groupBy("transition", F.expr(f"block div {stride}").alias("draw")).agg(F.percentile("d", F.lit(cfg.radius_q)).alias("e"))
+    metrics = metrics.persist()  # a row for each transition, read twice
+    d = Dealt(hist, metrics, cfg, replicates).distances()
+    radius = d.groupBy("transition", "rep").agg(F.percentile("d", F.lit(cfg.radius_q)).alias("e"))
     null = radius.groupBy("transition").agg(F.percentile("e", F.lit(0.5)).alias("null_median"), F.percentile("e", F.lit(0.95)).alias("null_p95"))
     return metrics.select("transition", F.col("epsilon").alias("observed")).join(null, "transition").withColumn("above", F.col("observed") > F.col("null_p95"))
 

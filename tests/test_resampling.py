@@ -203,3 +203,23 @@ def test_settings_are_twenty_one_and_scan_once(spark):
     plan = W.counted(spark.read.schema(obs.schema).parquet("/root/testdata/sf0.001/region.parquet"), every)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     spark.catalog.clearCache()
+
+
+def test_a_permutation_has_no_row_for_each_replicate(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(9)), datetime(2018, 1, 1) + timedelta(hours=k // 2), "a -> c", 7.0 if k % 3 else float(rng.integers(0, 40))) for k in range(3000)]
+    hist = spark.createDataFrame(rows, "case_id int, origin timestamp_ntz, transition string, delay double").repartition(4)
+    dealt = R.Dealt(hist, spark.createDataFrame([("a -> c", 1.0)], "transition string, epsilon double"), CFG, 6)
+    held = dealt.rows.collect()
+    assert sum(max(1, r["rows"]) for r in held) == 3000 and len(held) < 1500  # the shared value is counted
+    table = {}
+    for r in dealt.table().collect():
+        table.setdefault((r.rep, r.block), []).append(r.y)
+    assert {(r.rep, r.block): (r.n, pytest.approx(r.burden)) for r in dealt.sums().collect()} == {k: (len(v), sum(v)) for k, v in table.items()}
+    y = np.array([r[3] for r in rows])
+    xs = np.unique(y)
+    cdf = lambda v: np.searchsorted(np.sort(v), xs, side="right") / len(v)
+    blocks = sorted({b for _, b in table})
+    got = {(r.rep, blocks[r["at"]]): r.d for r in dealt.distances().collect()}
+    assert got == {k: pytest.approx(float((np.abs(cdf(v) - cdf(y))[:-1] * np.diff(xs)).sum())) for k, v in table.items() if len(v) >= CFG.min_block}
+    spark.catalog.clearCache()
