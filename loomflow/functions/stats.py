@@ -116,3 +116,20 @@ def summary(value: str) -> list[Column]:
     """Nine numbers of a column; exact linear quantiles."""
     q = lambda p, n: F.percentile(F.col(value), F.lit(p)).alias(n)
     return [F.count(value).alias("count"), F.avg(value).alias("mean"), q(0.5, "median"), q(0.75, "p75"), q(0.9, "p90"), q(0.95, "p95"), q(0.99, "p99"), F.max(value).alias("max"), F.sum(value).alias("total")]
+
+
+#: Ranges of values within which those of a whole table are put in order.
+RANGES = 1 << 12
+QUANTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def nine(df: DataFrame, value: str, top: float) -> DataFrame:
+    """The nine numbers of summary() over a whole table, one row: values are put in order within ranges up to `top`, so no task holds all of them."""
+    total = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.sum(value).alias("total"))
+    pmf = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__w"))
+    cum = running(pmf, [], value, {"__upto": "__w"}, top, bins=RANGES).crossJoin(F.broadcast(total.select("count")))  # one row
+    at = {n: (F.col("count") - 1) * F.lit(p) for n, p in QUANTILES.items()}
+    ranked = lambda r: F.max(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__w") <= r), F.col(value)))
+    ends = cum.agg(*[ranked(f(x)).alias(f"__{n}_{k}") for n, x in at.items() for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    linear = {n: F.when(F.floor(x) == F.ceil(x), F.col(f"__{n}_lo")).otherwise((F.ceil(x) - x) * F.col(f"__{n}_lo") + (x - F.floor(x)) * F.col(f"__{n}_hi")).alias(n) for n, x in at.items()}
+    return total.crossJoin(F.broadcast(ends)).select("count", "mean", *linear.values(), "max", "total")

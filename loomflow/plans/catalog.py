@@ -285,7 +285,7 @@ NINE = "count(delay) AS count, round(avg(delay), 6) AS mean, round(quantile_cont
 
 @query("nine_numbers", f"SELECT {NINE} FROM hist")
 def _(spark, d):
-    return hist(spark, d).agg(*T.summary("delay"))
+    return T.nine(hist(spark, d), "delay", (PROFILE.decision - PROFILE.start).total_seconds() / 3600)
 
 
 @query("grouped_nine_numbers", f"SELECT transition, {NINE} FROM hist GROUP BY 1 HAVING count(delay) >= 50")

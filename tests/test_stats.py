@@ -89,3 +89,15 @@ def test_variants_for_80_percent_counts_all_variants(spark, counts):
     table = spark.createDataFrame([(f"v{k}",) for k, n in enumerate(counts) for _ in range(n)], "variant string")
     share = np.cumsum(sorted(counts, reverse=True)) * 100.0 / sum(counts)
     assert E.variants_for(table).first()["n"] == int((share < 80).sum()) + 1
+
+
+def test_nine_numbers_of_a_table_leave_no_task_with_all_values(spark):
+    rng = np.random.default_rng(4)
+    y = [*rng.exponential(20, 3001), *[5.0] * 900, -1.0, 900.0]
+    df = spark.createDataFrame([(float(v),) for v in y] + [(None,)], "delay double").repartition(3)
+    got = T.nine(df, "delay", 504.0)
+    want = df.agg(*T.summary("delay")).first()
+    assert got.columns == list(want.asDict()) and tuple(got.first()) == pytest.approx(tuple(want))
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    empty = T.nine(df.where("false"), "delay", 504.0).collect()
+    assert [tuple(r) for r in empty] == [(0, *[None] * 8)]
