@@ -8,12 +8,14 @@ histogram, within the slice: rows are never multiplied by the replicates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomflow.functions.stats import place
@@ -22,6 +24,9 @@ from loomflow.functions.stats import place
 ROWS, RANGES = 4096, 1 << 14
 #: Weights of rows by replicates that are held at once.
 CELLS = 1 << 22
+#: Roots of the number of clusters that are drawn one by one; clusters up to which the driver sums a drawing.
+SPARE, DRIVEN = 4.0, 1 << 14
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sliced(df: DataFrame, keys: list[str], value: str, top: float, rows: int = ROWS, parts: int | None = None, salt: str | None = None) -> DataFrame:
@@ -73,17 +78,38 @@ class Spec:
     leave_out: bool = False
 
 
-def calibrations(hist: DataFrame, keys: list[str], specs: list[Spec] | dict[str, list[Spec]], weights: np.ndarray | None = None, rows: int = ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Way:
+    """A way to count a histogram of fine blocks: the first `last` of them (all, if none), `width` to a block (one block, if none), and values capped and snapped to a grid."""
+
+    last: float | None
+    width: float | None
+    cap: float
+    grid: float | None = None
+
+    def values(self, y: np.ndarray) -> np.ndarray:
+        y = np.minimum(y, self.cap)
+        return np.clip(np.rint(y / self.grid) * self.grid, 0.0, self.cap) if self.grid else y
+
+    def blocks(self, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the fine blocks that count, the blocks, and which of these each belongs to."""
+        own = np.flatnonzero(fine < self.last) if self.last is not None else np.arange(len(fine))
+        block, at = np.unique(np.floor(fine[own] / self.width) if self.width is not None else np.zeros(len(own)), return_inverse=True)
+        return own, block.astype(np.int64), at
+
+
+def calibrations(hist: DataFrame, keys: list[str], specs: list[Spec] | dict[str, dict[Way, list[Spec]]], weights: np.ndarray | None = None, rows: int = ROWS) -> DataFrame:
     """(keys, rep, block, weight, d, n, s, worst, top): what each fit is made of.
 
-    `hist` is (keys, block, y, c); `specs` are the fits of every key, or those of each value
-    of the first key. `weights` has a row for each replicate (numbered from a fit's rep on)
+    `hist` is (keys, block, y, c); `specs` are the fits of every key, or for each value of
+    the first key those of each way to count it. All ways are worked out within a slice, as
+    they keep the order of the values: rows are not multiplied by them. `weights` has a row for each replicate (numbered from a fit's rep on)
     and a column for each block, and is all ones if not given. Rows of block -1 have the
     total weight n, sum s, sum of the worst tail and weight at the cap; the others the
     distance d of each block of `min_block` rows from all rows, or from all others if
     `leave_out`, null where there are no others.
     """
-    every = [x for v in specs.values() for x in v] if isinstance(specs, dict) else specs
+    every = [x for v in specs.values() for xs in v.values() for x in xs] if isinstance(specs, dict) else specs
     slices = sliced(hist.select(*keys, F.col("block").cast("int").alias("block"), "y", "c"), keys, "y", max(x.cap for x in every), rows)
     types = {f.name: f.dataType.simpleString() for f in slices.schema}
 
@@ -93,11 +119,36 @@ def calibrations(hist: DataFrame, keys: list[str], specs: list[Spec] | dict[str,
         ys, at = np.unique(own["y"], return_inverse=True)
         counts = np.zeros((len(blocks), len(ys)))
         np.add.at(counts, (np.searchsorted(blocks, own["block"]), at), own["c"])
+        ends = np.append(ys, ys[-1] if pd.isna(info["next"]) else info["next"])
+        sums, gone = [np.zeros((0, 5))], [np.zeros((0, 4))]
+        if not isinstance(specs, dict):
+            fits(specs, blocks, before, total, counts, ends, sums, gone)
+        else:
+            for way, some in specs[own[keys[0]].iloc[0]].items():
+                rows, block, group = way.blocks(blocks)
+                if len(rows):
+                    joined = [np.zeros((len(block), *x.shape[1:])) for x in (before, total, counts)]
+                    for out, x in zip(joined, (before, total, counts)):
+                        np.add.at(out, group, x[rows])
+                    fits(some, block, *joined, way.values(ends), sums, gone)
+        all_sums, far = np.vstack(sums), np.vstack(gone)
+        k, zero = len(all_sums), np.zeros(len(far))
+        out = pd.DataFrame({"rep": np.append(all_sums[:, 0], far[:, 0]).astype(int), "block": np.append(np.full(k, -1), far[:, 1]).astype(int), "weight": np.append(np.zeros(k), far[:, 2]).astype(int), "d": np.append(np.zeros(k), far[:, 3])})
+        for place_of, name in enumerate(("n", "s", "worst", "top"), start=1):
+            out[name] = np.append(all_sums[:, place_of], zero)
+        for key in keys:
+            out[key] = own[key].iloc[0]
+        if np.isnan(far[:, 3]).any():
+            out["d"] = out["d"].astype(object).where(out["d"].notna(), None)
+        return out
+
+    def fits(some: list[Spec], blocks: np.ndarray, before: np.ndarray, total: np.ndarray, counts: np.ndarray, ends: np.ndarray, sums: list, gone: list) -> None:
+        """Adds what the fits have of a slice: counts of each block by value, and the values with the one that follows."""
+        ys, gaps = ends[:-1], np.diff(ends)
         upto = before[:, None] + np.cumsum(counts, axis=1)
-        gaps = np.diff(ys, append=ys[-1] if pd.isna(info["next"]) else info["next"])
         all_w = np.ones((1, len(blocks))) if weights is None else weights[:, blocks]
-        step, sums, gone = max(1, CELLS // max(1, len(ys))), [], []
-        for spec in specs[own[keys[0]].iloc[0]] if isinstance(specs, dict) else specs:
+        step = max(1, CELLS // max(1, len(ys)))
+        for spec in some:
             good = np.flatnonzero(total >= spec.min_block)
             shares = upto[good] / total[good, None]
             for first in range(0, len(all_w), step):
@@ -117,16 +168,6 @@ def calibrations(hist: DataFrame, keys: list[str], specs: list[Spec] | dict[str,
                     d = np.where(rest > 0, d * n[:, None] / np.maximum(rest, 1), np.nan)
                 r, b = np.nonzero(w[:, good] > 0)
                 gone.append(np.column_stack([reps[r], blocks[good][b], w[:, good][r, b], d[r, b]]))
-        all_sums, far = np.vstack(sums), np.vstack(gone)
-        k, zero = len(all_sums), np.zeros(len(far))
-        out = pd.DataFrame({"rep": np.append(all_sums[:, 0], far[:, 0]).astype(int), "block": np.append(np.full(k, -1), far[:, 1]).astype(int), "weight": np.append(np.zeros(k), far[:, 2]).astype(int), "d": np.append(np.zeros(k), far[:, 3])})
-        for place_of, name in enumerate(("n", "s", "worst", "top"), start=1):
-            out[name] = np.append(all_sums[:, place_of], zero)
-        for key in keys:
-            out[key] = own[key].iloc[0]
-        if np.isnan(far[:, 3]).any():
-            out["d"] = out["d"].astype(object).where(out["d"].notna(), None)
-        return out
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep int, block int, weight int, d double, n double, s double, worst double, top double"
     by = [*keys, "slice"]
@@ -208,31 +249,93 @@ class Calendar:
 class Splitting:
     """Draws with replacement of any number of clusters 0 .. size - 1, which no table holds.
 
-    The draws of a range of clusters are split between its halves by a binomial number
-    that depends on the seed and the range alone, down to single clusters. So any task
-    has the same weights for a cluster, and all weights of a replicate sum to `size`.
+    A cluster's weight in a replicate is a Poisson number, by a hash of both alone, and
+    what further draws add to it. Poisson numbers of a given sum are that many draws; they
+    are made a little too small, and the few draws that a replicate lacks of `size` are
+    made one by one. So any task has the same weights for a cluster, each costs one hash,
+    and all weights of a replicate sum to `size`. `total` gives the sums of a drawing's
+    Poisson numbers; a replicate that exceeds `size` is drawn by another hash.
     """
 
-    def __init__(self, size: int, replicates: int, seed: int):
+    def __init__(self, size: int, replicates: int, seed: int, total: Callable[[Splitting], np.ndarray] | None = None):
         self.size, self.replicates, self.seed = size, replicates, seed
+        self.turn = np.zeros(replicates, dtype=np.int64)
+        mean = max(0.0, 1 - SPARE / math.sqrt(max(1, size)))
+        below = np.cumsum([math.exp(-mean) * mean**k / math.factorial(k) for k in range(20)])
+        self.least = [int(x * 2**32) for x in below if x < 1 - 2**-32]  # from which a uniform number of 32 bits counts one more
+        while True:
+            sums = self._whole() if total is None else total(self)
+            over = sums > size
+            if not over.any():
+                break
+            self.turn[over] += 1
+        self.left = tuple(int(x) for x in size - sums)
+
+    def _whole(self) -> np.ndarray:
+        return sum((self.poisson(np.arange(k, min(self.size, k + 4096))).sum(axis=0, dtype=np.int64) for k in range(0, self.size, 4096)), np.zeros(self.replicates, dtype=np.int64))
+
+    def poisson(self, clusters: np.ndarray) -> np.ndarray:
+        """Poisson numbers of the clusters, a column for each replicate."""
+        out = self._poisson(clusters, 0, -(-self.replicates // 2))[:, : self.replicates]
+        for rep in np.flatnonzero(self.turn):
+            out[:, rep] = self._poisson(clusters, 1 + int(self.turn[rep]) * self.replicates + int(rep), 1)[:, 0]
+        return out
+
+    def _poisson(self, clusters: np.ndarray, first: int, pairs: int) -> np.ndarray:
+        own = _hashed(np.asarray(clusters).astype(np.uint64) + np.uint64(self.seed * int(_ODD) % (1 << 64)))
+        lane = _hashed((np.arange(pairs, dtype=np.uint64) + np.uint64(first << 20)) * _ODD + np.uint64(1))
+        u = _hashed(own[:, None] ^ lane).view(np.uint32)
+        out = np.zeros(u.shape, dtype=np.uint8)
+        for least in self.least[:3]:
+            out += u >= np.uint32(least)
+        if len(self.least) > 3:
+            many = np.nonzero(u >= np.uint32(self.least[3]))
+            out[many] += np.searchsorted(np.array(self.least[3:]), u[many].astype(np.int64), side="right").astype(np.uint8)
+        return out
 
     def __call__(self, clusters: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(clusters), self.replicates))
-        todo = [(0, self.size, 0, len(clusters), np.full(self.replicates, self.size, dtype=np.int64))]
-        while todo:
-            lo, hi, a, b, draws = todo.pop()
-            if a == b:
-                continue
-            if hi - lo == 1:
-                out[a:b] = draws
-                continue
-            mid = (lo + hi) // 2
-            left = np.random.default_rng([self.seed, lo, hi]).binomial(draws, (mid - lo) / (hi - lo))
-            cut = a + int(np.searchsorted(clusters[a:b], mid))
-            todo += [(lo, mid, a, cut, left), (mid, hi, cut, b, draws - left)]
+        clusters = np.asarray(clusters, dtype=np.int64)
+        out = self.poisson(clusters).astype(np.float64)
+        drawn, rep = _draws(self.size, self.left, self.seed)
+        low, high = np.searchsorted(drawn, clusters, "left"), np.searchsorted(drawn, clusters, "right")
+        per = high - low
+        row = np.repeat(np.arange(len(clusters)), per)
+        np.add.at(out, (row, rep[np.arange(len(row)) + np.repeat(low - (np.cumsum(per) - per), per)]), 1)
         return out
 
 
+@lru_cache(maxsize=4)
+def _draws(size: int, left: tuple[int, ...], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, replicate) of the draws that replicates lack, in order of clusters: some SPARE roots of `size` each."""
+    drawn = np.random.default_rng([seed, size]).integers(0, max(1, size), sum(left))
+    order = np.argsort(drawn, kind="stable")
+    return drawn[order], np.repeat(np.arange(len(left), dtype=np.int32), left)[order]
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def splitting(spark: SparkSession, size: int, replicates: int, seed: int) -> Splitting:
+    """Splitting(), of many clusters with sums from tasks; the driver gets a row for each replicate."""
+
+    def total(drawing: Splitting) -> np.ndarray:
+        def sums(frames):
+            out = np.zeros(replicates, dtype=np.int64)
+            for frame in frames:
+                for k in frame["id"]:
+                    out += drawing.poisson(np.arange(k * 4096, min(size, (k + 1) * 4096))).sum(axis=0, dtype=np.int64)
+            yield pd.DataFrame({"rep": np.arange(replicates), "w": out})
+
+        got = spark.range(-(-size // 4096)).mapInPandas(sums, "rep int, w long").groupBy("rep").agg(F.sum("w").alias("w")).toPandas()
+        return got.sort_values("rep")["w"].to_numpy(np.int64)
+
+    return Splitting(size, replicates, seed, total if size > DRIVEN else None)
+
+
 def numbered(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
     """`df` with its distinct values of `column` numbered from 0 in order of a hash, and how many there are; null is a value.
 

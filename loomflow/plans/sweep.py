@@ -3,7 +3,8 @@
 Settings differ in what they count (length of blocks, cap, grid, window of origins) and
 in what they make of it (tail, radius, clip, least sizes). The log is scanned and counted
 once, by the finest blocks and uncapped but for the largest cap. Each way to count is a
-roll-up of that; the setting is a key over it, so there is no job for each.
+roll-up of that within a slice of values (functions.sliced), so there is no job for each,
+and no row of the histogram for each.
 """
 
 from __future__ import annotations
@@ -59,51 +60,39 @@ def explored(cfg: Config, caps: tuple[float, float], alphas: tuple[float, float]
     return sorted(every, key=lambda s: s.cfg != cfg.but(cap=c, alpha=a, grid=g))
 
 
-def _ways(every: list[Setting]) -> tuple[dict[tuple, str], dict[tuple, str]]:
-    """Names of the ways to count the history, and the holdout."""
-    past, later = {}, {}
-    for s in every:
-        past.setdefault(_past(s), f"h{len(past)}")
-        later.setdefault(_later(s), f"o{len(later)}")
-    return past, later
+def _day(every: list[Setting]) -> int:
+    """Days of the finest blocks."""
+    return math.gcd(*[int(s.cfg.block_days) for s in every], *[s.lag for s in every if s.lag])
 
 
-def _past(s: Setting) -> tuple:
-    return s.cfg.block_days, s.cfg.cap, s.cfg.grid, s.lag
+def _ends(every: list[Setting]) -> list:
+    """Where the holdout's windows end; its finest blocks end there."""
+    return sorted({s.holdout_end for s in every})
 
 
-def _later(s: Setting) -> tuple:
-    return s.cfg.cap, s.holdout_end
+def _past(s: Setting, day: int) -> L.Way:
+    return L.Way((s.cfg.decision - timedelta(days=s.lag) - s.cfg.start) / timedelta(days=day), s.cfg.block_days / day, float(s.cfg.cap), s.cfg.grid)
+
+
+def _later(s: Setting, ends: list) -> L.Way:
+    return L.Way(ends.index(s.holdout_end) + 1, None, float(s.cfg.cap))
 
 
 def counted(obs: DataFrame, every: list[Setting]) -> DataFrame:
-    """(way, transition, block, y, c): counts of every way, from one scan and one count of the observations."""
-    base, past, later = every[0].cfg, *_ways(every)
-    day = math.gcd(*[int(d) for d, *_ in past], *[lag for *_, lag in past if lag])  # days of the finest blocks
+    """(side, transition, block, y, c): the history (h) and the holdout (o) by their finest blocks, from one scan and one count of the observations."""
+    base, day = every[0].cfg, _day(every)
     o, d = F.col("origin"), F.col("destination")
     known = d.isNotNull() if base.observation_end is None else d.isNotNull() & (d <= S.at(base.observation_end))
     before = (o >= S.at(base.start)) & (o < S.at(base.decision)) & d.isNotNull() & (d < S.at(base.decision))
     after = (o >= S.at(base.decision)) & (o < S.at(base.holdout_end)) & known
     side = F.when(before, "h").when(after, "o")
     top = max(s.cfg.cap for s in every)
-    # The holdout's finest blocks end where one of its windows does.
-    ends = sorted({e for _, e in later})
     window = F.lit(0)
-    for e in ends[:-1]:
+    for e in _ends(every)[:-1]:
         window = window + (o >= S.at(e)).cast("int")
     finest = F.when(side == "h", S.block(o, base.start, day)).otherwise(window)
-    fine = obs.select(side.alias("side"), "transition", finest.alias("fine"), S.capped(F.col("delay"), top).alias("y")).where("side is not null").groupBy("side", "transition", "fine", "y").agg(F.count("*").alias("c"))
-    ways = []
-    for (days, cap, grid, lag), name in past.items():
-        y = S.capped(F.col("y"), cap)
-        last = (base.decision - timedelta(days=lag) - base.start) / timedelta(days=day)
-        block = F.floor(F.col("fine") * day / F.lit(float(days))).cast("int")
-        way = F.struct(F.lit(name).alias("way"), block.alias("block"), (S.snapped(y, grid, cap) if grid else y).alias("y"))
-        ways.append(((F.col("side") == "h") & (F.col("fine") < last), way))
-    for (cap, end), name in later.items():
-        ways.append(((F.col("side") == "o") & (F.col("fine") <= ends.index(end)), F.struct(F.lit(name).alias("way"), F.lit(0).alias("block"), S.capped(F.col("y"), cap).alias("y"))))
-    each = F.explode(F.array_compact(F.array(*[F.when(cond, way) for cond, way in ways]))).alias("x")
-    return fine.select("transition", "c", each).select("x.way", "transition", "x.block", "x.y", "c").groupBy("way", "transition", "block", "y").agg(F.sum("c").alias("c"))
+    fine = obs.select(side.alias("side"), "transition", finest.cast("int").alias("block"), S.capped(F.col("delay"), top).alias("y"))
+    return fine.where("side is not null").groupBy("side", "transition", "block", "y").agg(F.count("*").alias("c"))
 
 
 def swept(obs: DataFrame, every: list[Setting]) -> tuple[DataFrame, DataFrame]:
@@ -113,20 +102,20 @@ def swept(obs: DataFrame, every: list[Setting]) -> tuple[DataFrame, DataFrame]:
     that both are made of are kept, since each is read many times; they are as many as
     settings x transitions x blocks.
     """
-    past, later = _ways(every)
-    specs: dict[str, list[L.Spec]] = {}
+    day, ends = _day(every), _ends(every)
+    specs: dict[str, dict[L.Way, list[L.Spec]]] = {"h": {}, "o": {}}
     for k, s in enumerate(every):
-        specs.setdefault(past[_past(s)], []).append(M.spec(s.cfg, k))
-        specs.setdefault(later[_later(s)], []).append(L.Spec(k, float(s.cfg.cap), s.cfg.tail, 1 << 60))
-    parts = L.calibrations(counted(obs, every), ["way", "transition"], specs).persist()
+        specs["h"].setdefault(_past(s, day), []).append(M.spec(s.cfg, k))
+        specs["o"].setdefault(_later(s, ends), []).append(L.Spec(k, float(s.cfg.cap), s.cfg.tail, 1 << 60))
+    parts = L.calibrations(counted(obs, every), ["side", "transition"], specs).persist()
     rows = [(k, s.name, float(s.cfg.cap), s.cfg.tail, float(s.cfg.kappa), s.cfg.min_obs, M.required(s.cfg.but(decision=s.end)), float(s.cfg.multiplier), s.lag == 0) for k, s in enumerate(every)]
     table = F.broadcast(obs.sparkSession.createDataFrame(rows, "rep int, configuration string, cap double, tail double, kappa double, min_obs int, required int, multiplier double, fixed boolean"))  # a row for each setting
-    history = parts.where("way like 'h%'").drop("way").join(table.select("rep", "tail", "multiplier"), "rep")
+    history = parts.where("side = 'h'").drop("side").join(table.select("rep", "tail", "multiplier"), "rep")
     fits = M.fitted(history, ["transition"], ["rep"], F.col("tail"), every[0].cfg.radius_q, F.col("multiplier")).join(table.drop("multiplier"), "rep")
     scored = M.scored(fits, SimpleNamespace(**{c: F.col(c) for c in ("cap", "tail", "kappa", "min_obs")}))
     primary = scored.where("rep = 0 and strict_eligibility").select("transition")
     metrics = scored.where("fixed and epsilon is not null").join(primary, "transition", "left_semi").unionByName(scored.where("not fixed and strict_eligibility"))
-    held = parts.where("way like 'o%' and block < 0").join(table.select("rep", "configuration", "tail"), "rep")
+    held = parts.where("side = 'o' and block < 0").join(table.select("rep", "configuration", "tail"), "rep")
     outcomes = held.select("configuration", "transition", F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("mean"), (F.col("worst") / (F.col("n") * F.col("tail"))).alias("cvar"))
     outcomes = outcomes.withColumn("mean_burden", F.col("n") * F.col("mean")).withColumn("tail_burden", F.col("n") * F.col("cvar"))
     return metrics.select("configuration", *M.METRICS), outcomes

@@ -95,6 +95,16 @@ def test_splitting_draws_as_many_as_there_are_clusters(size):
         assert (L.Splitting(size, 50, 8)(np.arange(size)) != whole).any()
 
 
+def test_weights_of_scattered_cases_cost_no_generator_each(spark, monkeypatch):
+    some = np.arange(0, 300_000, 601)
+    draw = L.splitting(spark, 300_000, 20, 7)
+    assert draw.left == L.Splitting(300_000, 20, 7).left and min(draw.left) >= 0
+    made, real = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: made.append(a) or real(*a))
+    got = draw(some)
+    assert len(made) <= 1 and abs(got.mean() - 1) < 0.05 and abs(got.var() - 1) < 0.08
+
+
 @pytest.mark.parametrize("rows", [1, 7, 4096])
 def test_slices_do_not_change_replicates(spark, rows):
     rng = np.random.default_rng(5)
@@ -205,6 +215,13 @@ def test_settings_are_twenty_one_and_scan_once(spark):
     spark.catalog.clearCache()
 
 
+def test_a_histogram_has_no_row_for_each_way_to_count(spark):
+    every = W.settings(CFG, (7, 28), (50, 100), (12.0, 24.0), 0.9, 80.0, 20, (30, 60))
+    rows = [(k, CFG.start + timedelta(hours=10 * k), CFG.start + timedelta(hours=10 * k + 1), "a", "a -> b", 1.0 + k / 100) for k in range(600)]
+    obs = spark.createDataFrame(rows, "case_id int, origin timestamp_ntz, destination timestamp_ntz, origin_activity string, transition string, delay double")
+    assert 500 < W.counted(obs, every).count() <= 600
+
+
 def test_a_permutation_has_no_row_for_each_replicate(spark):
     rng = np.random.default_rng(9)
     rows = [(int(rng.integers(9)), datetime(2018, 1, 1) + timedelta(hours=k // 2), "a -> c", 7.0 if k % 3 else float(rng.integers(0, 40))) for k in range(3000)]
