@@ -24,7 +24,7 @@ def calendar(held: DataFrame, cfg: Config, days: float) -> DataFrame:
 def schemes(held: DataFrame, cfg: Config, days: tuple[float, ...], replicates: int) -> dict[str, tuple[DataFrame, int, object]]:
     """Of each calendar scheme, and of cases: the holdout with its clusters, their number, and what draws their weights.
 
-    Calendar clusters are few; those without rows can be drawn too. Cases are drawn by splitting.
+    Calendar clusters are few; those without rows can be drawn too. Cases are drawn by hashes.
     """
     out = {}
     for d in days:
@@ -33,7 +33,7 @@ def schemes(held: DataFrame, cfg: Config, days: tuple[float, ...], replicates: i
         n = 1 if last is None else last + 1
         out[f"calendar_{d:g}d"] = (own, n, L.Calendar(n, replicates, cfg.seed))
     own, n = L.numbered(held, "case_id", "cluster")
-    out["case_cluster"] = (own, n, L.Splitting(n, replicates, cfg.seed))
+    out["case_cluster"] = (own, n, L.splitting(held.sparkSession, n, replicates, cfg.seed))
     return out
 
 
