@@ -290,14 +290,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Anchors of a text (its least shingle hashes): a pair of similarity s shares none with a chance of about (1 - s) ** ANCHORS.
-ANCHORS = 16
 #: Members of an anchor's group up to which all meet all.
 FEW = 16
-#: Times that hubs of large groups are sought.
+#: Times that hubs of large groups are sought, before all that is left of a group meets all.
 HUB_ROUNDS = 2
-#: Bits in which fingerprints of texts alike by 0.8 differ at most: ten on average, with a standard deviation of three to four.
-REACH = 26
+#: Texts by which shingles are put in order, and times that a shingle occurs among them from which it comes late. They decide what is fast, not what is found.
+ORDER_TEXTS, ORDER_LEAST = 8_192, 3
+#: Postings of a partition; bits of the map of texts whose shingles are wanted.
+POSTINGS, MAP_BITS = 1 << 19, 24
+#: Bytes of text whose shingles are worked out together.
+SHINGLE_BYTES = 1 << 19
 
 
 def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,15 +323,29 @@ def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, n
     return h[new], doc[new], whole
 
 
-def _features(shingle: int):
+def _needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Anchors of sets of `n` shingles: any two sets alike by `similarity` share one of so many first ones, whatever order all sets keep."""
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _rank(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How late each shingle comes: zero, or its count among the texts of the order."""
+    if not len(common):
+        return np.zeros(len(h), dtype=np.int64)
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return np.where(common[at] == h, count[at], 0)
+
+
+def _features(shingle: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in A.chunks(b.column(2), A.CHUNK_BYTES // 2):
+            for c in A.chunks(b.column(2), SHINGLE_BYTES):
                 h, doc, whole = _shingle_hashes(c, shingle)
                 at = np.searchsorted(doc, np.arange(len(c) + 1))
                 n = np.diff(at)
                 bits = _majority(h, at[:-1], n)
-                few = np.minimum(n, ANCHORS)
+                h = h[np.lexsort((h, _rank(h, *order.value), doc))]
+                few = _needed(n, similarity)
                 ends = np.cumsum(few)
                 anchors = h[np.arange(int(ends[-1])) + np.repeat(at[:-1] - (ends - few), few)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(anchors.view(np.int64)))
@@ -339,26 +355,90 @@ def _features(shingle: int):
     return run
 
 
-def _shingle_sets(shingle: int):
+def _counted(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in A.chunks(b.column(1), A.CHUNK_BYTES // 2):
+            for c in A.chunks(b.column(0), SHINGLE_BYTES):
+                h, n = np.unique(_shingle_hashes(c, shingle)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return run
+
+
+def _order(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come late in every set, and their counts. Any order finds the same pairs; one that puts frequent shingles last proposes fewer in vain."""
+    n = own.count()
+    key = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30))
+    some = own.where(key < F.lit(int((1 << 30) * min(1.0, ORDER_TEXTS / max(1, n))))).select("text")
+    got = some.mapInArrow(_counted(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST).toPandas()
+    h, count = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    by = np.argsort(h)
+    return h[by], count[by]
+
+
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """A map of fixed size: which beginnings of row keys are among `keys`."""
+    bit = F.conv(F.substring(F.hex("row_key"), 1, MAP_BITS // 4), 16, 10).cast("long") + 1  # buckets count from one
+    rows = keys.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits")).collect()
+    out = np.zeros(1 << MAP_BITS, dtype=bool)
+    for r in rows:
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[(r["k"] - 1) * len(own) : r["k"] * len(own)] = own
+    return np.packbits(out)
+
+
+def _shingle_sets(shingle: int, wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head = np.array([int.from_bytes(x[: MAP_BITS // 8], "big") for x in b.column(0).to_pylist()], dtype=np.int64)
+            b = b.filter(pa.array((wanted.value[head >> 3] >> (7 - (head & 7))) & 1 == 1))
+            for c in A.chunks(b.column(1), SHINGLE_BYTES):
                 h, doc, _ = _shingle_hashes(c, shingle)
                 at = np.searchsorted(doc, np.arange(len(c) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(c.rows[0]), len(c)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(c.rows[0]), len(c)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["row_key", "shingles"])
 
     return run
 
 
-def _anchored(nodes: DataFrame) -> DataFrame:
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, node); equal texts of a batch count once."""
+    for b in batches:
+        node = b.column(0).to_numpy()
+        one = np.sort(np.unique(node, return_index=True)[1])
+        lists = b.column(1).take(pa.array(one))
+        yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(node[one], np.diff(lists.offsets.to_numpy())))], names=["anchor", "node"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all postings of a partition's anchors, those of anchors that several texts have, with their number."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    anchor, node = (np.concatenate(x) for x in zip(*got))
+    o = np.lexsort((node, anchor))
+    anchor, node = anchor[o], node[o]
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (node[1:] != node[:-1])
+    anchor, node = anchor[new], node[new]
+    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(anchor)))
+    m = np.repeat(size, size)
+    keep = m > 1
+    anchor, node, m = anchor[keep], node[keep], m[keep]
+    for k in range(0, len(anchor), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (anchor, node, m)], names=["anchor", "node", "m"])
+
+
+def _anchored(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(anchor, node, n, fp, m): the texts at each anchor that m texts share, m over one."""
-    post = nodes.select("node", "n", "fp", F.explode("anchors").alias("anchor"))
-    return post.join(post.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchor")
+    total = rows.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    dealt = rows.select("node", "anchors").mapInArrow(_postings, "anchor long, node long").repartition(max(parts(rows.sparkSession), -(-total // POSTINGS)), "anchor")
+    return written(dealt.mapInArrow(_shared, "anchor long, node long, m long"), "postings").join(nodes, "node").select("anchor", "node", "n", "fp", "m")
 
 
-def _within_reach() -> F.Column:
-    """Whether a text and its head may be alike, by their sizes and fingerprints."""
-    return (5 * F.least("n", "head.n") >= 4 * F.greatest("n", "head.n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= REACH)
+def _within_reach(similarity: float) -> F.Column:
+    """Whether a text and its head may be alike, by their sizes."""
+    return F.least("n", "head.n") >= F.lit(similarity - 1e-9) * F.greatest("n", "head.n")
 
 
 def _pair() -> list[F.Column]:
@@ -366,28 +446,28 @@ def _pair() -> list[F.Column]:
 
 
 def _heads(post: DataFrame) -> DataFrame:
-    """(anchor, head) of each large group: the member whose fingerprint is nearest to the majority of each bit, and one drawn by hash of member and anchor."""
+    """(anchor, head) of each large group: the member whose fingerprint is nearest to the majority of each bit, and one drawn by its hash, so that anchors of the same members have the same."""
     own, many = F.struct("node", "n", "fp"), post.where(F.col("m") > FEW)
     set_bits = [F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"bit{k}") for k in range(64)]
     ones = [F.when(2 * F.col(f"bit{k}") > F.col("m"), F.lit(np.uint64(1 << k).astype(np.int64).item())).otherwise(0) for k in range(64)]
     middle = many.groupBy("anchor").agg(F.first("m").alias("m"), *set_bits).select("anchor", reduce(lambda x, y: x.bitwiseOR(y), ones).alias("middle"))
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    two = many.join(middle, "anchor").groupBy("anchor").agg(F.min_by(own, F.struct(away, "node")).alias("a"), F.min_by(own, F.xxhash64("node", "anchor")).alias("b"))
+    two = many.join(middle, "anchor").groupBy("anchor").agg(F.min_by(own, F.struct(away, "node")).alias("a"), F.min_by(own, F.struct(F.xxhash64("node"), "node")).alias("b"))
     return two.select("anchor", F.explode(F.array("a", "b")).alias("head"))
 
 
-def _proposed(nodes: DataFrame, post: DataFrame, heads: DataFrame) -> DataFrame:
-    """(u, v, bits): pairs of texts to be compared.
+def _proposed(nodes: DataFrame, post: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, bits): pairs of texts to be compared first.
 
     All pairs of an anchor's group of FEW members at most; of a larger one, its heads with
-    all. The pairs of fingerprints that the vantage-point search finds are paired as they
+    all (the rest of it comes later, see _rest). The pairs of fingerprints that the vantage-point search finds are paired as they
     are, equal ones with the least node.
     """
     own, many = F.struct("node", "n", "fp"), post.where(F.col("m") > FEW)
     met = many.join(heads, "anchor").select("node", "n", "fp", "head")
     few = post.where(F.col("m") <= FEW).select("anchor", "node", "n", "fp")
     met = met.unionByName(few.join(few.select("anchor", own.alias("head")), "anchor").where("node < head.node").select("node", "n", "fp", "head"))
-    near = met.where(_within_reach()).select("node", F.col("head.node").alias("other"), F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("bits"))
+    near = met.where(_within_reach(similarity)).select("node", F.col("head.node").alias("other"), F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("bits"))
     first = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
     same = nodes.join(first, "fp").select("node", F.col("head").alias("other"), F.lit(0).alias("bits"))
     found = links(first.select("fp"))
@@ -406,12 +486,21 @@ def _hubs(post: DataFrame, found: DataFrame, label: DataFrame, tried: DataFrame)
     return left.groupBy("anchor").agg(F.max_by(F.struct("node", "n", "fp", "root"), F.struct("degree", "node")).alias("head"))
 
 
-def _toward(post: DataFrame, hubs: DataFrame, label: DataFrame) -> DataFrame:
+def _toward(post: DataFrame, hubs: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the hubs and the members of their groups that are of other classes."""
-    many = post.join(hubs, "anchor").join(label, "node", "left").where((F.coalesce("root", "node") != F.col("head.root")) & _within_reach())
+    many = post.join(hubs, "anchor").join(label, "node", "left").where((F.coalesce("root", "node") != F.col("head.root")) & _within_reach(similarity))
     return many.select("node", F.col("head.node").alias("other")).select(*_pair()).distinct()
 
 
+def _rest(post: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs of a large group's members that are of different classes still."""
+    many = post.where(F.col("m") > FEW).join(label, "node", "left").withColumn("root", F.coalesce("root", "node")).select("anchor", "node", "n", "root")
+    mixed = many.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("anchor")
+    left = written(many.join(mixed, "anchor", "left_semi"), "mixed")
+    both = left.join(left.select("anchor", F.struct("node", "n", "root").alias("head")), "anchor").where((F.col("node") < F.col("head.node")) & (F.col("root") != F.col("head.root")) & _within_reach(similarity))
+    return both.select("node", F.col("head.node").alias("other")).distinct().select(*_pair())
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are alike by `similarity` or more."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
@@ -422,24 +511,30 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, row_key, component): classes of texts whose sets of `shingle` words are alike by `similarity` or more.
 
-    SimHash fingerprints of the sets propose pairs (see _proposed); the sets decide on them
-    exactly, first on each text's nearest pair, then on the pairs that lead from one class
-    found so far to another, then on those of large groups' hubs, HUB_ROUNDS times. Texts of equal words (A-Z lower-cased) are one node, by a
+    Sets that are alike share one of their first shingles in an order common to all, so
+    the pairs that share one are all that there can be. SimHash fingerprints say which of
+    them come first: each text's nearest pair, then the pairs that lead from one class
+    found so far to another, then those of large groups' hubs, HUB_ROUNDS times, and at
+    last all pairs of those groups that still lead from one class to another. The sets
+    decide on each exactly, so classes are those of all links. Texts of equal words (A-Z lower-cased) are one node, by a
     64-bit hash. component is the class's smallest node; row_key identifies the row's id
     and text. Null and empty texts are one class; identical rows share a row_key. An empty
     table gives an empty result. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    rows = written(own.mapInArrow(_features(shingle), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
-    nodes = rows.select("node", "n", "fp", "anchors").dropDuplicates(["node"])
-    post = written(_anchored(nodes), "anchors")
+    context = own.sparkSession.sparkContext
+    order = context.broadcast(_order(own, shingle))
+    rows = written(own.mapInArrow(_features(shingle, similarity, order), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
+    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("row_key").alias("row_key")), "nodes")
+    post = written(_anchored(rows, nodes.select("node", "n", "fp")), "anchors")
     heads = written(_heads(post), "heads")
-    pairs = written(_proposed(nodes, post, heads), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    keys = rows.groupBy("node").agg(F.min("row_key").alias("row_key")).join(ends, "node", "left_semi")
-    texts = own.select("row_key", "text").join(keys, "row_key").dropDuplicates(["node"]).select("node", "text")
-    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node long, shingles array<long>"), "shingles")
+    pairs = written(_proposed(nodes, post, heads, similarity), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(post.where(F.col("m") > FEW).select("node")).distinct()
+    keys = written(nodes.join(ends, "node", "left_semi").select("node", "row_key"), "keys")
+    wanted = context.broadcast(_wanted(keys))
+    sets = own.select("row_key", "text").mapInArrow(_shingle_sets(shingle, wanted), "row_key binary, shingles array<long>")
+    sets = written(sets.join(keys, "row_key").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
     each = pairs.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("node"))
     nearest = each.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct()
     found = written(_alike(nearest, sets, similarity), "links")
@@ -454,9 +549,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hubs = written(_hubs(post, found, label, tried.distinct()), "hubs")
         if hubs.isEmpty():
             break
-        more = written(_alike(_toward(post, hubs, label), sets, similarity), "links")
+        more = written(_alike(_toward(post, hubs, label, similarity), sets, similarity), "links")
         tried = tried.unionByName(hubs.select("head.node"))
         if not more.isEmpty():
             found = found.unionByName(more)
             label = components(found)
+    more = written(_alike(_rest(post, label, similarity), sets, similarity), "links")
+    if not more.isEmpty():
+        label = components(found.unionByName(more))
     return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))

@@ -336,6 +336,36 @@ def test_similar_texts_against_all_pairs(spark):
     assert len(links) > 1000 and sum(got[a] != got[b] for a, b in links) <= 0.01 * len(links)
 
 
+@pytest.mark.parametrize("few", [16, 2])
+def test_similar_texts_lose_no_link(spark, monkeypatch, few):
+    """Short texts at exactly 0.8, whose fingerprints lie far apart, and groups of texts that share a passage, with no link, one, or chains."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "HUB_ROUNDS", 1)
+    rng = np.random.default_rng(15)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 9999, n)]
+    texts = []
+    for n in [8] * 150 + [13] * 50:
+        base = make(n + 1)
+        texts += [base, base[:n]]
+    for _ in range(3):
+        passage = make(60)
+        for k in range(25):
+            own = passage + make(20)
+            texts.append(own)
+            if k % 3 == 0:
+                texts += [own[:-4], own[:-8] + make(1)]
+    chain = make(100)
+    for k in range(30):
+        texts.append(chain[k * 3 :] + [f"z{x}" for x in range(k * 3)])
+    texts = [" ".join(t) for t in texts]
+    sets = shingle_sets(texts)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if (common := len(sets[a] & sets[b])) and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common)]
+    got = {r["id"]: r["component"] for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(links) > 250 and all(got[a] == got[b] for a, b in links)
+    want = parts(len(texts), *zip(*links))
+    assert len({(want[k], got[k]) for k in got}) == len(set(got.values()))
+
+
 def test_vantage_point_tree_grows_with_the_data():
     rng = np.random.default_rng(1)
     fp = np.unique(rng.integers(0, 2**63, 1 << 20, dtype=np.uint64))
