@@ -6,7 +6,9 @@ itself, for the letters it resembles, for nothing, or, if it is a mark or a spac
 the end of a word. Viterbi decoding under a character trigram model and a list of known
 words restores the likeliest words; a lexicon of words learned from labelled texts
 scores what is restored, and a table gives the probability for so many of them. Texts
-of any length are decoded. A word of digits alone is a number.
+of any length are decoded. A word of digits alone is a number. Words, trigrams and hits
+are counted over all labelled texts, by tasks and shuffles; what goes to the driver is
+bounded by frequencies, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.llm import arrays as A
-from loomflow.llm.tables import fold
-
-#: Labelled texts of the sample at most, share of toxic ones that a lexicon word is in at least, the least log odds
-#: that its counts leave, and standard errors below the estimate at which they are judged.
-SAMPLE, SHARE, ODDS, ERRORS = 12_000, 0.02, 2.0, 1.28
+from loomflow.llm.tables import fold, written
+
+#: Share of toxic texts that a lexicon word is in at least, the least log odds that its counts leave, and standard
+#: errors below the estimate at which they are judged.
+SHARE, ODDS, ERRORS = 0.02, 2.0, 1.28
+#: Words for which counts of words and trigrams are stated, where there are more of them: so the costs are the same for
+#: any number of texts, and the words and trigrams that are frequent enough for them are so many at most.
+PER = 1 << 22
+#: Distinct words or trigrams that a task holds before it sends their counts on.
+HELD = 200_000
 #: Texts whose decoding a task remembers, and the longest of them in characters; longer ones are decoded each time.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: Bytes of text that are looked at together.
@@ -39,7 +46,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = "._-*~^'`,/\\ "
 #: Costs in nats: a look-alike, a dropped separator or repetition.
 SWAP, DROP = 0.7, 0.2
-#: Times that a known word occurs at least, the cost of a word that isn't known, and of each of its letters.
+#: Times that a known word occurs at least (in PER words, if there are more), the cost of a word that isn't known, and of each of its letters.
 KNOWN, UNKNOWN, SPELLED = 3, 5.0, 0.7
 
 _ALPHA = np.zeros(256, dtype=bool)
@@ -58,22 +65,33 @@ class Letters:
     """A smoothed character trigram model, and the words it was made of."""
 
     def __init__(self, words: Counter):
-        self.three, self.two = Counter(), Counter()
-        letters = set()
+        three, two = Counter(), Counter()
         for w, n in words.items():
-            padded = "  " + w + " "
-            letters.update(w)
-            for k in range(2, len(padded)):
-                self.three[padded[k - 2 : k + 1]] += n
-                self.two[padded[k - 2 : k]] += n
-        self.size = len(letters) + 1
-        self.words = {w for w, n in words.items() if n >= KNOWN}
+            for t in _trigrams(w):
+                three[t] += n
+                two[t[:2]] += n
+        self._set(three, two, len({c for w in words for c in w}), (w for w, n in words.items() if n >= KNOWN))
+
+    @classmethod
+    def of_counts(cls, three: dict[str, float], two: dict[str, float], letters: int, known: list[str]) -> Letters:
+        """The model of counts of trigrams and of their first two characters, the number of letters, and the known words."""
+        out = cls.__new__(cls)
+        out._set(Counter(three), Counter(two), letters, known)
+        return out
+
+    def _set(self, three: Counter, two: Counter, letters: int, known) -> None:
+        self.three, self.two, self.size, self.words = three, two, letters + 1, set(known)
         self.prefixes = {w[:k] for w in self.words for k in range(1, len(w) + 1)}
 
     def cost(self, two: str, c: str) -> float:
         return -math.log((self.three[two + c] + 0.1) / (self.two[two] + 0.1 * self.size))
 
 
+def _trigrams(word: str) -> Iterator[str]:
+    padded = "  " + word + " "
+    return (padded[k : k + 3] for k in range(len(padded) - 2))
+
+
 class Decoder:
     """The likeliest words behind disguised text."""
 
@@ -188,9 +206,9 @@ def _repeats(low: np.ndarray, b: np.ndarray, l: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Lexicon, decoder and probabilities by number of hits."""
+    """Lexicon and decoder, and probabilities by number of hits if they are known."""
 
-    def __init__(self, decoder: Decoder, lexicon: dict[str, float], table: list[float]):
+    def __init__(self, decoder: Decoder, lexicon: dict[str, float], table: list[float] | None = None):
         self.decoder, self.lexicon, self.table, self.known = decoder, lexicon, table, {}
         words = [w.encode() for w in sorted(lexicon)]
         self.odds = np.array([lexicon[w] for w in sorted(lexicon)])
@@ -229,42 +247,84 @@ class Scorer:
                 self.known[text] = got
         return got
 
-    def score(self, c: A.Chunk) -> np.ndarray:
-        n, odds = self.hits(c)
-        p = np.array(self.table)[np.minimum(n, HITS).astype(np.int64)]
-        return np.clip(p + 0.01 * (1 - np.exp(-odds / 10)) * (n > 0), 0.0, 1.0)
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text, toxic) rows: how often each word stands plainly, and how many toxic and other texts have it. The null word is in all texts."""
+    plain, bad, good = Counter(), Counter(), Counter()
+
+    def sent() -> pa.RecordBatch:
+        words = list(plain.keys() | bad.keys() | good.keys())
+        columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (plain, bad, good))]
+        for c in (plain, bad, good):
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n", "bad", "good"])
+
+    for b in batches:
+        for text, label in zip(b.column(0), b.column(1).to_pylist()):
+            text = (text.as_py() or "").translate(_FOLD)
+            plain.update(_PLAIN.findall(_ROW.sub(" ", text)))
+            (bad if label else good).update({None, *_WORD.findall(text)})
+            if len(plain) + len(bad) + len(good) > HELD:
+                yield sent()
+    yield sent()
+
+
+def _drawn_out(word: str) -> bool:
+    return any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
+
+
+def _counted_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (word, n) rows: how often each trigram occurs."""
+    three = Counter()
+
+    def sent() -> pa.RecordBatch:
+        columns = [pa.array([t[:2] for t in three], pa.string()), pa.array([t[2] for t in three], pa.string()), pa.array(list(three.values()), pa.int64())]
+        three.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["two", "next", "n"])
+
+    for b in batches:
+        for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not _drawn_out(word):
+                for t in _trigrams(word):
+                    three[t] += n
+            if len(three) > HELD:
+                yield sent()
+    yield sent()
 
 
 def fit(labelled: DataFrame) -> Scorer:
-    """A scorer from (text, toxic), on SAMPLE rows at most; words in few toxic texts are no lexicon words."""
-    rows = labelled.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text", "toxic").collect()
-    y = np.array([r[1] for r in rows], dtype=np.int64)
-    words, bad, good = Counter(), Counter(), Counter()
-    for r, label in zip(rows, y):
-        text = (r[0] or "").translate(_FOLD)
-        words.update(_PLAIN.findall(_ROW.sub(" ", text)))
-        (bad if label else good).update(set(_WORD.findall(text)))
-    n_bad, n_good = int(y.sum()), int(len(y) - y.sum())
-    lexicon = {}
-    for w, n in bad.items():
-        odds = math.log((n + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1))
-        error = math.sqrt(1 / (n + 0.5) + 1 / (good[w] + 0.5))
-        if n >= max(3, SHARE * n_bad) and odds - ERRORS * error >= ODDS and len(w) > 2:
-            lexicon[w] = odds
-    plain = Counter({w: n for w, n in words.items() if not any(w[k] == w[k + 1] == w[k + 2] for k in range(len(w) - 2))})
-    scorer = Scorer(Decoder(Letters(plain)), lexicon, [0.0] * (HITS + 1))
-    texts = pa.array([r[0] or "" for r in rows], pa.string())
-    del rows, words, bad, good, plain
-    hits = np.concatenate([scorer.hits(c)[0] for c in A.chunks(texts, PART)] or [np.zeros(0)])
-    level = np.minimum(hits, HITS).astype(np.int64)
-    prior = (n_bad + 1) / (len(y) + 2)
+    """A scorer from all rows of (text, toxic), without its probabilities; words in few toxic texts are no lexicon words."""
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    words = written(labelled.select("text", "toxic").mapInArrow(_counted, "word string, n long, bad long, good long").groupBy("word").agg(*sums), "words")
+    _, n_bad, n_good = words.where("word is null").select("n", "bad", "good").first() or (0, 0, 0)
+    words = words.where("word is not null")
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    enough = (F.col("bad") >= max(3, SHARE * n_bad)) & (odds - ERRORS * error >= ODDS) & (F.length("word") > 2)
+    lexicon = {r[0]: r[1] for r in words.where(enough).select("word", odds).collect()}
+    total = words.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, PER / max(1, total))
+    plain = words.where("n > 0").select("word", "n")
+    known = [w for (w,) in plain.where(F.col("n") * share >= KNOWN).select("word").collect() if not _drawn_out(w)]
+    trigrams = written(plain.mapInArrow(_counted_trigrams, "two string, next string, n long").groupBy("two", "next").agg(sums[0]), "trigrams")
+    stated = F.col("n") * share
+    three = {r[0] + r[1]: r[2] for r in trigrams.where(stated >= 1).select("two", "next", stated).collect()}
+    two = dict(tuple(r) for r in trigrams.groupBy("two").agg(sums[0]).where(stated >= 1).select("two", stated).collect())
+    letters = trigrams.where(F.col("next") != " ").select("next").distinct().count()
+    return Scorer(Decoder(Letters.of_counts(three, two, letters, known)), lexicon)
+
+
+def probabilities(level: dict[int, tuple[int, int]]) -> list[float]:
+    """The probability that a text is toxic by its hits, from (texts, toxic texts) of each number of hits."""
+    n, bad = (sum(x) for x in zip((0, 0), *level.values()))
+    prior = (bad + 1) / (n + 2)
+    table = [0.0] * (HITS + 1)
     for k in range(HITS + 1):
-        own = y[level == k]
-        scorer.table[k] = float((own.sum() + 2 * prior) / (len(own) + 2)) if len(own) else scorer.table[max(0, k - 1)]
+        own, own_bad = level.get(k, (0, 0))
+        table[k] = (own_bad + 2 * prior) / (own + 2) if own else table[max(0, k - 1)]
     for k in range(1, HITS + 1):  # more hits are never less toxic
-        scorer.table[k] = max(scorer.table[k], scorer.table[k - 1])
-    scorer.known.clear()
-    return scorer
+        table[k] = max(table[k], table[k - 1])
+    return table
 
 
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -277,22 +337,26 @@ _ROW = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, threshold: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted) of each whole text.
 
-    Learns from labelled rows whose crc32(id as text) mod `folds` is not `held_fold`, at
-    most SAMPLE of them. Null and empty texts are scored as texts without hits. A null id
-    is never learned from and counts as not held out; repeated labels of an id count once
-    each. Without labels every score is the prior. Other columns are ignored.
+    Learns from all labelled rows whose crc32(id as text) mod `folds` is not `held_fold`.
+    Null and empty texts are scored as texts without hits. A null id is never learned from
+    and counts as not held out; repeated labels of an id count once each. Without labels
+    every score is the prior. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held = F.coalesce(fold(F.col("id"), folds) == held_fold, F.lit(False))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    chosen = known.where(~held).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # its size is bounded, so it is broadcast
-    scorer = fit(own.join(F.broadcast(chosen), "id"))
-    shared = own.sparkSession.sparkContext.broadcast(scorer)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col).cast("int") != 0).alias("toxic"))
+    known = known.where(~held).hint("shuffle_hash")  # labels are small beside texts, which so need no sort
+    shared = own.sparkSession.sparkContext.broadcast(fit(own.where(~held).join(known, "id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shared.value.score(c) for c in A.chunks(b.column(1), PART)]
-            score = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
-
-    return own.withColumn("held_out", held).mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+            got = [shared.value.hits(c) for c in A.chunks(b.column(1), PART)]
+            n, odds = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(odds)], names=["id", "held_out", "n", "odds"])
+
+    hits = written(own.withColumn("held_out", held).mapInArrow(run, "id long, held_out boolean, n long, odds double"), "hits")
+    level = F.least("n", F.lit(HITS)).cast("int")
+    counts = hits.where("not held_out").select("id", level.alias("level")).join(known, "id").groupBy("level").agg(F.count("*"), F.count_if("toxic")).collect()
+    table = F.array(*[F.lit(p) for p in probabilities({k: (n, bad) for k, n, bad in counts})])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), table[level] + F.when(F.col("n") > 0, 0.01 * (1 - F.exp(-F.col("odds") / 10))).otherwise(0.0)))
+    return hits.select(F.col("id").alias(id_col), "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -613,6 +613,18 @@ def test_toxicity_edges(spark, docs, nothing):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    ids = spark.range(18_000).where((F.crc32(F.col("id").cast("string").cast("binary")) % 4) != 2)
+    learned = [r[0] for r in ids.orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(learned[12_500::2])  # none among the first 12,500 by hash
+    rows = [(k, "a plain river and a house" + " grolmf" * (k in bad)) for k in range(18_000)] + [(20_000, "a river and a grolmf"), (20_001, "a river")]
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(18_000)], "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels))
+    n, prior = len(bad), (len(bad) + 1) / (len(learned) + 2)
+    assert abs(got[20_001]["score"] - 2 * prior / (len(learned) - n + 2)) < 1e-12
+    assert 0 <= got[20_000]["score"] - (n + 2 * prior) / (n + 2) < 0.01 and got[20_000]["predicted"] == 1
+
+
 def test_fill_in_middle_against_brute_force(docs, nothing):
     rows = {r["doc_id"]: r for r in fill_in_middle.fill_in_middle(docs).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()}
     for k, text, *_ in ROWS:
