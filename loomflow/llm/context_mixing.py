@@ -26,8 +26,11 @@ LIMIT = 12.0
 DAMPING = 512.0
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+def _stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Stretched predictions of counts; zero where nothing was counted, and only there."""
+    out = np.log((np.maximum(n1, 0) + np.float32(0.05)) / (np.maximum(n0, 0) + np.float32(0.05)))
+    out[(out == 0) & (n0 + n1 > 0)] = 1e-30
+    return out
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -47,47 +50,57 @@ class Words:
             self.bytes[:n, i] = buf[starts[self.order[:n]] + i]
 
     def bits(self):
-        """(number of words, place, slots of each order, bit) for each bit of each place, over the words that reach it."""
+        """(place, edges, slots of each order, node, bit) for each bit of each place, over the beginnings that its words have, each once.
+
+        `edges` has for each word that reaches the place which of the beginnings is its own.
+        """
         n_all, longest = self.bytes.shape
         whole = np.full(n_all, np.uint64(0x1234567), dtype=np.uint64)
+        shared = True
         for i in range(longest):
-            n = int(np.searchsorted(-self.sizes, -(i + 1), side="right"))
-            byte = self.bytes[:n, i].astype(np.uint64)
+            reach = int(np.searchsorted(-self.sizes, -(i + 1), side="right"))
+            byte = self.bytes[:reach, i].astype(np.uint64)
+            after = A.mix(whole[:reach] * np.uint64(0x100000001B3) + byte + np.uint64(1))
+            rows = edges = np.arange(reach)
+            if shared:
+                _, rows, edges = np.unique(after, return_index=True, return_inverse=True)
+                shared = len(rows) < reach
+            n, byte = len(rows), byte[rows]
             contexts = []
             for k, order in enumerate(ORDERS):
                 if order == WHOLE:
-                    h = whole[:n]
+                    h = whole[rows]
                 else:
                     h = np.full(n, np.uint64(i + 1 if i < order else 0), dtype=np.uint64)
                     for b in range(max(0, i - order), i):
-                        h = h * np.uint64(0x100) + self.bytes[:n, b] + np.uint64(1)
+                        h = h * np.uint64(0x100) + self.bytes[rows, b] + np.uint64(1)
                 contexts.append(A.mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)))
             node = np.ones(n, dtype=np.uint64)
             for j in range(7, -1, -1):
-                slots = np.empty((len(ORDERS), n), dtype=np.int64)
+                slots = np.empty((len(ORDERS), n), dtype=np.uint64)
+                step = node * np.uint64(0xD6E8FEB86659FD93)
                 for k, h in enumerate(contexts):
-                    x = (h + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
-                    slots[k] = (x >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64) + OFFSETS[k]
+                    x = slots[k]
+                    np.add(h, step, out=x)
+                    x *= np.uint64(0xFF51AFD7ED558CCD)
+                    x >>= np.uint64(64 - SLOT_BITS[k])
+                    x += np.uint64(OFFSETS[k])
                 bit = (byte >> np.uint64(j)) & np.uint64(1)
-                yield n, i, slots, node.astype(np.int64), bit.astype(np.int64)
+                yield i, edges, slots.view(np.int64), node.view(np.int64), bit.view(np.int64)
                 node = node * np.uint64(2) + bit
-            whole[:n] = A.mix(whole[:n] * np.uint64(0x100000001B3) + byte + np.uint64(1))
+            whole[:reach] = after
 
 
 def count(batch: Words, weights: np.ndarray, table: np.ndarray) -> None:
     """Adds the words' bits to the counts (2, SLOTS)."""
-    w = weights[batch.order]
-    at: list[list[np.ndarray]] = [[] for _ in ORDERS]
-    each = []
-    for n, _, slots, _, bit in batch.bits():
-        each.append(w[:n])
-        for k, lo in enumerate(OFFSETS[:-1]):
-            at[k].append((slots[k] - lo + (bit << SLOT_BITS[k])).astype(np.int32))
-    if each:
-        own = np.concatenate(each)
-        for k, lo in enumerate(OFFSETS[:-1]):
-            got = np.bincount(np.concatenate(at[k]), weights=own, minlength=2 << SLOT_BITS[k])
-            table[:, lo : OFFSETS[k + 1]] += got.reshape(2, -1).astype(table.dtype)
+    w, last, own = weights[batch.order].astype(np.float64), -1, None
+    flat = table.reshape(-1)
+    for i, edges, slots, _, bit in batch.bits():
+        if i != last:
+            last, own = i, np.bincount(edges, weights=w[: len(edges)]).astype(table.dtype)
+        at = slots + bit * SLOTS
+        for k in range(len(ORDERS)):
+            np.add.at(flat, at[k], own)
 
 
 class Mixer:
@@ -100,36 +113,47 @@ class Mixer:
         self.seen = np.zeros((PLACES, 256, STEPS))
         self.ones = np.zeros((PLACES, 256, STEPS))
         self.mass = 0.0
+        self.made: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": {}}
 
-    def inputs(self, table: np.ndarray, slots: np.ndarray, i: int, left_out: np.ndarray | None):
-        n0, n1 = table[0][slots].astype(np.float64), table[1][slots].astype(np.float64)
-        if left_out is not None:  # one occurrence of the word itself
-            n1 -= left_out
-            n0 -= 1 - left_out
-            np.maximum(n0, 0, out=n0), np.maximum(n1, 0, out=n1)
-        total = n0 + n1
-        st = _stretch((n1 + 0.05) / (total + 0.1))
-        gate = (total > 0).sum(axis=0) * PLACES + min(i, PLACES - 1)
-        return st, gate
-
-    def predict(self, table: np.ndarray, slots: np.ndarray, i: int, left_out: np.ndarray | None = None):
-        st, gate = self.inputs(table, slots, i, left_out)
-        x = np.clip(np.einsum("kn,nk->n", st, self.weights[gate]), -LIMIT, LIMIT)
-        return st, gate, x
+    def predictions(self, table: np.ndarray, left_out: bool) -> np.ndarray:
+        """Stretched predictions of all slots, made once for a table; with an occurrence left out, those without a zero, then those without a one."""
+        if left_out not in self.made or self.made[left_out][0] is not table:
+            n0, n1 = table
+            self.made[left_out] = table, np.concatenate([_stretched(n0 - 1, n1), _stretched(n0, n1 - 1)]) if left_out else _stretched(n0, n1)
+        return self.made[left_out][1]
+
+    @staticmethod
+    def predict(weights: np.ndarray, st: np.ndarray, i: int):
+        """(gate, stretched prediction) from those of all orders, by weights (orders, GATES)."""
+        gate = (st != 0).sum(axis=0, dtype=np.int8).astype(np.intp)
+        gate *= PLACES
+        gate += min(i, PLACES - 1)
+        x = weights[0].take(gate) * st[0]
+        for k in range(1, len(ORDERS)):
+            x += weights[k].take(gate) * st[k]
+        return gate, np.clip(x, -LIMIT, LIMIT, out=x)
 
     @staticmethod
     def step(x: np.ndarray) -> np.ndarray:
-        return np.clip(((x + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64), 0, STEPS - 1)
+        return ((x + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64).clip(0, STEPS - 1)
 
     def learn(self, batch: Words, weights: np.ndarray, table: np.ndarray, rate: float) -> None:
         """One online pass over a batch; each word weighs as often as it occurs."""
         w = weights[batch.order].astype(np.float64)
-        for n, i, slots, node, bit in batch.bits():
-            st, gate, x = self.predict(table, slots, i, bit)
-            own = w[:n]
-            at = (min(i, PLACES - 1), node, self.step(x))
-            np.add.at(self.seen, at, own)
-            np.add.at(self.ones, at, own * bit)
+        stretched = self.predictions(table, True)
+        last, own = -1, None
+        for i, edges, slots, node, bit in batch.bits():
+            if i != last:
+                last, own = i, np.bincount(edges, weights=w[: len(edges)])
+            st = stretched.take(slots + bit * SLOTS)
+            gate, x = self.predict(self.weights.T.astype(np.float32), st, i)
+            place = min(i, PLACES - 1)
+            at = node * STEPS + self.step(x)
+            np.add.at(self.seen[place].reshape(-1), at, own)
+            np.add.at(self.ones[place].reshape(-1), at, own * bit)
             err = (bit - _squash(x)) * own
             norm = np.bincount(gate, weights=own, minlength=GATES) + DAMPING
             for k in range(len(ORDERS)):
@@ -138,14 +162,18 @@ class Mixer:
 
     def log10(self, batch: Words, table: np.ndarray) -> np.ndarray:
         """log10 probability of each word, in the order given."""
-        out = np.zeros(len(batch.order))
-        for n, i, slots, node, bit in batch.bits():
-            _, _, x = self.predict(table, slots, i)
-            p = _squash(x)
-            at = (min(i, PLACES - 1), node, self.step(x))
-            refined = (self.ones[at] + 8 * p) / (self.seen[at] + 8)
-            p = np.clip((p + refined) / 2, 1e-7, 1 - 1e-7)
-            out[:n] += np.log10(np.where(bit == 1, p, 1 - p))
+        stretched, weights = self.predictions(table, False), self.weights.T.astype(np.float32)
+        trust, ones = ((y / (self.seen + 8)).astype(np.float32).reshape(PLACES, -1) for y in (8, self.ones))
+        out, product, own, last = np.zeros(len(batch.order)), np.ones(0), np.zeros(0, np.intp), -1
+        for i, edges, slots, node, bit in batch.bits():
+            if i != last:
+                out[: len(own)] += np.log10(product)[own]
+                product, own, last = np.ones(len(bit)), edges, i
+            _, x = self.predict(weights, stretched.take(slots), i)
+            at, place = node * STEPS + self.step(x), min(i, PLACES - 1)
+            p = (_squash(x) * (1 + trust[place].take(at)) + ones[place].take(at)) / 2
+            product *= np.where(bit == 1, p, 1 - p).clip(1e-7, 1 - 1e-7)
+        out[: len(own)] += np.log10(product)[own]
         back = np.empty_like(out)
         back[batch.order] = out
         return back
