@@ -8,8 +8,9 @@ were never counted are taken to be spread evenly over the classes, as hashes are
 Words are gathered in blocks of some millions, each distinct word once, and sent to
 buckets by hash; a bucket counts its words and returns, for each block, what its
 words' counts and probabilities are. A word in a third of all documents is one entry
-a block. The model's counts come from all training words; its tables have a fixed
-size, and so has what the driver sums.
+a block. The model's counts come from all training words, the weights that mix contexts
+from a step of Newton's method over all training tokens, whose sums tasks make; its
+tables have a fixed size, and so has what the driver gets.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ from loomflow.llm.tables import fold, fold_of, written
 BLOCK_WORDS, BUCKET_BYTES, BATCH, SLICE = 1 << 20, 24 << 20, 1 << 13, 1 << 14
 #: Distinct words of a task that trains the model, and such tasks at most.
 TASK_WORDS, MODEL_TASKS = 200_000, 512
-#: Training texts whose tokens fit the weights that mix contexts, tokens of each at most; counts cover all texts.
-SAMPLE, SAMPLE_TOKENS = 1_000, 1 << 12
+#: Bytes of a short word, and short words that are looked at together: beginnings that they share are worked out once.
+SHORT, TOGETHER = 32, 1 << 15
 #: The token that ends a text.
 END_TOKEN = b"\n"
 VOCAB, QUERY, POSTINGS = 0, 1, 2
@@ -68,7 +70,9 @@ class _Block:
         low = A.LOWER[c.buf]
         s, e, first = A.word_bounds(~A.SPACE[low], c.offsets)
         h = A.word_hash(low, s, e)
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        back, u = pd.factorize(h)
+        at = np.empty(len(u), dtype=np.int64)
+        at[back[::-1]] = np.arange(len(h) - 1, -1, -1)
         sizes = (e - s)[at]
         self.docs.append((ids, null, held, np.diff(first), u, _take(low, s[at], sizes), sizes, back, np.diff(c.offsets)))
         self.tokens.append(_closed(h, first))
@@ -202,11 +206,29 @@ def _model_batches(b: pa.RecordBatch) -> Iterator[tuple[M.Words, np.ndarray]]:
             yield M.Words(buf, starts[k : k + BATCH], sizes[k : k + BATCH]), n[k : k + BATCH]
 
 
+def _together(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Words in batches: short ones of like beginnings together, long ones by their size."""
+    head = np.zeros(len(sizes), dtype=np.uint64)
+    for i in range(8):
+        head <<= np.uint64(8)
+        own = np.flatnonzero(sizes > i)
+        head[own] += buf[starts[own] + i]
+    order = np.lexsort((head, np.where(sizes > SHORT, sizes, 0)))
+    short = int((sizes <= SHORT).sum())
+    for lo, hi, n in ((0, short, TOGETHER), (short, len(order), BATCH)):
+        for k in range(lo, hi, n):
+            yield order[k : min(hi, k + n)]
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((2, M.SLOTS), dtype=np.float32)
+    table = np.zeros((2, M.SLOTS))
     for b in batches:
-        for words, n in _model_batches(b):
-            M.count(words, n, table)
+        for w, c in zip(b.column("words"), b.column("counts")):
+            buf, sizes = _unpacked(w.as_py())
+            n, starts = unplanes(memoryview(c.as_py()), len(sizes), 6).astype(np.float64), np.cumsum(sizes) - sizes
+            for rows in _together(buf, starts, sizes):
+                M.count(M.Words(buf, starts[rows], sizes[rows]), n[rows], table)
+    table = table.astype(np.float32)
     for k in range(0, M.SLOTS, SLICE):
         part = table[:, k : k + SLICE]
         if part.any():
@@ -245,33 +267,42 @@ class Model:
         return np.log10(spelled + self.known * counts / max(1, self.n_tokens)) - np.log10(self.mass[T.classes(hashes)])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, tokens): a run of each text's tokens, from a place that the key picks in the whole text."""
+def _learned(learner):
+    """The sums of a task's training texts, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = T.Sums()
+        for b in batches:
+            for c in A.chunks(b.column(0)):
+                low = A.LOWER[c.buf]
+                s, e, first = A.word_bounds(~A.SPACE[low], c.offsets)
+                learner.value.learn(_closed(A.word_hash(low, s, e), first), sums)
+        vector = sums.vector()
+        for k in range(0, len(vector), SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(vector[k : k + SLICE].tobytes(), 1)], pa.binary())], names=["slice", "sums"])
+
+    return run
+
+
+def _sums_sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0
     for b in batches:
-        keys = b.column(0).to_pylist()
-        for c in A.chunks(b.column(1)):
-            low = A.LOWER[c.buf]
-            s, e, first = A.word_bounds(~A.SPACE[low], c.offsets)
-            tokens = _closed(A.word_hash(low, s, e), first)
-            ends = np.cumsum(np.diff(first) + 1)
-            out = []
-            for row, lo, hi in zip(c.rows, np.append(0, ends[:-1]), ends):
-                at = lo + keys[row] % max(1, hi - lo - SAMPLE_TOKENS + 1)
-                out.append(tokens[at : min(hi, at + SAMPLE_TOKENS)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in c.rows], pa.int64()), pa.array(out, pa.binary())], names=["key", "tokens"])
-
-
-def sample(own: DataFrame, n_docs: int, parts: int, out_fold: int) -> list[np.ndarray]:
-    """Tokens of SAMPLE training texts, picked by a hash of the row; equal rows count once. A filter by hash bounds what tasks send."""
-    key = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62))
-    most = (1 << 62) * min(1.0, 2 * SAMPLE / max(1, n_docs))
-    rows = own.where((fold(F.col("id"), parts) != out_fold) & (key < F.lit(int(most)))).select(key.alias("key"), "text").dropDuplicates(["key"])
-    got = rows.mapInArrow(_sampled, "key long, tokens binary").orderBy("key").limit(SAMPLE).collect()
-    return [np.frombuffer(r["tokens"], np.uint64) for r in got]
-
-
-def train(table_of_counts: DataFrame, sampled: list[np.ndarray]) -> Model:
-    """The model of a table of counts; the driver gets tables of a fixed size and one mixer from each task.
+        for x in b.column("sums"):
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "sums"])
+
+
+def mixed(texts: DataFrame, counted: np.ndarray) -> T.Mixer:
+    """The mixer over tokens: from fixed weights a step of Newton's method over all tokens of `texts`, and the corrections that they call for."""
+    learner = texts.sparkSession.sparkContext.broadcast(T.Learner(counted, _END_HASH, T.START))
+    slices = texts.mapInArrow(_learned(learner), "slice long, sums binary").groupBy("slice").applyInArrow(_sums_sum, "slice long, sums binary").orderBy("slice").collect()
+    learner.destroy()
+    sums = T.Sums.of_vector(np.concatenate([np.frombuffer(r["sums"], np.float64) for r in slices])) if slices else T.Sums()
+    return T.Mixer.of_sums(counted, _END_HASH, T.stepped(T.START, sums), sums)
+
+
+def train(table_of_counts: DataFrame, texts: DataFrame) -> Model:
+    """The model of a table of counts and of the training texts; the driver gets tables of a fixed size and one mixer from each task.
 
     Tasks get whole buckets in a fixed order, so the model does not depend on how files were dealt to tasks.
     """
@@ -281,7 +312,7 @@ def train(table_of_counts: DataFrame, sampled: list[np.ndarray]) -> Model:
     for r in table_of_counts.where("slice is not null").select("slice", "counts").collect():
         part = np.frombuffer(zlib.decompress(r["counts"]), np.float32).reshape(2, -1)
         counted[:, r["slice"] * SLICE : r["slice"] * SLICE + part.shape[1]] = part
-    tokens = T.Mixer(counted, sampled, _END_HASH)
+    tokens = mixed(texts, counted)
     n_words, n_tokens, n_once = vocabulary.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_once"), F.lit(0))).first()
     table = np.zeros((2, M.SLOTS), dtype=np.float32)
     tasks = max(1, min(MODEL_TASKS, n_words // TASK_WORDS))
@@ -393,9 +424,7 @@ def _answer(model):
         c = np.where(known[where] == u, n[where], 0) if len(known) else np.zeros(len(u), np.int64)
         score = np.zeros(len(u))
         m = model.value
-        by_size = np.argsort(sizes[at], kind="stable")
-        for k in range(0, len(u), BATCH):
-            rows = by_size[k : k + BATCH]
+        for rows in _together(buf, starts[at], sizes[at]):
             score[rows] = m.log10(M.Words(buf, starts[at[rows]], sizes[at[rows]]), c[rows], u[rows])
         done = 0
         for key, _, s in asked:
@@ -450,11 +479,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total, n_docs = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
     counted = own.mapInArrow(_count_words(buckets, folds, held_fold), COUNTS)
     vocabulary = written(counted.repartitionById(buckets, F.col("dest")).mapInArrow(_summed, VOCABULARY), "vocabulary")
-    model = train(vocabulary, sample(own, n_docs, folds, held_fold))
+    model = train(vocabulary, own.where(fold(F.col("id"), folds) != held_fold).select("text"))
     end = np.frombuffer(END_TOKEN, np.uint8)
     words = vocabulary.where("slice is null")
     end_row = words.where(F.col("dest") == int(_END_HASH % np.uint64(buckets))).select("words", "counts").mapInArrow(_end_count, "n long").agg(F.sum("n")).first()[0] or 0

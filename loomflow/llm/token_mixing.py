@@ -25,8 +25,18 @@ GATES = 8 * LEVELS * LEVELS
 LIMIT = 12.0
 #: Times a context was seen from which its level of trust is 1, 2 and 3.
 SEEN = (0.5, 4.0, 32.0)
-#: Tokens of a step of learning, of a slab of scoring; passes over the sample; rate.
-STEP_TOKENS, SLAB, PASSES, RATE = 1 << 11, 1 << 14, 3, 0.02
+#: Tokens of a slab of learning and of scoring.
+SLAB = 1 << 14
+#: What the weights that learning begins with weigh against what is seen, and the most that a weight becomes; those weights, by level.
+PRIOR, MOST = 4.0, 4.0
+START = np.tile([
+    [0.1, 0.3, 0.5, 0.2], [0.2, 0.3, 0.3, 0.2], [0.2, 0.3, 0.1, 0.2], [0.2, 0.3, 0.2, 0.2], [0.3, 0.2, 0.5, 0.2], [0.3, 0.2, 0.3, 0.2], [0.3, 0.1, 0.2, 0.2], [0.3, 0.1, 0.2, 0.2],
+    [0.4, 0.2, 0.5, 0.2], [0.3, 0.1, 0.2, 0.2], [0.5, 0.2, 0.1, 0.4], [0.3, 0.5, 0.1, 0.5], [0.2, 0.3, 0.5, 0.1], [0.4, 0.3, 0.2, 0.2], [0.4, 0.4, 0.2, 0.3], [0.2, 0.4, 0.4, 0.3],
+], (8, 1))
+#: Steps where all is learned in one process.
+STEPS_OF_ONE = 3
+#: Pairs of contexts, of which the second derivatives are.
+PAIRS = [(k, m) for k in range(CONTEXTS) for m in range(k, CONTEXTS)]
 #: Tokens whose counts are added at once.
 COUNT_SLAB = 1 << 19
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -98,19 +108,107 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _terms(table: np.ndarray, own: np.ndarray, slots: np.ndarray, groups: np.ndarray | None, j: int, width: int):
+    """(groups, their packed predictions at the slots): a group is one line of memory and holds four bits' nodes."""
+    if j % 4 == 0:
+        groups = table.reshape(-1, width).take(slots >> 4, axis=0).reshape(CONTEXTS, -1)
+    return groups, groups.take(own + (slots[0] & 15), axis=1)
+
+
+class Sums:
+    """What a step of Newton's method over all training tokens needs, at given weights: for each gate the gradient of the
+    likelihood and its second derivatives, and how often a bit was zero and one where it was predicted so. Sums of a fixed size."""
+
+    def __init__(self):
+        self.first, self.second = np.zeros((CONTEXTS, GATES)), np.zeros((len(PAIRS), GATES))
+        self.times = np.zeros((2 * CLASSES, STEPS, 2), dtype=np.int64)
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in vars(self).values()]).astype(np.float64)
+
+    @classmethod
+    def of_vector(cls, vector: np.ndarray) -> Sums:
+        out, at = cls(), 0
+        for own in vars(out).values():
+            own[...] = vector[at : at + own.size].reshape(own.shape)
+            at += own.size
+        return out
+
+
+class Learner:
+    """Predictions of all slots without the occurrence that is learned from, and weights from which a step begins."""
+
+    def __init__(self, table: np.ndarray, end: np.uint64, weights: np.ndarray):
+        self.end, self.weights = end, weights
+        self.packed = np.stack([np.stack([Mixer._packed(np.maximum(zeros - 1, 0), ones), Mixer._packed(zeros, np.maximum(ones - 1, 0))]) for zeros, ones in (nodes(counts) for counts in table)])
+        self.packed = self.packed.reshape(2, 2, -1, 16).transpose(0, 2, 1, 3).copy()  # both of a group beside each other
+
+    def learn(self, tokens: np.ndarray, sums: Sums) -> None:
+        """Adds documents end to end."""
+        found, cls = contexts(tokens, self.end), classes(tokens)
+        for k in range(0, len(tokens), SLAB):
+            self._learn(found[:, k : k + SLAB], cls[k : k + SLAB], sums)
+
+    def _learn(self, found: np.ndarray, cls: np.ndarray, sums: Sums) -> None:
+        weights = (self.weights.reshape(8, LEVELS * LEVELS, CONTEXTS) / 256).astype(np.float32).transpose(0, 2, 1).copy()
+        own, groups = np.arange(len(cls)) << 5, None
+        for half, j, slots, bit in bits(found, cls):
+            groups, got = _terms(self.packed[half], own + (bit << 4), slots, groups, j, 32)
+            gate = ((got[1] & 3) * np.int16(LEVELS) + (got[2] & 3)).astype(np.intp)
+            st = (got >> 2).astype(np.float32)
+            x = weights[j, 0].take(gate) * st[0]
+            for k in range(1, CONTEXTS):
+                x += weights[j, k].take(gate) * st[k]
+            np.clip(x, -LIMIT, LIMIT, out=x)
+            at = (((slots[0] & (CLASSES - 1)) + half * CLASSES) * STEPS + Mixer._step(x) << 1) + bit
+            np.add.at(sums.times.reshape(-1), at, 1)
+            p = _squash(x)
+            st *= np.float32(1 / 256)
+            err, curve = bit - p, p * (1 - p)
+            gates = slice(j * LEVELS * LEVELS, (j + 1) * LEVELS * LEVELS)
+            for k in range(CONTEXTS):
+                sums.first[k, gates] += np.bincount(gate, weights=err * st[k], minlength=LEVELS * LEVELS)
+            bent = curve * st
+            for n, (k, m) in enumerate(PAIRS):
+                sums.second[n, gates] += np.bincount(gate, weights=bent[k] * st[m], minlength=LEVELS * LEVELS)
+
+
+def stepped(weights: np.ndarray, sums: Sums) -> np.ndarray:
+    """The weights after a step, toward START where little was seen; rounded, so that the order of sums doesn't matter."""
+    out = np.empty_like(weights)
+    for g in range(GATES):
+        bend = np.zeros((CONTEXTS, CONTEXTS))
+        for (k, m), x in zip(PAIRS, sums.second[:, g]):
+            bend[k, m] = bend[m, k] = x
+        out[g] = weights[g] + np.linalg.solve(bend + PRIOR * np.eye(CONTEXTS), sums.first[:, g] + PRIOR * (START[g] - weights[g]))
+    return np.rint(out.clip(-MOST, MOST) * 4096) / 4096
+
+
 class Mixer:
     """Stretched predictions of each slot, gated weights and final corrections, all of a fixed size."""
 
-    def __init__(self, table: np.ndarray, sample: list[np.ndarray], end: np.uint64):
-        self.end = end
-        self.weights = np.full((GATES, CONTEXTS), 0.3)
-        self.seen, self.ones = np.zeros((2 * CLASSES, STEPS)), np.zeros((2 * CLASSES, STEPS))
-        tokens = np.concatenate(sample) if sample else np.zeros(0, np.uint64)
-        trees = [nodes(counts) for counts in table]
-        for last in [False] * (PASSES - 1) + [True]:
-            for k in range(0, len(tokens), STEP_TOKENS):
-                self._learn(tokens[k : k + STEP_TOKENS], trees, last)
-        self.packed = np.stack([np.concatenate([self._pack(zeros[k : k + (1 << 18)].astype(np.float64), ones[k : k + (1 << 18)].astype(np.float64)) for k in range(0, SLOTS, 1 << 18)]) for zeros, ones in trees])
+    def __init__(self, table: np.ndarray, texts: list[np.ndarray], end: np.uint64):
+        """Learned by some steps over texts of tokens, in one process."""
+        weights, sums = START, Sums()
+        for _ in range(STEPS_OF_ONE if texts else 0):
+            learner, sums = Learner(table, end, weights), Sums()
+            learner.learn(np.concatenate(texts), sums)
+            weights = stepped(weights, sums)
+        self._set(table, end, weights, sums)
+
+    @classmethod
+    def of_sums(cls, table: np.ndarray, end: np.uint64, weights: np.ndarray, sums: Sums) -> Mixer:
+        out = cls.__new__(cls)
+        out._set(table, end, weights, sums)
+        return out
+
+    def _set(self, table: np.ndarray, end: np.uint64, weights: np.ndarray, sums: Sums) -> None:
+        self.end, self.weights, self.seen, self.ones = end, weights, sums.times.sum(axis=2).astype(np.float64), sums.times[:, :, 1].astype(np.float64)
+        self.packed = np.stack([self._packed(zeros, ones) for zeros, ones in (nodes(counts) for counts in table)])
+
+    @classmethod
+    def _packed(cls, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        return np.concatenate([cls._pack(zeros[k : k + (1 << 18)].astype(np.float64), ones[k : k + (1 << 18)].astype(np.float64)) for k in range(0, SLOTS, 1 << 18)])
 
     @staticmethod
     def _inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +223,6 @@ class Mixer:
         st, level = cls._inputs(n0, n1)
         return (np.rint(st * 256).astype(np.int16) << 2) | level.astype(np.int16)
 
-    def _learn(self, tokens: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]], last: bool) -> None:
-        """One online step; a token's own occurrence is taken out of the counts first."""
-        for half, j, slots, bit in bits(contexts(tokens, self.end), classes(tokens)):
-            n0, n1 = (n[slots].astype(np.float64) for n in trees[half])
-            st, level = self._inputs(np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0))
-            gate = (j * LEVELS + level[1]) * LEVELS + level[2]
-            x = np.einsum("kn,nk->n", st, self.weights[gate]).clip(-LIMIT, LIMIT)
-            if last:
-                at = (slots[0] + half * CLASSES, self._step(x))
-                np.add.at(self.seen, at, 1)
-                np.add.at(self.ones, at, bit)
-            err = bit - _squash(x)
-            norm = np.bincount(gate, minlength=GATES) + 8.0
-            for k in range(CONTEXTS):
-                self.weights[:, k] += RATE * np.bincount(gate, weights=err * st[k], minlength=GATES) / norm
-
     @staticmethod
     def _step(x: np.ndarray) -> np.ndarray:
         return ((x + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64).clip(0, STEPS - 1)
@@ -158,9 +240,7 @@ class Mixer:
         own = np.arange(len(cls)) << 4
         groups = None
         for half, j, slots, bit in bits(found, cls):
-            if j % 4 == 0:  # a group is one line of memory and holds four bits' nodes
-                groups = self.packed[half].reshape(-1, 16).take(slots >> 4, axis=0).reshape(CONTEXTS, -1)
-            got = groups.take(own + (slots[0] & 15), axis=1)
+            groups, got = _terms(self.packed[half], own, slots, groups, j, 16)
             gate = (got[1] & 3) * np.int16(LEVELS) + (got[2] & 3)
             st = (got >> 2).astype(np.float32)
             x = weights[j, 0].take(gate) * st[0]

@@ -232,6 +232,23 @@ def test_token_mixer_is_a_distribution_that_reads_the_words_before():
     assert forward > mixer.log10(np.array([*text[::-1], end], np.uint64)).sum() + 3
 
 
+def test_token_mixer_learns_from_every_training_text(spark):
+    """Sums of all tokens of all tasks are those of one process: more texts than 1,000, one of them longer than 4,096 tokens."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 12) % 300) for _ in range(1_500)] + [" ".join(f"w{x}" for x in rng.zipf(1.4, 9_000) % 300)]
+    chunk = next(lm_scoring.A.chunks(lm_scoring.pa.array(texts), 1 << 62))
+    s, e, first = lm_scoring.A.word_bounds(~lm_scoring.A.SPACE[chunk.buf], chunk.offsets)
+    tokens, end = lm_scoring._closed(lm_scoring.A.word_hash(chunk.buf, s, e), first), lm_scoring._END_HASH
+    table, sums = np.zeros((2, token_mixing.SLOTS), np.float32), token_mixing.Sums()
+    token_mixing.count(tokens, end, table)
+    token_mixing.Learner(table, end, token_mixing.START).learn(tokens, sums)
+    mixer = lm_scoring.mixed(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), table)
+    assert mixer.seen.sum() == 8 * len(tokens) == 8 * (1_500 * 13 + 9_001)
+    assert (mixer.weights == token_mixing.stepped(token_mixing.START, sums)).all() and (mixer.ones == sums.times[:, :, 1]).all()
+    begun, fresh = token_mixing.Mixer.of_sums(table, end, token_mixing.START, sums), rng.permutation(tokens)
+    assert mixer.log10(fresh).sum() > begun.log10(fresh).sum()
+
+
 def test_lm_scoring_is_the_same_however_rows_are_dealt(spark):
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 500)) for k in range(120)]
