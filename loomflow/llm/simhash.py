@@ -387,11 +387,15 @@ def _wanted(keys: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+def _wanted_rows(b: pa.RecordBatch, wanted) -> pa.RecordBatch:
+    head = np.array([int.from_bytes(x[: MAP_BITS // 8], "big") for x in b.column(0).to_pylist()], dtype=np.int64)
+    return b.filter(pa.array((wanted.value[head >> 3] >> (7 - (head & 7))) & 1 == 1))
+
+
 def _shingle_sets(shingle: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            head = np.array([int.from_bytes(x[: MAP_BITS // 8], "big") for x in b.column(0).to_pylist()], dtype=np.int64)
-            b = b.filter(pa.array((wanted.value[head >> 3] >> (7 - (head & 7))) & 1 == 1))
+            b = _wanted_rows(b, wanted)
             for c in A.chunks(b.column(1), SHINGLE_BYTES):
                 h, doc, _ = _shingle_hashes(c, shingle)
                 at = np.searchsorted(doc, np.arange(len(c) + 1)).astype(np.int32)
@@ -400,6 +404,32 @@ def _shingle_sets(shingle: int, wanted):
     return run
 
 
+def _images(shingle: int, wanted):
+    """Of each wanted text the number of its shingles, and their first 16 bits, each once and in order: a quarter of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = _wanted_rows(b, wanted)
+            for c in A.chunks(b.column(1), SHINGLE_BYTES):
+                h, doc, _ = _shingle_hashes(c, shingle)
+                at = np.arange(len(c) + 1)
+                image = (h >> np.uint64(48)).astype("<u2")
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (image[1:] != image[:-1]) | (doc[1:] != doc[:-1])
+                ends = pa.py_buffer((2 * np.searchsorted(doc[new], at)).astype(np.int32))
+                images = pa.Array.from_buffers(pa.binary(), len(c), [None, ends, pa.py_buffer(image[new])])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(c.rows[0]), len(c)), pa.array(np.diff(np.searchsorted(doc, at))), images], names=["row_key", "n", "images"])
+
+    return run
+
+
+def _of_nodes(own: DataFrame, keys: DataFrame, make, shingle: int, columns: str, what: str) -> DataFrame:
+    """(node, columns) that `make` works out from the texts of `keys` (node, row_key)."""
+    wanted = own.sparkSession.sparkContext.broadcast(_wanted(keys))
+    got = own.select("row_key", "text").mapInArrow(make(shingle, wanted), f"row_key binary, {columns}")
+    return written(got.join(keys, "row_key").dropDuplicates(["node"]).drop("row_key"), what)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, node); equal texts of a batch count once."""
     for b in batches:
@@ -501,6 +531,29 @@ def _rest(post: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     return both.select("node", F.col("head.node").alias("other")).distinct().select(*_pair())
 
 
+def _may_be_alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(len(b), dtype=bool)
+            for k, (n, m, x, y) in enumerate(zip(b.column("n").to_pylist(), b.column("m").to_pylist(), b.column("x"), b.column("y"))):
+                x, y = np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")
+                most = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+                keep[k] = most >= similarity * (n + m - most) - 1e-9
+            yield b.select(["u", "v", "bits"]).filter(pa.array(keep))
+
+    return run
+
+
+def _likely(pairs: DataFrame, images: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v, bits) that can be alike by their images: sets have no more shingles in common than images, and than images that stand for several."""
+    both = pairs.join(images.select(F.col("node").alias("u"), "n", F.col("images").alias("x")), "u").join(images.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("images").alias("y")), "v")
+    return written(both.select("u", "v", "bits", "n", "m", "x", "y").mapInArrow(_may_be_alike(similarity), "u long, v long, bits int"), "likely")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are alike by `similarity` or more."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
@@ -515,8 +568,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the pairs that share one are all that there can be. SimHash fingerprints say which of
     them come first: each text's nearest pair, then the pairs that lead from one class
     found so far to another, then those of large groups' hubs, HUB_ROUNDS times, and at
-    last all pairs of those groups that still lead from one class to another. The sets
-    decide on each exactly, so classes are those of all links. Texts of equal words (A-Z lower-cased) are one node, by a
+    last all pairs of those groups that still lead from one class to another. Images of the
+    sets, of 16 bits a shingle, say which of them can be alike at all, and the sets
+    decide on those exactly, so classes are those of all links. Texts of equal words (A-Z lower-cased) are one node, by a
     64-bit hash. component is the class's smallest node; row_key identifies the row's id
     and text. Null and empty texts are one class; identical rows share a row_key. An empty
     table gives an empty result. Other columns are ignored.
@@ -530,11 +584,20 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     post = written(_anchored(rows, nodes.select("node", "n", "fp")), "anchors")
     heads = written(_heads(post), "heads")
     pairs = written(_proposed(nodes, post, heads, similarity), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(post.where(F.col("m") > FEW).select("node")).distinct()
+    ends = _ends(pairs).unionByName(post.where(F.col("m") > FEW).select("node")).distinct()
     keys = written(nodes.join(ends, "node", "left_semi").select("node", "row_key"), "keys")
-    wanted = context.broadcast(_wanted(keys))
-    sets = own.select("row_key", "text").mapInArrow(_shingle_sets(shingle, wanted), "row_key binary, shingles array<long>")
-    sets = written(sets.join(keys, "row_key").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
+    images = _of_nodes(own, keys, _images, shingle, "n long, images binary", "images")
+
+    def sets_of(likely: DataFrame) -> DataFrame:
+        some = written(keys.join(_ends(likely).distinct(), "node", "left_semi"), "keys")
+        return _of_nodes(own, some, _shingle_sets, shingle, "shingles array<long>", "shingles")
+
+    def links_of(proposed: DataFrame) -> DataFrame:
+        likely = _likely(proposed.withColumn("bits", F.lit(0)), images, similarity)
+        return likely.select("u", "v") if likely.isEmpty() else written(_alike(likely, sets_of(likely), similarity), "links")
+
+    pairs = _likely(pairs, images, similarity)
+    sets = sets_of(pairs)
     each = pairs.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("node"))
     nearest = each.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct()
     found = written(_alike(nearest, sets, similarity), "links")
@@ -549,12 +612,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hubs = written(_hubs(post, found, label, tried.distinct()), "hubs")
         if hubs.isEmpty():
             break
-        more = written(_alike(_toward(post, hubs, label, similarity), sets, similarity), "links")
+        more = links_of(_toward(post, hubs, label, similarity))
         tried = tried.unionByName(hubs.select("head.node"))
         if not more.isEmpty():
             found = found.unionByName(more)
             label = components(found)
-    more = written(_alike(_rest(post, label, similarity), sets, similarity), "links")
+    more = links_of(_rest(post, label, similarity))
     if not more.isEmpty():
         label = components(found.unionByName(more))
     return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))

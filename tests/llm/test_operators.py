@@ -353,6 +353,19 @@ def test_similar_texts_against_all_pairs(spark):
     assert len(links) > 1000 and sum(got[a] != got[b] for a, b in links) <= 0.01 * len(links)
 
 
+def test_images_keep_every_pair_that_is_alike():
+    rng, pa, rows = np.random.default_rng(8), simhash.pa, []
+    for n in (1, 4, 5, 9, 40, 900, 60_000):
+        for share in (1.0, 0.9, 0.89, 0.88, 0.5, 0.0):
+            both = rng.integers(0, 2**63, 2 * n).astype(np.uint64) * np.uint64(2)
+            rows.append((np.unique(both[:n]), np.unique(np.concatenate([both[: int(share * n)], both[n : 2 * n - int(share * n)]]))))
+    image = lambda h: np.unique((h >> np.uint64(48)).astype("<u2")).tobytes()
+    columns = {"u": list(range(len(rows))), "v": [0] * len(rows), "bits": [0] * len(rows), "n": [len(x) for x, _ in rows], "m": [len(y) for _, y in rows], "x": [image(x) for x, _ in rows], "y": [image(y) for _, y in rows]}
+    (got,) = simhash._may_be_alike(0.8)(iter([pa.RecordBatch.from_pydict(columns)]))
+    kept, alike = set(got.column("u").to_pylist()), {k for k, (x, y) in enumerate(rows) if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    assert alike and alike <= kept and not any(k in kept for k, (x, y) in enumerate(rows) if len(x) <= 900 and len(np.intersect1d(x, y)) < 0.6 * len(x))
+
+
 @pytest.mark.parametrize("few", [16, 2])
 def test_similar_texts_lose_no_link(spark, monkeypatch, few):
     """Short texts at exactly 0.8, whose fingerprints lie far apart, and groups of texts that share a passage, with no link, one, or chains."""
