@@ -7,7 +7,10 @@ hashes and windows are then whole-array operations, bounded by the chunk's size
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,34 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
+def slices(b: pa.RecordBatch, at: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of about `size` bytes of the text in column `at`."""
+    for c in chunks(b.column(at), size):
+        yield b.slice(int(c.rows[0]), len(c))
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which what the task has freed goes back to the machine: Spark's workers live on, and those of a later stage would hold it beside their own."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def word_bounds(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run, none across documents, and the index of each document's first run."""
     n = len(is_word)

@@ -148,7 +148,7 @@ def estimate(docs: DataFrame, text_col: str, rules: dict[str, Callable], sample:
 
     n = docs.count()
     part = docs.select(F.col(text_col).alias("text")).sample(fraction=min(1.0, sample / max(1, n)), seed=5)
-    got = part.mapInArrow(measure, "rule string, cost double, rejected long").groupBy("rule").agg(F.sum("cost"), F.sum("rejected")).collect()
+    got = part.mapInArrow(A.freed(measure), "rule string, cost double, rejected long").groupBy("rule").agg(F.sum("cost"), F.sum("rejected")).collect()
     rate = {r[0]: (r[2] + 1e-9) / (r[1] + 1e-6) for r in got}
     return sorted(rules, key=lambda name: (-rate.get(name, 0.0), name))
 
@@ -170,26 +170,25 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            kept, out = np.zeros(n, dtype=bool), {f: np.zeros(n, dtype=np.int64) for f in FEATURES}
-            base = np.zeros(n, dtype=bool)
             for c in A.chunks(b.column(at), A.CHUNK_BYTES // 2):
-                now = Texts(c)
+                n, first, now = len(c), int(c.rows[0]), Texts(c)
+                kept, out = np.zeros(n, dtype=bool), {f: np.zeros(n, dtype=np.int64) for f in FEATURES}
+                base = np.zeros(n, dtype=bool)
                 if features:
                     for f in FEATURES:
-                        out[f][c.rows] = getattr(now, f)
-                    base[c.rows] = np.any([rules[x](now) for x in BASE if x in rules] or [np.zeros(len(c), dtype=bool)], axis=0)
+                        out[f] = getattr(now, f)
+                    base = np.any([rules[x](now) for x in BASE if x in rules] or [base], axis=0)
                 for name in order:
                     keep = ~rules[name](now)
                     if not keep.all():
                         now = now.subset(keep)
                     if not len(now.c):
                         break
-                kept[now.c.rows] = True
-            cols = {**{f: pa.array(v) for f, v in out.items()}, "base_failed": pa.array(base), kept_col: pa.array(kept)}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(cols[x] for x in added)], names=[*b.schema.names, *added])
+                kept[now.c.rows - first] = True
+                cols = {**{f: pa.array(v) for f, v in out.items()}, "base_failed": pa.array(base), kept_col: pa.array(kept)}
+                yield pa.RecordBatch.from_arrays([*b.slice(first, n).columns, *(cols[x] for x in added)], names=[*b.schema.names, *added])
 
     schema = StructType(list(own.schema))
     for x in added:
         schema = schema.add(x, "boolean" if x in ("base_failed", kept_col) else "long")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(A.freed(run), schema)

@@ -407,10 +407,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [redacted(text, spans) for text, _, spans in scanned(b.column(at), shared.value)]
-            yield b.set_column(at, b.schema.field(at).name, pa.array(texts, pa.string()))
+            for part in A.slices(b, at, A.CHUNK_BYTES // 2):
+                texts = [redacted(text, spans) for text, _, spans in scanned(part.column(at), shared.value)]
+                yield part.set_column(at, b.schema.field(at).name, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.freed(run), docs.schema)
 
 
 def trained(own: DataFrame) -> Field:

@@ -21,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomflow.llm import arrays as A
+
 SPACE = "▁"
-#: Segments that a task remembers, and of how many documents of a batch one is checked against the library.
-REMEMBERED, CHECK_EVERY = 800_000, 200
+#: Segments that a worker remembers (some 150 bytes each), and of how many documents of a batch one is checked against the library.
+REMEMBERED, CHECK_EVERY = 262_144, 200
+#: Bytes of text of an outgoing batch.
+PART_BYTES = 1 << 20
 #: Segments longer than this are not remembered.
 LONG = 48
 #: The order of a pair that is no piece.
@@ -199,6 +203,37 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _encoded(vocabulary: str, check_every: int, payload: bool, text_out: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(vocabulary)
+        for b in batches:
+            k = 0
+            for part in A.slices(b, 1, PART_BYTES):
+                n, ids_hash, text_hash, ids, texts = [], [], [], [], []
+                for text in part.column(1).fill_null("").to_pylist():
+                    got = own.encode(text)
+                    back = own.decode(got)
+                    if k % check_every == 0:
+                        own.check(text, got, back)
+                    k += 1
+                    n.append(len(got) // 4)
+                    ids_hash.append(hashlib.sha256(got).hexdigest())
+                    text_hash.append(hashlib.sha256(back.encode()).hexdigest())
+                    if payload:
+                        ids.append(got)
+                        if text_out:
+                            texts.append(back)
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if payload:
+                    ends = np.cumsum([0, *n]).astype(np.int32)
+                    cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))] + [pa.array(texts, pa.string())] * text_out
+                    names += ["ids"] + ["decoded"] * text_out
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY, payload: bool = True, text_out: bool = True) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of each whole text, with begin and end ids.
 
@@ -207,29 +242,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     first always, is held against the library. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for b in batches:
-            n, ids_hash, text_hash, ids, texts = [], [], [], [], []
-            for k, text in enumerate(b.column(1).fill_null("").to_pylist()):
-                got = own.encode(text)
-                back = own.decode(got)
-                if k % check_every == 0:
-                    own.check(text, got, back)
-                n.append(len(got) // 4)
-                ids_hash.append(hashlib.sha256(got).hexdigest())
-                text_hash.append(hashlib.sha256(back.encode()).hexdigest())
-                if payload:
-                    ids.append(memoryview(got).cast("I").tolist())
-                    if text_out:
-                        texts.append(back)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if payload:
-                cols += [pa.array(ids, pa.list_(pa.int32()))] + [pa.array(texts, pa.string())] * text_out
-                names += ["ids"] + ["decoded"] * text_out
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" + ", decoded string" * text_out) * payload
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return own.mapInArrow(A.freed(_encoded(vocabulary, check_every, payload, text_out)), schema).withColumnRenamed("id", id_col)

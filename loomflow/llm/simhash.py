@@ -86,7 +86,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each row's whole text as a signed long; no words: zero."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(A.freed(_fingerprints(shingle)), "id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -265,7 +265,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = spanning_edges(fp, radius)
         return pa.table({"u": fp[u].view(np.int64), "v": fp[v].view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long")
+    dealt = distinct.select("fp").mapInArrow(A.freed(deal), "shard long, fp long")
     if radius != 2 or not tree.dense:
         return dealt.groupBy("shard").applyInArrow(pairs, "u long, v long")
     dealt = written(dealt, "shards")
@@ -370,7 +370,7 @@ def _order(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     n = own.count()
     key = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30))
     some = own.where(key < F.lit(int((1 << 30) * min(1.0, ORDER_TEXTS / max(1, n))))).select("text")
-    got = some.mapInArrow(_counted(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST).toPandas()
+    got = some.mapInArrow(A.freed(_counted(shingle)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST).toPandas()
     h, count = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     by = np.argsort(h)
     return h[by], count[by]
@@ -426,7 +426,7 @@ def _images(shingle: int, wanted):
 def _of_nodes(own: DataFrame, keys: DataFrame, make, shingle: int, columns: str, what: str) -> DataFrame:
     """(node, columns) that `make` works out from the texts of `keys` (node, row_key)."""
     wanted = own.sparkSession.sparkContext.broadcast(_wanted(keys))
-    got = own.select("row_key", "text").mapInArrow(make(shingle, wanted), f"row_key binary, {columns}")
+    got = own.select("row_key", "text").mapInArrow(A.freed(make(shingle, wanted)), f"row_key binary, {columns}")
     return written(got.join(keys, "row_key").dropDuplicates(["node"]).drop("row_key"), what)
 
 
@@ -462,8 +462,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _anchored(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(anchor, node, n, fp, m): the texts at each anchor that m texts share, m over one."""
     total = rows.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
-    dealt = rows.select("node", "anchors").mapInArrow(_postings, "anchor long, node long").repartition(max(parts(rows.sparkSession), -(-total // POSTINGS)), "anchor")
-    return written(dealt.mapInArrow(_shared, "anchor long, node long, m long"), "postings").join(nodes, "node").select("anchor", "node", "n", "fp", "m")
+    dealt = rows.select("node", "anchors").mapInArrow(A.freed(_postings), "anchor long, node long").repartition(max(parts(rows.sparkSession), -(-total // POSTINGS)), "anchor")
+    return written(dealt.mapInArrow(A.freed(_shared), "anchor long, node long, m long"), "postings").join(nodes, "node").select("anchor", "node", "n", "fp", "m")
 
 
 def _within_reach(similarity: float) -> F.Column:
@@ -547,7 +547,7 @@ def _may_be_alike(similarity: float):
 def _likely(pairs: DataFrame, images: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v, bits) that can be alike by their images: sets have no more shingles in common than images, and than images that stand for several."""
     both = pairs.join(images.select(F.col("node").alias("u"), "n", F.col("images").alias("x")), "u").join(images.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("images").alias("y")), "v")
-    return written(both.select("u", "v", "bits", "n", "m", "x", "y").mapInArrow(_may_be_alike(similarity), "u long, v long, bits int"), "likely")
+    return written(both.select("u", "v", "bits", "n", "m", "x", "y").mapInArrow(A.freed(_may_be_alike(similarity)), "u long, v long, bits int"), "likely")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -579,7 +579,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = own.schema["id"].dataType.simpleString()
     context = own.sparkSession.sparkContext
     order = context.broadcast(_order(own, shingle))
-    rows = written(own.mapInArrow(_features(shingle, similarity, order), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
+    rows = written(own.mapInArrow(A.freed(_features(shingle, similarity, order)), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
     nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("row_key").alias("row_key")), "nodes")
     post = written(_anchored(rows, nodes.select("node", "n", "fp")), "anchors")
     heads = written(_heads(post), "heads")

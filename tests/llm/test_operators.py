@@ -7,11 +7,13 @@ empty tables, and extra columns whose names clash with those that operators add.
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -775,3 +777,48 @@ def test_states_merge_to_the_state_of_all():
     whole = embedding_whitening.state_of(z)
     assert own.n == 700 and (own.sums == whole.sums).all() and np.allclose(own.values, whole.values)
     assert np.allclose(own.vectors.T @ np.diag(own.values**2) @ own.vectors, whole.vectors.T @ np.diag(whole.values**2) @ whole.vectors)
+
+
+def _handed_to_spark(spark, monkeypatch) -> list:
+    """The functions that mapInArrow gets from now on."""
+    taken, frame = [], type(spark.range(0))
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: taken.append(f) or real(self, f, schema))
+    return taken
+
+
+def test_encoding_a_batch_holds_no_number_objects(spark, monkeypatch):
+    """A batch of a million tokens and more: what Python holds stays under a part's text and ids, whatever the batch."""
+    monkeypatch.setattr(sentencepiece_codec, "_CODECS", {})
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    text = " ".join(f"the{k % 97} small river{k % 89}" for k in range(400))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(400), pa.int64()), "text": pa.array([text] * 399 + [None], pa.string())})
+    taken = _handed_to_spark(spark, monkeypatch)
+    sentencepiece_codec.encode_decode(spark.createDataFrame([], "doc_id long, text string"), vocabulary, text_out=False)
+    own = sentencepiece_codec.codec(vocabulary)
+    own.encode(text)
+    tracemalloc.start()
+    rows, n = [], 0
+    for b in taken[-1](iter([batch])):
+        n += sum(b.column("n_tokens").to_pylist())
+        rows += [(i, b.column("ids")[k].values.to_numpy().astype("<u4").tobytes()) for k, i in enumerate(b.column("id").to_pylist()) if i in (0, 200, 398, 399)]
+        assert b.nbytes < 8 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(k, own.encode(text if k < 399 else "")) for k in (0, 200, 398, 399)]
+    assert n > 1_000_000 and peak < 12 * n
+
+
+def test_text_leaves_tasks_in_small_batches(spark, monkeypatch):
+    """Of one large batch of texts, batches of about a chunk each come out, every row once and in order."""
+    taken = _handed_to_spark(spark, monkeypatch)
+    docs = spark.createDataFrame([(1, "clean words " * 30)], "doc_id long, text string")
+    quality_rules.quality(docs, features=True)
+    secret_scan.redact(docs)
+    texts = [" ".join(f"word{k} other{j}" for j in range(300)) for k in range(1500)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1502), pa.int64()), "text": pa.array(texts, pa.string())})
+    for run in (taken[1], taken[-1]):
+        out = list(run(iter([batch])))
+        assert len(out) > 3 and max(b.slice(0).nbytes for b in out) < 3 << 20
+        assert [x for b in out for x in b.column("doc_id").to_pylist()] == list(range(1502))
+        assert [x for b in out for x in b.column("text").to_pylist()] == texts
