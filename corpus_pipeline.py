@@ -14,7 +14,7 @@ from loomflow.llm.decontamination import decontaminate
 from loomflow.llm.quality_rules import quality
 from loomflow.llm.secret_scan import redact
 from loomflow.llm.sentencepiece_codec import encode_decode
-from loomflow.llm.simhash import similar_texts
+from loomflow.llm.simhash import among, similar_texts
 from loomflow.llm.tables import fresh, row_key, table, written
 
 
@@ -38,12 +38,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     (key,) = fresh(docs, "row_key")
     found = written(similar_texts(docs), "classes")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key"))
-    stay = found.groupBy("component").agg(first.alias("x")).select(F.col("x.row_key").alias(key))
-    out = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(stay, key, "left_semi")
+    classes = written(found.groupBy("component").agg(F.count("*").alias("n"), first.alias("x")).where("n > 1").select("component", F.col("x.row_key").alias(key)), "several")
+    # Most texts are alone in their class and stay: only the others are shuffled, with those few whose keys begin like one of theirs.
+    several = found.join(classes.select("component"), "component", "left_semi").select(F.col("row_key").alias(key))
+    maybe, alone = among(docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))), key, several)
+    goes = several.distinct().join(classes.select(key), key, "left_anti")
+    out = maybe.join(goes, key, "left_anti")
     repeated = found.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:
         out = out.dropDuplicates([key])
-    return out.select(*docs.columns)
+    return out.unionByName(alone).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,12 +21,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.llm import arrays as A
 from loomflow.llm.components import components
-from loomflow.llm.tables import parts, row_key, written
+from loomflow.llm.tables import fresh, parts, row_key, written
 
 RADIUS, SHINGLE = 2, 3
 #: Fingerprints of a shard at least and at most (about a share of all for each partition), and of a leaf within it.
@@ -294,12 +295,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 FEW = 16
 #: Times that hubs of large groups are sought, before all that is left of a group meets all.
 HUB_ROUNDS = 2
-#: Texts by which shingles are put in order, and times that a shingle occurs among them from which it comes late. They decide what is fast, not what is found.
-ORDER_TEXTS, ORDER_LEAST = 8_192, 3
+#: Shingles among which those that several texts have are counted at a time, the fewest such by which one comes late, and such shingles at most (8 bytes each, and as many for the count). They decide what is fast, not what is found.
+ORDER_BLOCK, ORDER_LEAST, ORDER_MOST = 1 << 21, 3, 1 << 18
 #: Postings of a partition; bits of the map of texts whose shingles are wanted.
 POSTINGS, MAP_BITS = 1 << 19, 24
 #: Bytes of text whose shingles are worked out together.
 SHINGLE_BYTES = 1 << 19
+#: Bits of a sketch at least, which are those that large groups are compared by.
+SKETCH_BITS = 512
+#: Members of a large group that are compared in one place, and rows of these that are taken against all at once.
+MEET, MEET_ROWS = 4096, 256
+#: Members of large groups in a partition, some 100 bytes each.
+MEETING = 1 << 18
 
 
 def _shingle_hashes(c: A.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,6 +343,36 @@ def _rank(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.where(common[at] == h, count[at], 0)
 
 
+def _sketches(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each document a bit for each place that the last bits of its shingles' hashes point to: whether an odd number do. So many places, a power of two, as shingles or more."""
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.bincount(ends[doc] + (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=int(ends[-1])) & 1
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
+
+def _folded(sketches: pa.Array, size: int) -> np.ndarray:
+    """Sketches of equal length as rows of words, folded to `size` bytes: a shorter sketch is the parts of a longer one, added up without carry."""
+    whole = np.frombuffer(b"".join(sketches.to_pylist()), "<u8").reshape(len(sketches), -1, size // 8)
+    return np.bitwise_xor.reduce(whole, axis=1)
+
+
+def _apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Bits in which sketches differ, pair by pair: at most the number of shingles that only one of the two texts has."""
+    lengths = np.stack([pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()])
+    out = np.zeros(len(x), dtype=np.int64)
+    for both in np.unique(lengths, axis=1).T:
+        at = np.flatnonzero((lengths == both[:, None]).all(axis=0))
+        a, b = (_folded(z.take(pa.array(at)), int(both.min())) for z in (x, y))
+        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
+
+
+def _most_apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles at most that only one of two texts of `n` and `m` shingles has if these are alike."""
+    return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _features(shingle: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,50 +380,89 @@ def _features(shingle: int, similarity: float, order):
                 h, doc, whole = _shingle_hashes(c, shingle)
                 at = np.searchsorted(doc, np.arange(len(c) + 1))
                 n = np.diff(at)
-                bits = _majority(h, at[:-1], n)
+                bits, sketches = _majority(h, at[:-1], n), _sketches(h, doc, n)
                 h = h[np.lexsort((h, _rank(h, *order.value), doc))]
                 few = _needed(n, similarity)
                 ends = np.cumsum(few)
                 anchors = h[np.arange(int(ends[-1])) + np.repeat(at[:-1] - (ends - few), few)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(anchors.view(np.int64)))
                 own = b.slice(int(c.rows[0]), len(c))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(whole.view(np.int64)), pa.array(n), pa.array(bits.view(np.int64)), lists], names=["id", "row_key", "node", "n", "fp", "anchors"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(whole.view(np.int64)), pa.array(n), pa.array(bits.view(np.int64)), sketches, lists], names=["id", "row_key", "node", "n", "fp", "sketch", "anchors"])
 
     return run
 
 
 def _counted(shingle: int):
+    """Shingles that several texts of a block have, with the number of these."""
+
+    def count(own: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(own), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
         for b in batches:
             for c in A.chunks(b.column(0), SHINGLE_BYTES):
-                h, n = np.unique(_shingle_hashes(c, shingle)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                own.append(_shingle_hashes(c, shingle)[0])
+                if sum(map(len, own)) >= ORDER_BLOCK:
+                    yield count(own)
+                    own = []
+        if own:
+            yield count(own)
 
     return run
 
 
 def _order(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that come late in every set, and their counts. Any order finds the same pairs; one that puts frequent shingles last proposes fewer in vain."""
-    n = own.count()
-    key = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30))
-    some = own.where(key < F.lit(int((1 << 30) * min(1.0, ORDER_TEXTS / max(1, n))))).select("text")
-    got = some.mapInArrow(A.freed(_counted(shingle)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST).toPandas()
+    """Shingles that come late in every set, and their counts over all texts. Any order finds the same pairs; one that puts frequent shingles last proposes fewer in vain.
+
+    What is frequent occurs twice in some block, so only what does is counted: a shingle that a
+    fixed share of the texts has is found however large the table is, and groups of texts
+    that share a rare one do not grow in proportion to it.
+    """
+    counts = written(own.select("text").mapInArrow(A.freed(_counted(shingle)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST), "counts")
+    least, total = ORDER_LEAST, 0
+    for r in counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > ORDER_MOST:
+            least = r["n"] + 1
+            break
+    got = counts.where(F.col("n") >= F.lit(least)).toPandas()
     h, count = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     by = np.argsort(h)
     return h[by], count[by]
 
 
+def _beginning(key: str) -> Column:
+    """The first bits of a row key, counted from one."""
+    return F.conv(F.substring(F.hex(key), 1, MAP_BITS // 4), 16, 10).cast("long") + 1
+
+
+def _map(keys: DataFrame, key: str) -> DataFrame:
+    """(k, bits): which beginnings of row keys are among `keys`, 32,768 of them a row."""
+    return keys.select(_beginning(key).alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+
+
 def _wanted(keys: DataFrame) -> np.ndarray:
     """A map of fixed size: which beginnings of row keys are among `keys`."""
-    bit = F.conv(F.substring(F.hex("row_key"), 1, MAP_BITS // 4), 16, 10).cast("long") + 1  # buckets count from one
-    rows = keys.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits")).collect()
     out = np.zeros(1 << MAP_BITS, dtype=bool)
-    for r in rows:
+    for r in _map(keys, "row_key").collect():
         own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
         out[(r["k"] - 1) * len(own) : r["k"] * len(own)] = own
     return np.packbits(out)
 
 
+def among(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose row key may be among `keys`, and those whose is not, told by a map of fixed size and so without a shuffle of `rows`."""
+    at, bucket, bits = fresh(rows, "at", "bucket", "bits")
+    there = F.broadcast(written(_map(keys, key), "map").select(F.col("k").alias(bucket), F.col("bits").alias(bits)))
+    marked = rows.withColumn(at, _beginning(key)).join(there, F.expr(f"bitmap_bucket_number(`{at}`)") == F.col(bucket), "left")
+    place = F.expr(f"bitmap_bit_position(`{at}`)")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return marked.where(found).select(*rows.columns), marked.where(~found).select(*rows.columns)
+
+
 def _wanted_rows(b: pa.RecordBatch, wanted) -> pa.RecordBatch:
     head = np.array([int.from_bytes(x[: MAP_BITS // 8], "big") for x in b.column(0).to_pylist()], dtype=np.int64)
     return b.filter(pa.array((wanted.value[head >> 3] >> (7 - (head & 7))) & 1 == 1))
@@ -404,25 +480,6 @@ def _shingle_sets(shingle: int, wanted):
     return run
 
 
-def _images(shingle: int, wanted):
-    """Of each wanted text the number of its shingles, and their first 16 bits, each once and in order: a quarter of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = _wanted_rows(b, wanted)
-            for c in A.chunks(b.column(1), SHINGLE_BYTES):
-                h, doc, _ = _shingle_hashes(c, shingle)
-                at = np.arange(len(c) + 1)
-                image = (h >> np.uint64(48)).astype("<u2")
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (image[1:] != image[:-1]) | (doc[1:] != doc[:-1])
-                ends = pa.py_buffer((2 * np.searchsorted(doc[new], at)).astype(np.int32))
-                images = pa.Array.from_buffers(pa.binary(), len(c), [None, ends, pa.py_buffer(image[new])])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(c.rows[0]), len(c)), pa.array(np.diff(np.searchsorted(doc, at))), images], names=["row_key", "n", "images"])
-
-    return run
-
-
 def _of_nodes(own: DataFrame, keys: DataFrame, make, shingle: int, columns: str, what: str) -> DataFrame:
     """(node, columns) that `make` works out from the texts of `keys` (node, row_key)."""
     wanted = own.sparkSession.sparkContext.broadcast(_wanted(keys))
@@ -522,13 +579,101 @@ def _toward(post: DataFrame, hubs: DataFrame, label: DataFrame, similarity: floa
     return many.select("node", F.col("head.node").alias("other")).select(*_pair()).distinct()
 
 
-def _rest(post: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): all pairs of a large group's members that are of different classes still."""
-    many = post.where(F.col("m") > FEW).join(label, "node", "left").withColumn("root", F.coalesce("root", "node")).select("anchor", "node", "n", "root")
+def _meeting(similarity: float):
+    """Pairs of a partition's groups (anchor, low, high) that are of different classes and can be alike by their sizes and sketches; of two parts of one group each of one with each of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        anchor, low, high, part, node, n, root = (t.column(x).to_numpy() for x in ("anchor", "low", "high", "part", "node", "n", "root"))
+        o = np.lexsort((n, high, low, anchor))
+        anchor, low, high, part, node, n, root = (x[o] for x in (anchor, low, high, part, node, n, root))
+        words = _folded(t.column("sketch").combine_chunks(), SKETCH_BITS // 8)[o]
+        begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        found = np.zeros((0, 2), dtype=np.int64)
+        for k, end in zip(begin, np.append(begin[1:], len(node))):
+            for x in range(k, end, MEET_ROWS):
+                last = min(x + MEET_ROWS, end)
+                # A smaller text with those after it, up to the largest that can be like it.
+                stop = x + int(np.searchsorted(n[x:end], n[last - 1] / (similarity - 1e-9), side="right"))
+                y = slice(x, min(stop, end))
+                i, j = np.nonzero((root[x:last, None] != root[None, y]) & (np.arange(x, last)[:, None] < np.arange(y.start, y.stop)[None, :]))
+                i, j = i + x, j + x
+                if low[k] != high[k]:
+                    across = part[i] != part[j]
+                    i, j = i[across], j[across]
+                near = n[i] >= (similarity - 1e-9) * n[j]
+                i, j = i[near], j[near]
+                apart = np.zeros(len(i), dtype=np.int64)
+                for w in range(words.shape[1]):
+                    apart += np.bitwise_count(words[i, w] ^ words[j, w])
+                near = apart <= _most_apart(n[i], n[j], similarity)
+                if near.any():
+                    both = np.sort(np.stack([node[i[near]], node[j[near]]], axis=1), axis=1)
+                    found = np.unique(np.concatenate([found, both]), axis=0)
+            if len(found) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+                found = found[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def _folded_column(sketches: pa.Array) -> pa.Array:
+    """Each sketch folded to SKETCH_BITS."""
+    length = pc.binary_length(sketches).to_numpy()
+    words = np.zeros((len(sketches), SKETCH_BITS // 64), dtype="<u8")
+    for one in np.unique(length):
+        at = np.flatnonzero(length == one)
+        words[at] = _folded(sketches.take(pa.array(at)), SKETCH_BITS // 8)
+    return pa.Array.from_buffers(pa.binary(), len(sketches), [None, pa.py_buffer((np.arange(len(sketches) + 1) * (SKETCH_BITS // 8)).astype(np.int32)), pa.py_buffer(words)])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), _folded_column(b.column("sketch"))], names=["node", "n", "sketch"])
+
+
+def _rest(post: DataFrame, nodes: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs of a large group's members that are of different classes still, and can be alike by sizes and sketches.
+
+    A group of over MEET members is dealt out by pairs of its parts. Pairs that can't be
+    alike are told where the members meet, so that no row is made of them.
+    """
+    many = post.where(F.col("m") > FEW).join(label, "node", "left").select("anchor", "m", "node", F.coalesce("root", "node").alias("root"))
     mixed = many.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("anchor")
     left = written(many.join(mixed, "anchor", "left_semi"), "mixed")
-    both = left.join(left.select("anchor", F.struct("node", "n", "root").alias("head")), "anchor").where((F.col("node") < F.col("head.node")) & (F.col("root") != F.col("head.root")) & _within_reach(similarity))
-    return both.select("node", F.col("head.node").alias("other")).distinct().select(*_pair())
+    sketches = nodes.select("node", "n", "sketch").mapInArrow(A.freed(_fold), "node long, n long, sketch binary")
+    cuts = F.ceil(F.col("m") / F.lit(MEET)).cast("int")
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("node"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    dealt = dealt.select("anchor", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "root").join(sketches, "node")
+    dealt = dealt.select("anchor", "low", "high", "part", "node", "n", "root", "sketch")
+    count = max(parts(post.sparkSession), -(-left.count() // MEETING))
+    return dealt.repartition(count, "anchor", "low", "high").mapInArrow(A.freed(_meeting(similarity)), "u long, v long").distinct()
+
+
+def _near(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(x).to_numpy() for x in ("n", "m"))
+            keep = _apart(b.column("x"), b.column("y")) <= _most_apart(n, m, similarity)
+            yield b.select(["u", "v", "bits"]).filter(pa.array(keep))
+
+    return run
+
+
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set the number of its shingles, and their first 16 bits, each once and in order: a quarter of the set."""
+    for b in batches:
+        sets = b.column(1)
+        at = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        image, doc = (sets.flatten().to_numpy().view(np.uint64) >> np.uint64(48)).astype("<u2"), np.repeat(np.arange(len(b)), np.diff(at))
+        new = np.ones(len(image), dtype=bool)
+        new[1:] = (image[1:] != image[:-1]) | (doc[1:] != doc[:-1])
+        ends = pa.py_buffer((2 * np.searchsorted(doc[new], np.arange(len(b) + 1))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(b), [None, ends, pa.py_buffer(image[new])])], names=["node", "n", "images"])
 
 
 def _may_be_alike(similarity: float):
@@ -544,10 +689,21 @@ def _may_be_alike(similarity: float):
     return run
 
 
-def _likely(pairs: DataFrame, images: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v, bits) that can be alike by their images: sets have no more shingles in common than images, and than images that stand for several."""
-    both = pairs.join(images.select(F.col("node").alias("u"), "n", F.col("images").alias("x")), "u").join(images.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("images").alias("y")), "v")
-    return written(both.select("u", "v", "bits", "n", "m", "x", "y").mapInArrow(A.freed(_may_be_alike(similarity)), "u long, v long, bits int"), "likely")
+def _with_ends(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
+    """The pairs with n and `what` of u, as n and x, and of v, as m and y."""
+    both = pairs.join(of.select(F.col("node").alias("u"), "n", F.col(what).alias("x")), "u").join(of.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col(what).alias("y")), "v")
+    return both.select("u", "v", "bits", "n", "m", "x", "y")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v, bits) that can be alike by their sketches, which differ in no more bits than there are shingles that only one of the two has."""
+    return written(_with_ends(pairs, nodes, "sketch").mapInArrow(A.freed(_near(similarity)), "u long, v long, bits int"), "likely")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that can be alike by their images: sets have no more shingles in common than images, and than images that stand for several."""
+    images = sets.select("node", "shingles").mapInArrow(A.freed(_images), "node long, n long, images binary")
+    return written(_with_ends(pairs, images, "images").mapInArrow(A.freed(_may_be_alike(similarity)), "u long, v long, bits int"), "close")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -568,9 +724,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the pairs that share one are all that there can be. SimHash fingerprints say which of
     them come first: each text's nearest pair, then the pairs that lead from one class
     found so far to another, then those of large groups' hubs, HUB_ROUNDS times, and at
-    last all pairs of those groups that still lead from one class to another. Images of the
-    sets, of 16 bits a shingle, say which of them can be alike at all, and the sets
-    decide on those exactly, so classes are those of all links. Texts of equal words (A-Z lower-cased) are one node, by a
+    last all pairs of those groups that still lead from one class to another. Sketches of the
+    sets, of one to two bits a shingle, and images of 16 bits a shingle say which of them can
+    be alike at all, and the sets decide on those exactly, so classes are those of all links. Texts of equal words (A-Z lower-cased) are one node, by a
     64-bit hash. component is the class's smallest node; row_key identifies the row's id
     and text. Null and empty texts are one class; identical rows share a row_key. An empty
     table gives an empty result. Other columns are ignored.
@@ -579,24 +735,23 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = own.schema["id"].dataType.simpleString()
     context = own.sparkSession.sparkContext
     order = context.broadcast(_order(own, shingle))
-    rows = written(own.mapInArrow(A.freed(_features(shingle, similarity, order)), f"id {kind}, row_key binary, node long, n long, fp long, anchors array<long>"), "features")
-    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("row_key").alias("row_key")), "nodes")
+    rows = written(own.mapInArrow(A.freed(_features(shingle, similarity, order)), f"id {kind}, row_key binary, node long, n long, fp long, sketch binary, anchors array<long>"), "features")
+    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key")), "nodes")
     post = written(_anchored(rows, nodes.select("node", "n", "fp")), "anchors")
     heads = written(_heads(post), "heads")
     pairs = written(_proposed(nodes, post, heads, similarity), "pairs")
-    ends = _ends(pairs).unionByName(post.where(F.col("m") > FEW).select("node")).distinct()
-    keys = written(nodes.join(ends, "node", "left_semi").select("node", "row_key"), "keys")
-    images = _of_nodes(own, keys, _images, shingle, "n long, images binary", "images")
-
     def sets_of(likely: DataFrame) -> DataFrame:
-        some = written(keys.join(_ends(likely).distinct(), "node", "left_semi"), "keys")
+        some = written(nodes.select("node", "row_key").join(_ends(likely).distinct(), "node", "left_semi"), "keys")
         return _of_nodes(own, some, _shingle_sets, shingle, "shingles array<long>", "shingles")
 
     def links_of(proposed: DataFrame) -> DataFrame:
-        likely = _likely(proposed.withColumn("bits", F.lit(0)), images, similarity)
-        return likely.select("u", "v") if likely.isEmpty() else written(_alike(likely, sets_of(likely), similarity), "links")
+        likely = _likely(proposed.withColumn("bits", F.lit(0)), nodes, similarity)
+        if likely.isEmpty():
+            return likely.select("u", "v")
+        sets = sets_of(likely)
+        return written(_alike(_close(likely, sets, similarity), sets, similarity), "links")
 
-    pairs = _likely(pairs, images, similarity)
+    pairs = _likely(pairs, nodes, similarity)
     sets = sets_of(pairs)
     each = pairs.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("node"))
     nearest = each.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct()
@@ -617,7 +772,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not more.isEmpty():
             found = found.unionByName(more)
             label = components(found)
-    more = links_of(_rest(post, label, similarity))
+    more = links_of(_rest(post, nodes, label, similarity))
     if not more.isEmpty():
         label = components(found.unionByName(more))
     return rows.select("id", "row_key", "node").join(label, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("component"))

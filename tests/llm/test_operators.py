@@ -22,6 +22,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
 from loomflow.llm import context_mixing, decontamination, embedding_whitening, fill_in_middle, language_id, lm_scoring, quality_rules, queries, secret_scan, sentencepiece_codec, simhash, source_mixing, substring_dedup, token_counts, token_mixing, toxicity  # noqa: E402
+from loomflow.llm.tables import row_key  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -398,6 +399,76 @@ def test_similar_texts_lose_no_link(spark, monkeypatch, few):
     assert len({(want[k], got[k]) for k in got}) == len(set(got.values()))
 
 
+def sketched(sets):
+    """Columns n and sketch of sets of hashes."""
+    n = np.array([len(x) for x in sets])
+    return n, simhash._sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng, x, y = np.random.default_rng(18), [], []
+    for n in (0, 1, 5, 40, 511, 513, 900, 1025, 5000, 60_000):
+        for share, m in ((1.0, n), (0.95, n), (0.89, n), (0.5, n), (0.0, n), (0.85, n + n // 8), (1.0, 2 * n + 9)):
+            both = rng.integers(0, 2**63, n + m).astype(np.uint64)
+            x.append(np.unique(both[:n])), y.append(np.unique(np.concatenate([both[: int(share * n)], both[n : n + m - int(share * n)]])))
+    (n, a), (m, b) = sketched(x), sketched(y)
+    apart, real = simhash._apart(a, b), np.array([len(np.setxor1d(u, v)) for u, v in zip(x, y)])
+    alike = np.array([len(np.intersect1d(u, v)) >= 0.8 * len(np.union1d(u, v)) for u, v in zip(x, y)])
+    unlike = np.array([len(np.intersect1d(u, v)) < 0.6 * len(np.union1d(u, v)) for u, v in zip(x, y)])
+    kept = apart <= simhash._most_apart(n, m, 0.8)
+    assert (apart <= real).all() and kept[alike].all() and alike.sum() > 20 and unlike.sum() > 30 and not kept[unlike & (n > 40)].any()
+    assert sum(map(len, a.to_pylist())) <= n.sum() / 4 + 64 * len(n)
+
+
+@pytest.mark.parametrize("rows", [3, 256])
+def test_members_of_groups_meet_as_by_brute_force(monkeypatch, rows):
+    """Whole groups, and one that is dealt out by pairs of its parts."""
+    monkeypatch.setattr(simhash, "MEET_ROWS", rows)
+    rng = np.random.default_rng(19)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: int(rng.integers(180, 300))], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
+    n, sketch = sketched(sets)
+    apart = lambda i, j: simhash._apart(sketch.take(pa.array([i])), sketch.take(pa.array([j])))[0]
+    root, part, got = rng.integers(0, 9, 60), rng.integers(0, 3, 60), []
+    for k in range(60):
+        got += [(7, min(part[k], o), max(part[k], o), part[k], k, n[k], root[k], sketch[k].as_py()) for o in range(3)]
+        got += [(k % 4, 0, 0, 0, k, n[k], root[k], sketch[k].as_py())]
+    batch = pa.RecordBatch.from_pydict({name: [row[k] for row in got] for k, name in enumerate(["anchor", "low", "high", "part", "node", "n", "root", "sketch"])})
+    found = {(u, v) for b in simhash._meeting(0.8)(iter([batch.slice(0, 100), batch.slice(100)])) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and apart(i, j) <= simhash._most_apart(n[i], n[j], 0.8)}
+    assert found == want and 100 < len(want) < 1500
+
+
+def test_groups_dealt_out_by_parts_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEET", 6)
+    test_similar_texts_lose_no_link(spark, monkeypatch, 2)
+
+
+def test_texts_that_share_a_passage_make_no_rows_of_pairs(spark, monkeypatch):
+    """They are told from each other where they meet; before, all their pairs were rows, and read what stands for their texts."""
+    rng, rows, rest = np.random.default_rng(20), [], simhash._rest
+
+    def counted(*given):
+        out = rest(*given)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_rest", counted)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 9999, n)]
+    passage = make(190)
+    texts = [" ".join(passage + make(40)) for _ in range(200)]
+    got = {r["component"] for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts) and rows and sum(rows) < len(texts)
+
+
+def test_rows_are_told_by_the_map_of_their_keys(spark):
+    rows = spark.range(30_000).select("id", F.lit("x").alias("bits"), row_key(F.col("id")).alias("row_key"))
+    for some in ("id % 10 = 3", "id < 0"):
+        yes, no = (x.select("id").toPandas()["id"].tolist() for x in simhash.among(rows, "row_key", rows.where(some).select("row_key")))
+        sure = set(rows.where(some).toPandas()["id"])
+        assert sorted(yes + no) == list(range(30_000)) and sure <= set(yes) and len(yes) < len(sure) + 100
+
+
 def test_vantage_point_tree_grows_with_the_data():
     rng = np.random.default_rng(1)
     fp = np.unique(rng.integers(0, 2**63, 1 << 20, dtype=np.uint64))

@@ -1,5 +1,6 @@
 """The pipeline's stages on awkward documents and on the small table."""
 
+import random
 import re
 
 import pytest
@@ -35,3 +36,26 @@ def test_run(spark):
     secret = [r for r in rows if re.search("[0-9a-f]{40}", docs[r.doc_id])]
     lib = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline._vocabulary())
     assert secret and all(not re.search("[0-9a-f]{16}", lib.decode(list(r.ids))) and "[secret]" in lib.decode(list(r.ids)) for r in secret)
+
+
+def test_near_dedup_shuffles_less_than_the_texts(spark):
+    """Texts that are alone in their class, in groups that share passages: before, each text was shuffled, and what stands for it several times."""
+    rng = random.Random(21)
+    make = lambda n: [f"word{rng.randrange(99_999)}" for _ in range(n)]
+    rows = []
+    for _ in range(20):
+        passage = make(200)
+        rows += [" ".join(passage + make(400)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(rows)], SCHEMA)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = shuffled()
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, FOLDER)
+    kept.write.format("noop").mode("overwrite").save()
+    spent = sum(v - before.get(k, 0) for k, v in shuffled().items())
+    assert kept.count() == len(rows) and 0 < spent < 0.8 * sum(map(len, rows)), spent
